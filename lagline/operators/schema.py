@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_INTEGER = r"^[+-]?[0-9]+$"
+_REAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
 
 def select_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*cols)
@@ -83,14 +86,16 @@ def infer_types(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols) if cols is not None else string_columns(df)
     aggs = []
     for i, c in enumerate(cols):
-        # Text such as "1.0" casts to a long in Spark but is no integer literal.
-        whole = F.when(F.col(c).rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(c)).try_cast("bigint")
+        # Casts alone accept more than literals do, such as "1.0" as a long or "1d" as a double.
+        text = F.trim(c)
+        whole = F.when(text.rlike(_INTEGER), text).try_cast("bigint")
+        real = F.when(text.rlike(_REAL), text).try_cast("double")
         aggs.append(
             F.struct(
                 F.lit(c).alias("column"),
                 F.count(F.col(c)).alias("non_null"),
                 F.count(whole).alias("as_long"),
-                F.count(F.trim(c).try_cast("double")).alias("as_double"),
+                F.count(real).alias("as_double"),
             ).alias(f"c{i}")
         )
     rows = df.agg(*aggs).select(F.inline(F.array(*(F.col(f"c{i}") for i in range(len(cols))))))
