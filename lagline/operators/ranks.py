@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,8 +33,7 @@ def value_ranks(df: DataFrame, col: str, keys: Sequence[str] = (), buckets: int
         marked = counts.join(renamed, on, "left").drop(*(f"__j_{k}" for k in keys))
     else:
         marked = counts.select("*", counts.agg(cuts.alias("__cuts")).scalar().alias("__cuts"))
-    bucket = F.coalesce(F.size(F.filter("__cuts", lambda cut: cut < F.col(col))), F.lit(0))
-    marked = marked.select(*keys, col, "n", bucket.alias("__bucket"))
+    marked = marked.select(*keys, col, "n", _smaller_cuts(F.col("__cuts"), F.col(col), buckets).alias("__bucket"))
 
     totals = marked.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__total"))
     earlier = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -45,6 +44,16 @@ def value_ranks(df: DataFrame, col: str, keys: Sequence[str] = (), buckets: int
     return ranked.filter(F.col("__order") == 1).select(*keys, col, "n", "n_before")
 
 
+def _smaller_cuts(cuts: Column, value: Column, buckets: int) -> Column:
+    """How many of the sorted cut points are smaller than the value, by halving; 0 for a null value."""
+    steps, step = [], 1
+    while step < buckets:
+        steps.insert(0, step)
+        step *= 2
+    halve = lambda found, step: found + F.when(F.get(cuts, found + step - 1) < value, step).otherwise(0)
+    return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), halve)
+
+
 def percent_ranks(df: DataFrame, col: str, buckets: int = _BUCKETS) -> DataFrame:
     """(``col``, n, percent_rank) per distinct value, equal to ``percent_rank`` over the whole table."""
     ranks = value_ranks(df, col, buckets=buckets)

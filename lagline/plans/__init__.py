@@ -1,4 +1,4 @@
 """Registered queries with their SQL equivalents."""
 
-from lagline.plans import windows  # noqa: F401
+from lagline.plans import evaluation, joins, profiling, windows  # noqa: F401
 from lagline.plans.common import REGISTRY  # noqa: F401

@@ -203,7 +203,7 @@ def carrier_sample_size(spark, sf_dir):
 
 @query(
     "latest_per_group",
-    """SELECT event_id, event_type, d FROM (
+    """SELECT event_id, event_type, strftime(d, '%Y-%m-%d') AS d FROM (
   SELECT event_id, event_type, CAST(ts AS DATE) AS d, rank() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY date_trunc('hour', ts) DESC) AS r
   FROM events) WHERE r = 1""",
 )
@@ -211,7 +211,7 @@ def latest_per_group(spark, sf_dir):
     """Rows of the latest hour per carrier and day, ties kept; the rank limit applies before the shuffle."""
     rows = flights(spark, sf_dir).select("event_id", F.col("carrier").alias("event_type"), F.to_date("ts").alias("d"), F.date_trunc("hour", "ts").alias("h"))
     ranked = rows.withColumn("r", F.rank().over(W.partitionBy("event_type", "d").orderBy(F.col("h").desc())))
-    return ranked.filter(F.col("r") == 1).select("event_id", "event_type", "d")
+    return ranked.filter(F.col("r") == 1).select("event_id", "event_type", F.date_format("d", "yyyy-MM-dd").alias("d"))
 
 
 @query(

@@ -23,7 +23,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return None
     if isinstance(value, (np.ndarray, list, tuple)):
         return tuple(_plain(v) for v in value)
