@@ -84,12 +84,16 @@ def block_ranges(df: DataFrame, time: str, blocks: int = 5, split: float = 0.8)
     return _ranges(df, time, bounds).select(F.inline(rows))
 
 
-def block_frames(df: DataFrame, time: str, blocks: int = 5, split: float = 0.8) -> list[tuple[DataFrame, DataFrame]]:
+def block_frames(
+    df: DataFrame, time: str, blocks: int = 5, split: float = 0.8, times: DataFrame | None = None
+) -> list[tuple[DataFrame, DataFrame]]:
     """(train, validation) per fold as filters with literal bounds, so they reach the scan.
 
-    Runs one job for the 2 x ``blocks`` time bounds; only those come to the driver.
+    Runs one job for the 2 x ``blocks`` time bounds; only those come to the driver. ``times`` may
+    name a cheaper table with the same times, such as the rows before features were added.
     """
-    found = {(r.fold, r.role): (r.first_time, r.last_time) for r in block_ranges(df, time, blocks, split).collect()}
+    ranges = block_ranges(df if times is None else times, time, blocks, split)
+    found = {(r.fold, r.role): (r.first_time, r.last_time) for r in ranges.collect()}
     between = lambda key: df.filter(F.col(time).between(*(F.lit(v).cast(df.schema[time].dataType) for v in found[key])))
     return [(between((i, "train")), between((i, "validation"))) for i in range(blocks)]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,11 +48,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read on from there.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the checkpoint folder, which every executor can reach."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lagline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Write ``df`` as parquet into the shared folder and read on from there.
 
     For inputs that are scanned many times, such as the training rows of an iterative fit: the
-    rows then survive lost executors without being computed again.
+    lineage is cut, the rows survive lost executors, and later scans read only the columns they need.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
