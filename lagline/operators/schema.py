@@ -50,7 +50,7 @@ def rename_columns(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 def reorder_first(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Chosen columns first, the rest in their old order."""
-    return df.select(*cols, *(c for c in df.columns if c not in set(cols)))
+    return df.select(*(F.col(f"`{c}`") for c in (*cols, *(c for c in df.columns if c not in set(cols)))))
 
 
 def columns_of_type(df: DataFrame, *kinds: type[T.DataType]) -> list[str]:

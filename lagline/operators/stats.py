@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +14,15 @@ from lagline.operators.range_windows import DAY, HOUR, bin_start
 from lagline.operators.schema import columns_like
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation aggregate over rows with both values; null where a side is constant.
+
+    The built-in aggregate divides by zero there and fails under ANSI rules.
+    """
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def mean_and_spread(df: DataFrame, value: str, mean: str = "mean_value", spread: str = "std_value") -> DataFrame:
     return df.agg(F.avg(value).alias(mean), F.stddev_samp(value).alias(spread))
 
@@ -36,7 +45,7 @@ def pairwise_correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, r): Pearson correlation of every pair of columns, all pairs in one pass."""
     pairs = list(combinations(cols, 2))
     packed = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r")).alias(f"p{i}")
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(F.col(a).cast("double"), F.col(b).cast("double")).alias("r")).alias(f"p{i}")
         for i, (a, b) in enumerate(pairs)
     ]
     return df.agg(*packed).select(F.inline(F.array(*(F.col(f"p{i}") for i in range(len(pairs))))))
@@ -64,8 +73,8 @@ def histogram(df: DataFrame, col: str, buckets: int, keys: Sequence[str] = ()) -
     else:
         ranged = present.select("*", present.agg(range_).scalar().alias("__range"))
     width = (F.col("__range.high") - F.col("__range.low")) / buckets
-    place = F.least(F.floor((F.col("__x") - F.col("__range.low")) / F.nullif(width, F.lit(0.0))), F.lit(buckets - 1))
-    counted = ranged.groupBy(*keys, "__range", F.coalesce(place, F.lit(0)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col("__x") - F.col("__range.low")) / F.nullif(width, F.lit(0.0))), F.lit(buckets - 1)))
+    counted = ranged.groupBy(*keys, "__range", place.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     edge = lambda i: F.col("__range.low") + width * i
     return counted.select(*keys, "bucket", edge(F.col("bucket")).alias("low"), edge(F.col("bucket") + 1).alias("high"), "n")
 
@@ -104,11 +113,9 @@ def group_autocorrelation(
     keys = list(keys)
     clean = df.select(*keys, time, value, tie_break).dropna("any")
     pairs = with_previous(clean, keys, time, value, "__prev", tie_break, bin_seconds)
-    x, y = F.col(value).cast("double"), F.col("__prev").cast("double")
-    paired = F.col("__prev").isNotNull()
-    varies = (F.min("__prev") < F.max("__prev")) & (F.min(F.when(paired, F.col(value))) < F.max(F.when(paired, F.col(value))))
-    grouped = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("__r"), varies.alias("__varies"))
-    return grouped.filter(F.col("n") > more_than).select(*keys, "n", F.when(F.col("__varies"), F.col("__r")).alias("autocorrelation"))
+    r = correlation(F.col(value).cast("double"), F.col("__prev").cast("double"))
+    grouped = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r.alias("autocorrelation"))
+    return grouped.filter(F.col("n") > more_than)
 
 
 def day_autocorrelation(df: DataFrame, key: str, time: str, value: str, tie_break: str, more_than: int = 4) -> DataFrame:
