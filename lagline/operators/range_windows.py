@@ -185,7 +185,8 @@ def _add_for_key(
         inner = bins.select(*key_names, "__p", F.col("__p").alias("__s"), F.lit(_WHOLE_BINS).alias("__bound"), *inner_cols)
         sent = sent.unionByName(inner, allowMissingColumns=True)
 
-    cell = W.partitionBy(*key_names, "__p")
+    # The bin leads: it tells cells apart faster than the key, of which many rows may share one.
+    cell = W.partitionBy("__p", *key_names)
     upward, downward = cell.orderBy(F.col("__s").asc()), cell.orderBy(F.col("__s").desc())
     timed = F.col("__s").isNotNull()
     right, left = [], []
