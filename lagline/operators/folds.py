@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagline.operators.ranks import percent_ranks
+from lagline.operators.ranks import values_at
 
 
 @dataclass(frozen=True)
@@ -38,50 +38,71 @@ def block_bounds(blocks: int = 5, split: float = 0.8) -> list[Block]:
     return result
 
 
-def _ranges(df: DataFrame, time: str, bounds: list[Block]) -> DataFrame:
-    """One row with the first and last time of every block.
+# Largest position k of n sorted rows whose percentile k / (n - 1) does not exceed, or lies below, a share.
+# The product may be off by a rounding step, so its neighbours are compared the way percentiles are.
+def _last_at_most(share: float):
+    def place(size: Column) -> Column:
+        steps = F.greatest(size - 1, F.lit(1))
+        near = F.floor(steps * share)
+        return F.least(F.when((near + 1) / steps <= share, near + 1).when(near / steps <= share, near).otherwise(near - 1), size - 1)
 
-    Percentile is a step function of time, so each block is a closed time range; data rows never
-    need their own rank.
+    return place
+
+
+def _last_below(share: float):
+    def place(size: Column) -> Column:
+        steps = F.greatest(size - 1, F.lit(1))
+        near = F.ceil(steps * share)
+        return F.least(F.when(near / steps < share, near).when((near - 1) / steps < share, near - 1).otherwise(near - 2), size - 1)
+
+    return place
+
+
+def _edges(df: DataFrame, time: str, bounds: list[Block]) -> DataFrame:
+    """One row with two edges per block: the last time before it and the last time in it.
+
+    Percentile is a step function of time, so a block is a time range and no row needs its own rank.
+    An edge is a struct around its time, null where no row lies there.
     """
-    ranks = percent_ranks(df, time)
-    pick = lambda block: F.when(block.holds(F.col("percent_rank")), F.col(time))
-    return ranks.agg(
-        F.struct(*(F.struct(F.min(pick(b)).alias("first"), F.max(pick(b)).alias("last")).alias(f"b{i}") for i, b in enumerate(bounds))).alias("ranges")
-    )
+    places = {}
+    for i, b in enumerate(bounds):
+        places[f"{i} before"] = _last_below(b.low) if b.role == "train" else _last_at_most(b.low)
+        places[f"{i} last"] = _last_at_most(b.high)
+    found = values_at(df, time, places)
+    edge = lambda name: F.max(F.when(F.col("id") == name, F.struct(F.col("value").alias("at"))))
+    return found.agg(F.struct(*(edge(name).alias(name.replace(" ", "_")) for name in places)).alias("edges"))
+
+
+def _within(time: Column, before: Column, last: Column) -> Column:
+    """Later than ``before`` (a missing edge: from the start) and not later than ``last``; null times come first."""
+    after = before.isNull() | (time.isNotNull() & (before["at"].isNull() | (time > before["at"])))
+    until = last.isNotNull() & (time.isNull() | (last["at"].isNotNull() & (time <= last["at"])))
+    return F.coalesce(after, F.lit(False)) & F.coalesce(until, F.lit(False))
 
 
 def assign_blocks(df: DataFrame, time: str, blocks: int = 5, split: float = 0.8) -> DataFrame:
     """``df`` with ``fold`` and ``role``; one output row per block that holds the row.
 
-    The data itself is neither sorted nor shuffled: block time ranges come from a scalar subquery.
+    The data itself is neither sorted nor shuffled: the edges of the blocks come from a scalar subquery.
     """
     bounds = block_bounds(blocks, split)
-    ranged = df.select("*", _ranges(df, time, bounds).scalar().alias("__ranges"))
+    marked = df.select("*", _edges(df, time, bounds).scalar().alias("__edges"))
     hits = [
         F.when(
-            F.col(time).between(F.col(f"__ranges.b{i}.first"), F.col(f"__ranges.b{i}.last")),
+            _within(F.col(time), F.col(f"__edges.{i}_before"), F.col(f"__edges.{i}_last")),
             F.struct(F.lit(b.fold).alias("fold"), F.lit(b.role).alias("role")),
         )
         for i, b in enumerate(bounds)
     ]
-    hit = F.explode(F.array_compact(F.array(*hits))).alias("__hit")
-    return ranged.select(*df.columns, hit).select(*df.columns, "__hit.fold", "__hit.role")
+    # Plain explode and filter stay in generated code; array functions with lambdas would not.
+    placed = marked.select(*df.columns, F.explode(F.array(*hits)).alias("__hit")).filter(F.col("__hit").isNotNull())
+    return placed.select(*df.columns, "__hit.fold", "__hit.role")
 
 
 def block_ranges(df: DataFrame, time: str, blocks: int = 5, split: float = 0.8) -> DataFrame:
     """(fold, role, first_time, last_time): two rows per fold."""
-    bounds = block_bounds(blocks, split)
-    rows = F.array(
-        *(
-            F.struct(
-                F.lit(b.fold).alias("fold"), F.lit(b.role).alias("role"),
-                F.col(f"ranges.b{i}.first").alias("first_time"), F.col(f"ranges.b{i}.last").alias("last_time"),
-            )
-            for i, b in enumerate(bounds)
-        )
-    )
-    return _ranges(df, time, bounds).select(F.inline(rows))
+    placed = assign_blocks(df.select(time), time, blocks, split)
+    return placed.groupBy("fold", "role").agg(F.min(time).alias("first_time"), F.max(time).alias("last_time"))
 
 
 def block_frames(
@@ -89,13 +110,24 @@ def block_frames(
 ) -> list[tuple[DataFrame, DataFrame]]:
     """(train, validation) per fold as filters with literal bounds, so they reach the scan.
 
-    Runs one job for the 2 x ``blocks`` time bounds; only those come to the driver. ``times`` may
-    name a cheaper table with the same times, such as the rows before features were added.
+    Runs one job for the edges of the blocks; only those come to the driver. ``times`` may name a
+    cheaper table with the same times, such as the rows before features were added.
     """
-    ranges = block_ranges(df if times is None else times, time, blocks, split)
-    found = {(r.fold, r.role): (r.first_time, r.last_time) for r in ranges.collect()}
-    between = lambda key: df.filter(F.col(time).between(*(F.lit(v).cast(df.schema[time].dataType) for v in found[key])))
-    return [(between((i, "train")), between((i, "validation"))) for i in range(blocks)]
+    bounds = block_bounds(blocks, split)
+    edges = _edges(df if times is None else times, time, bounds).first()["edges"]
+    literal = lambda edge: F.lit(edge["at"]).cast(df.schema[time].dataType)
+
+    def rows(i: int) -> DataFrame:
+        before, last = edges[f"{i}_before"], edges[f"{i}_last"]
+        if last is None:
+            return df.filter(F.lit(False))
+        within = F.col(time).isNull() if last["at"] is None else F.col(time) <= literal(last)
+        if before is None:
+            return df.filter(F.col(time).isNull() | within)
+        after = F.col(time).isNotNull() if before["at"] is None else F.col(time) > literal(before)
+        return df.filter(after & within)
+
+    return [(rows(2 * i), rows(2 * i + 1)) for i in range(blocks)]
 
 
 def split_by_year(df: DataFrame, year: str | Column, holdout: int) -> tuple[DataFrame, DataFrame]:

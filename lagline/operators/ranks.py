@@ -1,22 +1,56 @@
 """Exact global ranks, row-number folds and quantiles without a single-task window.
 
-Rows are first counted per distinct value, so ties, however many, become one row. Approximate
-quantiles of the distinct values cut them into buckets of similar size; a running count inside each
-bucket, started at the total of all earlier buckets, gives the exact number of smaller rows. Only
-the bucket totals (a fixed number of rows per key) pass through one window.
+Approximate quantiles only choose cut points that divide the values into buckets of similar size;
+counts per bucket are exact whatever the cuts. A wanted position is then looked up in the one bucket
+that holds it, and a full ranking starts each bucket at the total of all earlier ones. Only bucket
+totals, a fixed number of rows per key, pass through one window. Rows of equal value are counted
+into one before they are ordered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BUCKETS = 256
 
 
+def _with_buckets(df: DataFrame, col: str, keys: list[str], buckets: int) -> DataFrame:
+    """``df`` with ``__bucket``: the number of cut points below the value, 0 for nulls."""
+    value = F.col(col)
+    if isinstance(df.schema[col].dataType, T.DecimalType):
+        value = value.cast("double")  # keeps the order, which is all that buckets need
+    # A rough sketch is enough: cut points decide the balance of the buckets, never a result.
+    cuts = F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(4 * buckets))
+    if keys:
+        # One row of cut points per key; keys with only nulls have none.
+        splits = df.groupBy(*keys).agg(cuts.alias("__cuts"))
+        marked = _attach(df, splits, keys, "left")
+    else:
+        marked = df.select("*", df.agg(cuts.alias("__cuts")).scalar().alias("__cuts"))
+    return marked.select(*df.columns, _smaller_cuts(F.col("__cuts"), value, buckets).alias("__bucket"))
+
+
+def _smaller_cuts(cuts: Column, value: Column, buckets: int) -> Column:
+    """How many of the sorted cut points are smaller than the value, by halving; 0 for a null value."""
+    steps, step = [], 1
+    while step < buckets:
+        steps.insert(0, step)
+        step *= 2
+    halve = lambda found, step: found + F.when(F.get(cuts, found + step - 1) < value, step).otherwise(0)
+    return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), halve)
+
+
+def _attach(df: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on ``keys`` with nulls equal, keeping the columns of both sides once."""
+    renamed = small.select(*(F.col(k).alias(f"__j_{k}") if k in keys else F.col(k) for k in small.columns))
+    return df.join(renamed, [df[k].eqNullSafe(renamed[f"__j_{k}"]) for k in keys], how).drop(*(f"__j_{k}" for k in keys))
+
+
 def value_ranks(df: DataFrame, col: str, keys: Sequence[str] = (), buckets: int = _BUCKETS) -> DataFrame:
     """(keys, ``col``, n, n_before): rows per distinct value and rows with a smaller value.
 
@@ -24,17 +58,7 @@ def value_ranks(df: DataFrame, col: str, keys: Sequence[str] = (), buckets: int
     """
     keys = list(keys)
     counts = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n"))
-    cuts = F.percentile_approx(F.col(col), F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(20 * buckets))
-    if keys:
-        # One row of cut points per key; keys with only nulls have none.
-        splits = counts.groupBy(*keys).agg(cuts.alias("__cuts"))
-        renamed = splits.select(*(F.col(k).alias(f"__j_{k}") for k in keys), "__cuts")
-        on = [counts[k].eqNullSafe(renamed[f"__j_{k}"]) for k in keys]
-        marked = counts.join(renamed, on, "left").drop(*(f"__j_{k}" for k in keys))
-    else:
-        marked = counts.select("*", counts.agg(cuts.alias("__cuts")).scalar().alias("__cuts"))
-    marked = marked.select(*keys, col, "n", _smaller_cuts(F.col("__cuts"), F.col(col), buckets).alias("__bucket"))
-
+    marked = _with_buckets(counts, col, keys, buckets)
     totals = marked.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__total"))
     earlier = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*keys, "__bucket", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("n"), F.lit(0).alias("__order"))
@@ -44,14 +68,38 @@ def value_ranks(df: DataFrame, col: str, keys: Sequence[str] = (), buckets: int
     return ranked.filter(F.col("__order") == 1).select(*keys, col, "n", "n_before")
 
 
-def _smaller_cuts(cuts: Column, value: Column, buckets: int) -> Column:
-    """How many of the sorted cut points are smaller than the value, by halving; 0 for a null value."""
-    steps, step = [], 1
-    while step < buckets:
-        steps.insert(0, step)
-        step *= 2
-    halve = lambda found, step: found + F.when(F.get(cuts, found + step - 1) < value, step).otherwise(0)
-    return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), halve)
+def values_at(
+    df: DataFrame, col: str, positions: Mapping[str, Callable[[Column], Column]], keys: Sequence[str] = (), buckets: int = _BUCKETS
+) -> DataFrame:
+    """(keys, id, position, size, value): the values at wanted places of the sorted column.
+
+    ``positions`` maps an id to a function of the group's row count that gives a position from 0;
+    positions outside the group have no row. Nulls come first. For few groups, however large: the
+    whole column is only counted per bucket, and just the buckets that hold a position are ordered.
+    """
+    if isinstance(df.schema[col].dataType, T.DecimalType):
+        raise ValueError("cast decimals to double first")
+    keys = list(keys)
+    marked = _with_buckets(df.select(*keys, F.col(col).alias("__value")), "__value", keys, buckets).withColumnRenamed("__bucket", "__coarse")
+    totals = marked.groupBy(*keys, "__coarse").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = W.partitionBy(*keys).orderBy("__coarse").rowsBetween(W.unboundedPreceding, -1)
+    sized = totals.select(
+        *keys, "__coarse", "__n", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(W.partitionBy(*keys)).alias("size")
+    )
+    wanted = F.array(*(F.struct(F.lit(i).alias("id"), place(F.col("size")).cast("long").alias("position")) for i, place in positions.items()))
+    hits = sized.select(*keys, "__coarse", "__n", "__before", "size", F.inline(wanted)).select(
+        *keys, "__coarse", "id", "position", "size", (F.col("position") - F.col("__before")).alias("__place"), "__n"
+    )
+    hits = hits.filter((F.col("__place") >= 0) & (F.col("__place") < F.col("__n"))).drop("__n")
+    if keys:
+        inside = _attach(marked, hits.select(*keys, "__coarse").distinct(), [*keys, "__coarse"], "left_semi")
+    else:
+        chosen = hits.agg(F.collect_set("__coarse").alias("chosen")).scalar()
+        inside = marked.filter(F.array_contains(chosen, F.col("__coarse")))
+    ranks = value_ranks(inside, "__value", [*keys, "__coarse"], buckets)
+    found = _attach(ranks, hits, [*keys, "__coarse"], "inner")
+    holds = (F.col("n_before") <= F.col("__place")) & (F.col("__place") < F.col("n_before") + F.col("n"))
+    return found.filter(holds).select(*keys, "id", "position", "size", F.col("__value").alias("value"))
 
 
 def percent_ranks(df: DataFrame, col: str, buckets: int = _BUCKETS) -> DataFrame:
@@ -73,61 +121,63 @@ def with_percent_rank(df: DataFrame, col: str, name: str = "percent_rank", bucke
 
 
 def row_number_folds(df: DataFrame, unique_col: str, folds: int, name: str = "fold", buckets: int = _BUCKETS) -> DataFrame:
-    """Contiguous folds of equal size by the order of a unique column."""
-    ranks = value_ranks(df, unique_col, buckets=buckets)
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
-    fold = F.floor(F.col("n_before") * folds / total).cast("int")
-    numbered = ranks.select(F.col(unique_col).alias("__value"), fold.alias(name))
-    return df.join(numbered, F.col(unique_col).eqNullSafe(F.col("__value")), "left").drop("__value")
+    """Contiguous folds of equal size by the order of a unique column.
+
+    A row's fold is the number of fold starts at or below its value; the rows are not shuffled.
+    """
+    starts = values_at(df, unique_col, {str(i): lambda size, i=i: F.ceil(size * i / folds) for i in range(1, folds)}, buckets=buckets)
+    listed = starts.agg(F.collect_list("value").alias("starts")).scalar()
+    marked = df.select("*", listed.alias("__starts"))
+    fold = F.size(F.filter("__starts", lambda start: start <= F.col(unique_col)))
+    return marked.withColumn(name, fold).drop("__starts")
 
 
 def exact_quantiles(df: DataFrame, col: str, probabilities: Sequence[float], keys: Sequence[str] = (), buckets: int = _BUCKETS) -> DataFrame:
     """(keys, probability, quantile) with linear interpolation, nulls ignored.
 
-    Reads the two neighbouring order statistics from the per-value ranks instead of collecting all
-    values of a group, as the exact ``percentile`` aggregate does.
+    Looks up the two neighbouring order statistics instead of collecting all values of a group, as
+    the exact ``percentile`` aggregate does.
     """
     keys = list(keys)
-    present = df.filter(F.col(col).isNotNull()).select(*keys, col)
-    ranks = value_ranks(present, col, keys, buckets)
-    sizes = ranks.groupBy(*keys).agg(F.sum("n").alias("__size"))
-    if keys:
-        renamed = sizes.select(*(F.col(k).alias(f"__j_{k}") for k in keys), "__size")
-        sized = ranks.join(renamed, [ranks[k].eqNullSafe(renamed[f"__j_{k}"]) for k in keys]).drop(*(f"__j_{k}" for k in keys))
-    else:
-        sized = ranks.select("*", sizes.scalar().alias("__size"))
-    wanted = F.explode(F.array(*(F.lit(float(p)) for p in probabilities))).alias("probability")
-    spread = sized.select("*", wanted)
-    position = F.col("probability") * (F.col("__size") - 1)
-    low, high = F.floor(position), F.ceil(position)
-    holds = lambda rank: (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
-    value = F.col(col).cast("double")
-    bracket = spread.filter(holds(low) | holds(high)).groupBy(*keys, "probability").agg(
-        F.max(position - low).alias("__part"),
-        F.max(F.when(holds(low), value)).alias("__low"),
-        F.max(F.when(holds(high), value)).alias("__high"),
+    present = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias(col))
+    places = {}
+    for p in map(float, probabilities):
+        places[f"{p!r} low"] = lambda size, p=p: F.floor((size - 1) * p)
+        places[f"{p!r} high"] = lambda size, p=p: F.ceil((size - 1) * p)
+    found = values_at(present, col, places, keys, buckets)
+    parts = F.split("id", " ")
+    split = found.select(*keys, parts[0].cast("double").alias("probability"), (parts[1] == "low").alias("__low"), "position", "size", F.col("value").cast("double").alias("value"))
+    pair = split.groupBy(*keys, "probability").agg(
+        F.max(F.when(F.col("__low"), F.col("value"))).alias("__a"), F.max(F.when(~F.col("__low"), F.col("value"))).alias("__b"),
+        F.max(F.when(F.col("__low"), (F.col("size") - 1) * F.col("probability") - F.col("position"))).alias("__part"),
     )
-    return bracket.select(*keys, "probability", (F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__part")).alias("quantile"))
+    return pair.select(*keys, "probability", (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__part")).alias("quantile"))
 
 
 def boxplot_stats(df: DataFrame, cols: Sequence[str], whisker: float = 1.5) -> DataFrame:
-    """Quartiles, fences, whisker ends and outlier counts, one row per column, over all rows."""
-    narrow = df.select(*(F.col(c).cast("double").alias(c) for c in cols)).unpivot([], list(cols), "column", "value")
-    narrow = narrow.filter(F.col("value").isNotNull())
-    flat = exact_quantiles(narrow, "value", (0.25, 0.5, 0.75), ["column"])
-    quartiles = flat.groupBy("column").agg(
-        *(F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))
-    )
+    """Quartiles, fences, whisker ends and outlier counts, one row per column, over all rows.
+
+    Each column is one scan of that column for its quartiles and one for the rest.
+    """
+    quartiles = None
+    for c in cols:
+        found = exact_quantiles(df, c, (0.25, 0.5, 0.75))
+        named = found.agg(*(F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
+        named = named.select(F.lit(c).alias("column"), "q1", "median", "q3")
+        quartiles = named if quartiles is None else quartiles.unionByName(named)
     reach = (F.col("q3") - F.col("q1")) * whisker
     fenced = quartiles.withColumns({"low_fence": F.col("q1") - reach, "high_fence": F.col("q3") + reach})
-    inside = F.col("value").between(F.col("low_fence"), F.col("high_fence"))
-    # The fence side has one row per column name, so the data side is not shuffled for it.
-    return (
-        narrow.join(fenced, "column")
-        .groupBy("column", "q1", "median", "q3", "low_fence", "high_fence")
-        .agg(
-            F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
-            F.count(F.when(~inside, 1)).alias("outliers"),
+    boxes = fenced.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("q1", "median", "q3", "low_fence", "high_fence")))).alias("boxes"))
+    marked = df.select(*(F.col(c).cast("double").alias(c) for c in cols), boxes.scalar().alias("__boxes"))
+    packed = []
+    for i, c in enumerate(cols):
+        box, value = F.element_at("__boxes", F.lit(c)), F.col(c)
+        inside = value.between(box["low_fence"], box["high_fence"])
+        packed.append(
+            F.struct(
+                F.lit(c).alias("column"), F.first(box).alias("box"), F.min(F.when(inside, value)).alias("whisker_low"),
+                F.max(F.when(inside, value)).alias("whisker_high"), F.count(F.when(~inside, 1)).alias("outliers"),
+            ).alias(f"c{i}")
         )
-    )
+    rows = marked.agg(*packed).select(F.inline(F.array(*(F.col(f"c{i}") for i in range(len(cols))))))
+    return rows.select("column", "box.*", "whisker_low", "whisker_high", "outliers")

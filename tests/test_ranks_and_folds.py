@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagline.operators.folds import assign_blocks, block_bounds, block_frames
-from lagline.operators.ranks import boxplot_stats, exact_quantiles, percent_ranks, row_number_folds, value_ranks, with_percent_rank
+from lagline.operators.ranks import boxplot_stats, exact_quantiles, percent_ranks, row_number_folds, value_ranks, values_at, with_percent_rank
 from lagline.operators.sampling import balance_by_keep, balance_by_ratio, hash_split, sample_at_most
 from lagline.functions.scalars import hash_score
 
@@ -49,6 +49,14 @@ def test_quantiles_equal_numpy(spark):
         assert r.quantile == pytest.approx(np.quantile(data[r.k], r.probability)), (r.k, r.probability)
 
 
+def test_decimals(spark):
+    df = spark.createDataFrame([(i, f"{i % 10}.5") for i in range(40)], "i int, s string").select(F.col("s").cast("decimal(12,2)").alias("v"))
+    assert exact_quantiles(df, "v", (0.5,)).first().quantile == 5.0
+    assert {(str(r.v), r.n_before) for r in value_ranks(df, "v").collect()} == {(f"{i}.50", 4 * i) for i in range(10)}
+    with pytest.raises(ValueError):
+        values_at(df, "v", {"first": lambda n: F.lit(0)})
+
+
 def test_boxplot(spark):
     df = spark.createDataFrame([(float(v), 1) for v in [*range(1, 12), 100]], "v double, c int")
     row = {r.column: r for r in boxplot_stats(df, ["v", "c"]).collect()}["v"]
@@ -67,7 +75,7 @@ def test_block_bounds():
 def test_blocks_equal_percent_rank_filters(spark, blocks, split):
     rng = random.Random(blocks)
     base = dt.datetime(2020, 1, 1)
-    rows = [(i, base + dt.timedelta(hours=rng.randrange(150))) for i in range(400)]
+    rows = [(i, None if i % 40 == 0 else base + dt.timedelta(hours=rng.randrange(150))) for i in range(400)]
     df = spark.createDataFrame(rows, "id int, ts timestamp")
     ranked = df.select("id", F.percent_rank().over(W.orderBy("ts")).alias("p")).collect()
     want = set()
@@ -79,6 +87,32 @@ def test_blocks_equal_percent_rank_filters(spark, blocks, split):
     assert got == want
 
 
+@pytest.mark.parametrize("n", [1, 7, 101])
+def test_blocks_of_evenly_spaced_rows(spark, n):
+    """Percentiles that hit the bounds exactly or miss them by a rounding step."""
+    df = spark.range(n)
+    ranked = df.select("id", F.percent_rank().over(W.orderBy("id")).alias("p")).collect()
+    for blocks, split in ((2, 1.0), (10, 0.5)):
+        want = {(r.id, b.fold, b.role) for b in block_bounds(blocks, split) for r in ranked if (r.p >= b.low if b.role == "train" else r.p > b.low) and r.p <= b.high}
+        assert {(r.id, r.fold, r.role) for r in assign_blocks(df, "id", blocks, split).collect()} == want, (blocks, split)
+
+
+def test_values_at(spark):
+    rng = random.Random(4)
+    data = {k: [rng.choice([None, 3, rng.randrange(1000)]) for _ in range(n)] for k, n in (("a", 1), ("b", 50), (None, 700))}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v int")
+    places = {"first": lambda n: F.lit(0), "middle": lambda n: F.floor(n / 2), "last": lambda n: n - 1, "none": lambda n: n}
+    got = {(r.k, r.id): r.value for r in values_at(df, "v", places, ["k"], buckets=8).collect()}
+    want = {}
+    for k, vs in data.items():
+        ordered = sorted(vs, key=lambda v: (v is not None, v))
+        want |= {(k, "first"): ordered[0], (k, "middle"): ordered[len(vs) // 2], (k, "last"): ordered[-1]}
+    assert got == want
+    overall = {r.id: r.value for r in values_at(df, "v", places, buckets=8).collect()}
+    ordered = sorted((v for vs in data.values() for v in vs), key=lambda v: (v is not None, v))
+    assert overall == {"first": ordered[0], "middle": ordered[len(ordered) // 2], "last": ordered[-1]}
+
+
 def test_row_on_a_boundary_is_in_two_train_folds(spark):
     df = spark.createDataFrame([(i,) for i in range(11)], "t int")  # percentiles 0, 0.1, ... 1
     folds = assign_blocks(df, "t", 2, 1.0).filter("role = 'train' and t = 5")
