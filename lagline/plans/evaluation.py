@@ -320,7 +320,7 @@ s AS (SELECT string_split(regexp_replace(feature, '^\\d+: ', ''), ' = ') AS part
 
 @query(
     "levels_from_votes",
-    _VOTES_SQL + """SELECT parts[1] AS "column", count(parts[2]) = 0 AS is_numeric, coalesce(list_sort(list(DISTINCT parts[2]) FILTER (parts[2] IS NOT NULL)), []) AS levels FROM s GROUP BY 1""",
+    _VOTES_SQL + """SELECT parts[1] AS "column", count(parts[2]) = 0 AS is_numeric, coalesce(array_to_string(list_sort(list(DISTINCT parts[2]) FILTER (parts[2] IS NOT NULL)), '|'), '') AS levels FROM s GROUP BY 1""",
 )
 def levels_from_votes_query(spark, sf_dir):
     from lagline.models.features import level_index
@@ -332,7 +332,7 @@ def levels_from_votes_query(spark, sf_dir):
         F.concat((F.col("pos") + 1).cast("int").cast("string"), F.lit(": BRAND = "), "p_brand").alias("feature"), "votes"
     )
     bare = part.groupBy("p_type").agg((F.sum("p_size") % 4).cast("int").alias("votes")).select(F.concat(F.lit("size_"), "p_type").alias("feature"), "votes")
-    return levels_from_votes(named.unionByName(bare))
+    return levels_from_votes(named.unionByName(bare)).withColumn("levels", F.concat_ws("|", "levels"))
 
 
 @query("fold_union", "SELECT 'a' AS part, event_id FROM events WHERE value >= 50 UNION ALL SELECT 'b', event_id FROM events WHERE value < 60")

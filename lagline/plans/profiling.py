@@ -69,21 +69,21 @@ def distinct_counts_query(spark, sf_dir):
 
 @query(
     "category_sets",
-    "SELECT r_name, list_sort(list(DISTINCT n_name)) AS members, CAST(count(DISTINCT n_name) AS INTEGER) AS n_members FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1",
+    "SELECT r_name, array_to_string(list_sort(list(DISTINCT n_name)), '|') AS members, CAST(count(DISTINCT n_name) AS INTEGER) AS n_members FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1",
 )
 def category_sets_query(spark, sf_dir):
     joined = load(spark, sf_dir, "region").join(load(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
-    return category_sets(joined, ["r_name"], "n_name")
+    return category_sets(joined, ["r_name"], "n_name").withColumn("members", F.concat_ws("|", "members"))
 
 
 @query(
     "year_inventory",
-    """SELECT year(o_orderdate) AS yr, list_sort(list(DISTINCT o_orderpriority)) AS members, CAST(count(DISTINCT o_orderpriority) AS INTEGER) AS n_members
+    """SELECT year(o_orderdate) AS yr, array_to_string(list_sort(list(DISTINCT o_orderpriority)), '|') AS members, CAST(count(DISTINCT o_orderpriority) AS INTEGER) AS n_members
 FROM orders GROUP BY 1""",
 )
 def year_inventory(spark, sf_dir):
     rows = load(spark, sf_dir, "orders").select(F.year("o_orderdate").cast("bigint").alias("yr"), "o_orderpriority")
-    return category_sets(rows, ["yr"], "o_orderpriority")
+    return category_sets(rows, ["yr"], "o_orderpriority").withColumn("members", F.concat_ws("|", "members"))
 
 
 @query(
