@@ -82,9 +82,10 @@ def values_at(
     keys = list(keys)
     marked = _with_buckets(df.select(*keys, F.col(col).alias("__value")), "__value", keys, buckets).withColumnRenamed("__bucket", "__coarse")
     totals = marked.groupBy(*keys, "__coarse").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = W.partitionBy(*keys).orderBy("__coarse").rowsBetween(W.unboundedPreceding, -1)
+    ordered = W.partitionBy(*keys).orderBy("__coarse")
+    earlier, every = ordered.rowsBetween(W.unboundedPreceding, -1), ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     sized = totals.select(
-        *keys, "__coarse", "__n", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(W.partitionBy(*keys)).alias("size")
+        *keys, "__coarse", "__n", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"), F.sum("__n").over(every).alias("size")
     )
     wanted = F.array(*(F.struct(F.lit(i).alias("id"), place(F.col("size")).cast("long").alias("position")) for i, place in positions.items()))
     hits = sized.select(*keys, "__coarse", "__n", "__before", "size", F.inline(wanted)).select(
