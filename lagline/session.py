@@ -50,10 +50,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the checkpoint folder, which every executor can reach; deleted when the driver ends."""
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lagline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lagline/{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "rows") -> DataFrame:
