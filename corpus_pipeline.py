@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lagline.llm import minhash_dedup, quality_rules
+from lagline.llm import decontaminate, minhash_dedup, pivotal_mix, quality_rules, token_store
 from lagline.llm.scratch import store
 
 
@@ -19,8 +20,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash_dedup.keep_first_of_each(docs)
 
 
-STAGES = [("quality rules", quality), ("near-duplicates", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return pivotal_mix.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every copy's place and ids in the token store, read back from it."""
+    return token_store.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near-duplicates", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token store", tokens),
+]
+
+# Signature bands, edit distances and token ids are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
