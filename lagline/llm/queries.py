@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagline.llm import decontaminate, minhash_dedup, pivotal_mix, quality_rules, substring_dedup, token_store
+from lagline.llm import (
+    decontaminate, html_paths, minhash_dedup, pivotal_mix, quality_rules, reshard, substring_dedup, token_store, url_trust,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +60,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_token_store")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op5_url_trust")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+@_query("op6_html_paths")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_paths.extract_articles(_table(spark, sf_dir, "pages"))
+
+
+N_SHARDS = 8
+
+
+@_query("op9_reshard")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From shards by source, which are uneven, to shards of equal bytes."""
+    old = F.pmod(F.xxhash64("source"), F.lit(N_SHARDS))
+    shards = reshard.reshard(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), old, N_SHARDS, N_SHARDS)
+    return shards.select(
+        "doc_id", "size", F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")

@@ -16,14 +16,14 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
-def store(df: DataFrame, name: str, **options: str) -> DataFrame:
+def store(df: DataFrame, name: str, partition_by: list[str] | None = None, **options: str) -> DataFrame:
     """Write ``df`` into the shared folder and read on from there.
 
     The lineage ends here: a lost executor costs at most the rows it was working on. Callers
     ``drop`` a table once the next one is written.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    df.write.options(**options).partitionBy(*partition_by or []).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
