@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagline.llm import (
-    decontaminate, html_paths, minhash_dedup, pivotal_mix, quality_rules, reshard, substring_dedup, token_store, url_trust,
+    chat_repair, decontaminate, html_paths, minhash_dedup, pivotal_mix, quality_rules, reshard, substring_dedup, token_store, url_trust,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.rule_ledger(_table(spark, sf_dir, "documents")))
 
 
+@_query("op2_chat_repair")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair_chats(_table(spark, sf_dir, "conversations"))
+
+
 @_query("op3_minhash_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
