@@ -14,27 +14,25 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     Each round hangs every node's larger neighbours on its smallest neighbour, then its smaller ones.
     A round is two aggregations and joins on edge rows, so a node with any number of neighbours is
     never gathered; chains shorten geometrically. Rounds are written to the shared folder. It ends when
-    every node hangs directly on its smallest one, which a count proves.
+    every node hangs directly on one other that hangs on nothing, which one aggregation proves.
     """
-    either = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    current = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    current = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name)
     while True:
-        both = either(current)
+        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         smallest = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
-        # larger neighbours of each node go to its smallest one
-        large = both.where("b > a").join(smallest, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # larger neighbours of each node go to its smallest one (an edge is looked at from its smaller end)
+        large = current.join(smallest, F.col("b") == F.col("node")).select("a", F.col("m").alias("b"))
         large = store(large, name)
         # smaller neighbours and the node itself go to the smallest one
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        hung = large.join(least.withColumnRenamed("a", "node"), F.col("a") == F.col("node"))
-        small = hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            least.select("a", F.col("m").alias("b"))).distinct()
-        small = store(small, name)
-        parents, nodes = small.count(), small.select("a").distinct().count()
-        deep = small.join(small.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        hung = large.join(least.withColumnRenamed("a", "node"), F.col("a") == F.col("node")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = store(hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), name)
+        ends = small.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            small.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        unfinished = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").limit(1).count()
         drop(current, large)
         current = small
-        if parents == nodes and not deep:
+        if not unfinished:
             break
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -8,11 +8,11 @@
    in 1 of 256 cases, which only ever keeps a pair longer.
 3. Survivors are verified on the full sets.
 
-A bucket of any size is never expanded into all its pairs. Rounds compare every member with one centre of
-its bucket, verified links merge components, and only members of *other* components are compared again. When
-the pairs between different components are no more than a few per row, they are all compared, which
-completes the candidates: pairs inside one component cannot change it. Should stars stop helping,
-the remaining pairs are compared all the same, so nothing depends on a limit.
+A bucket of any size is never expanded into all its pairs. Buckets hold sets of similar size only (others cannot
+reach the threshold). In two rounds every member is compared with one centre of its bucket, first with the one
+whose bands are the most common; verified links merge nodes under one label, and only members of *other* labels are compared again.
+What is still open then is compared in blocks of about a thousand signatures, which yield only the pairs that
+survive the pruning. Pairs under one label cannot change a component, so nothing is lost.
 
 Documents without words link with nothing and are their own component. Null ids form no component of their own: a component's id is its
 smallest non-null id, and null if there is none (then ``kept`` is true). Repeated rows are copies of each other. An empty table gives
@@ -39,10 +39,9 @@ BANDS, ROWS = 32, 4
 BATCH = 16
 # Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 75, 100
-MISS = 1e-9
-# All cross-component pairs are compared once there are at most this many per bucket row.
-PAIRS_PER_ROW = 2
-MAX_STARS = 6
+MISS = 1e-7
+# Nodes per block where open buckets are compared block by block.
+BLOCK = 1024
 
 _MIX = odd_numbers(SHINGLE, 11)
 _SHORT = odd_numbers(SHINGLE, 12)
@@ -121,20 +120,69 @@ def least_matches(threshold: float, miss: float, batch: int = BATCH, total: int
     return out
 
 
+def surviving(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the pairs (left row x, right row y) of signatures survive all batches."""
+    alive, matches = np.arange(len(x)), np.zeros(len(x), dtype=np.int16)
+    for end, least in bounds:
+        part = slice(end - BATCH, end)
+        matches = matches + (left[x[alive], part] == right[y[alive], part]).sum(axis=1, dtype=np.int16)
+        going = matches >= least
+        alive, matches = alive[going], matches[going]
+    return alive
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), BANDS * ROWS)
+
+
 def _prune(miss: float):
     bounds = least_matches(NUMERATOR / DENOMINATOR, miss)
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(n, BANDS * ROWS) for i in (2, 3))
-            alive, matches = np.arange(n), np.zeros(n, dtype=np.int64)
-            for end, least in bounds:
-                part = slice(end - BATCH, end)
-                matches = matches + (left[alive, part] == right[alive, part]).sum(axis=1)
-                going = matches >= least
-                alive, matches = alive[going], matches[going]
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(alive)) for i in (0, 1)], names=["a", "b"])
+            rows = np.arange(batch.num_rows)
+            alive = pa.array(surviving(_codes(batch.column(2)), _codes(batch.column(3)), rows, rows, bounds))
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(alive) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _compare_blocks(miss: float):
+    """Rows sorted by (band, low, high): the members of one or two blocks of a band, compared across labels."""
+    bounds = least_matches(NUMERATOR / DENOMINATOR, miss)
+
+    def compare(low: int, high: int, node: np.ndarray, n: np.ndarray, label: np.ndarray, block: np.ndarray, codes: np.ndarray):
+        x, y = (np.arange(len(node)),) * 2 if low == high else (np.flatnonzero(block == low), np.flatnonzero(block == high))
+        for at in range(0, len(x), 256):
+            some = x[at : at + 256, None]
+            open_ = label[some] != label[y]
+            open_ &= DENOMINATOR * np.minimum(n[some], n[y]) >= NUMERATOR * np.maximum(n[some], n[y])
+            if low == high:
+                open_ &= node[some] < node[y]
+            i, k = np.nonzero(open_)
+            i, k = x[at + i], y[k]
+            alive = surviving(codes, codes, i, k, bounds)
+            a, b = node[i[alive]], node[k[alive]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches):
+        key, parts = None, []
+        for batch in batches:
+            numbers = [batch.column(i).to_numpy() for i in range(7)]
+            codes = _codes(batch.column(7))
+            keys = np.stack(numbers[:3])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            for start, end in zip(edges, edges[1:]):
+                if start == end:
+                    continue
+                at = tuple(keys[:, start])
+                if at != key and parts:
+                    yield from compare(key[1], key[2], *(np.concatenate(c) for c in zip(*parts)))
+                    parts = []
+                key = at
+                parts.append([c[start:end] for c in (*numbers[3:], codes)])
+        if parts:
+            yield from compare(key[1], key[2], *(np.concatenate(c) for c in zip(*parts)))
 
     return run
 
@@ -146,7 +194,7 @@ class _Sets(OrderedDict):
         super().__init__()
         self.hashes = hashes
 
-    def of(self, key: bytes, text: bytes) -> np.ndarray:
+    def of(self, key: int, text: bytes) -> np.ndarray:
         if key not in self:
             if len(self) >= 64:
                 self.popitem(last=False)
@@ -172,9 +220,9 @@ def _verify(batches):
 def _keyed_texts(batches):
     hashes = WordHashes()
     for batch in batches:
-        keys = [blake2b(shingle_set(t, hashes).tobytes(), digest_size=16).digest() for t in texts_of(batch.column(1))]
-        good = pa.array([i for i, (k, want) in enumerate(zip(keys, batch.column(0).to_pylist())) if k == want], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good).cast(pa.binary())], names=["set_key", "body"])
+        keys = [blake2b(shingle_set(t, hashes).tobytes(), digest_size=16).digest() for t in texts_of(batch.column(2))]
+        good = pa.array([i for i, (k, want) in enumerate(zip(keys, batch.column(1).to_pylist())) if k == want], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(2).take(good).cast(pa.binary())], names=["node", "body"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
@@ -183,75 +231,78 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound_batches(spark)
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sketches = store(plain.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, codes binary, bands array<long>"), "sketches")
-    # One node per distinct set.
-    nodes = store(sketches.where("set_key IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("first_id"), F.first("codes").alias("codes"), F.first("bands").alias("bands")), "nodes")
-    rows = nodes.select("set_key", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = store(rows.join(shared, "band", "left_semi"), "members")
-    codes = store(nodes.join(members.select("set_key").distinct(), "set_key", "left_semi").select("set_key", "first_id", "codes"), "codes")
+    # One node per distinct set, numbered once and for all by the stored table.
+    nodes = sketches.where("set_key IS NOT NULL").groupBy("set_key").agg(
+        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("codes").alias("codes"), F.first("bands").alias("bands"))
+    nodes = store(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    rows = nodes.select("node", "n", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("in_band")).where("in_band > 1").select("band")
+    # Similar sets are of similar size: each node joins its own size class and the next larger one, a pair shares one of them.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(DENOMINATOR / NUMERATOR))
+    classed = store(rows.join(shared, "band", "left_semi").select(
+        "node", "n", F.explode(F.array(*(F.xxhash64("band", size_class + i) for i in (0, 1)))).alias("band")), "classed")
+    mass = classed.join(classed.groupBy("band").agg(F.count("*").alias("in_band")), "band").groupBy("node").agg(F.sum("in_band").alias("mass"))
+    weighed = classed.join(mass, "node")
+    # the smallest (-mass, node) as one struct of longs
+    first = F.min(F.struct((-F.col("mass")).alias("mass"), F.col("node").alias("centre")))
+    centres = weighed.groupBy("band").agg(F.count("*").alias("in_band"), first.alias("c")).where("in_band > 1").select("band", "c.centre")
+    members = store(classed.join(centres, "band").select("band", "node", "n", "centre"), "members")
+    signed = store(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "set_key", "first_id", "codes"), "signed")
     texts = store(
-        plain.join(codes.select("first_id", "set_key"), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("set_key", "text")
-        .mapInArrow(_keyed_texts, "set_key binary, body binary").dropDuplicates(["set_key"]), "texts")
-    signed = codes.select("set_key", "codes")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        side = lambda table, key, value, to: table.select(F.col("set_key").alias(key), F.col(value).alias(to))
-        likely = (pairs.join(side(signed, "a", "codes", "ca"), "a").join(side(signed, "b", "codes", "cb"), "b")
-                  .select("a", "b", "ca", "cb").mapInArrow(_prune(miss), "a binary, b binary"))
-        likely = store(likely, "likely")
-        found = store(likely.join(side(texts, "a", "body", "ta"), "a").join(side(texts, "b", "body", "tb"), "b")
-                      .select("a", "b", "ta", "tb").mapInArrow(_verify, "a binary, b binary"), "links")
-        drop(likely)
-        return found
-
-    size = members.count()
-    edges, labels = [], None
-    for star in range(MAX_STARS + 1):
-        if labels is None:
-            here = members.withColumn("component", F.col("set_key"))
-        else:
-            here = members.join(labels, F.col("set_key") == F.col("node"), "left").select(
-                "band", "set_key", F.coalesce("component", "set_key").alias("component"))
-            here = store(here, "open")
-        per_component = here.groupBy("band", "component").agg(F.count("*").alias("n"))
-        # exact as sums of doubles up to 2^53; it only steers which pairs come first
-        per_band = per_component.groupBy("band").agg(
-            F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.pow("n", F.lit(2))).alias("squares")).where("k > 1")
-        open_bands = store(per_band.select("band", ((F.pow("n", F.lit(2)) - F.col("squares")) / 2).alias("pairs")), "bands")
-        cross = open_bands.agg(F.sum("pairs")).first()[0] or 0
-        if not cross:
-            break
-        here = here.join(open_bands.select("band"), "band", "left_semi")
-        last = cross <= PAIRS_PER_ROW * size or star == MAX_STARS
-        if last:
-            sizes = per_component.join(open_bands.select("band"), "band", "left_semi").select("band", "component")
-            couples = sizes.withColumnRenamed("component", "ca").join(sizes.withColumnRenamed("component", "cb"), "band").where("ca < cb")
-            one = here.select("band", F.col("component").alias("ca"), F.col("set_key").alias("x"))
-            two = here.select("band", F.col("component").alias("cb"), F.col("set_key").alias("y"))
-            pairs = couples.join(one, ["band", "ca"]).join(two, ["band", "cb"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        else:
-            order = F.struct(F.xxhash64("set_key", F.lit(star)).alias("h"), F.col("set_key").alias("centre"), F.col("component").alias("home"))
-            centres = here.groupBy("band").agg(F.min(order).alias("c")).select("band", "c.centre", "c.home")
-            pairs = here.join(centres, "band").where("component <> home").select(
-                F.least("set_key", "centre").alias("a"), F.greatest("set_key", "centre").alias("b"))
-        edges.append(links(pairs.distinct()))
-        every = edges[0]
+        plain.join(signed.select("node", "first_id", "set_key"), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "set_key", "text")
+        .mapInArrow(_keyed_texts, "node long, body binary").dropDuplicates(["node"]), "texts")
+
+    side = lambda table, key, value, to: table.select(F.col("node").alias(key), F.col(value).alias(to))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(side(signed, "a", "codes", "ca"), "a").join(side(signed, "b", "codes", "cb"), "b")
+                .select("a", "b", "ca", "cb").mapInArrow(_prune(miss), "a long, b long"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return store(pairs.join(side(texts, "a", "body", "ta"), "a").join(side(texts, "b", "body", "tb"), "b")
+                     .select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), "links")
+
+    def still_open(edges: list[DataFrame]) -> DataFrame:
+        """Members of buckets with two labels or more: band, node, n, label, label_size, in_band.
+
+        Nodes that hang on the same neighbour are linked through it, which is enough to see which pairs are open.
+        """
+        hung = edges[0]
         for more in edges[1:]:
-            every = every.unionByName(more)
-        labels = store(connected_components(every), "labels")
-        if last:
-            break
+            hung = hung.unionByName(more)
+        hooks = hung.groupBy("b").agg(F.min("a").alias("hook"))
+        far = hooks.select(F.col("b").alias("h"), F.col("hook").alias("next"))
+        labels = hooks.join(far, F.col("hook") == F.col("h"), "left").select("b", F.coalesce("next", "hook").alias("label"))
+        here = store(members.join(labels, F.col("node") == F.col("b"), "left").select(
+            "band", "node", "n", F.coalesce("label", "node").alias("label")), "labelled")
+        bands = here.groupBy("band").agg(F.count("*").alias("in_band"), F.min("label").alias("least"), F.max("label").alias("most"))
+        return here.join(bands.where("least < most").select("band", "in_band"), "band")
+
+    edges = [verified(likely(members.where("node <> centre").select(*pair("node", "centre")).distinct()))]
+    here = store(still_open(edges), "open")
+    centre = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("centre"), F.col("label").alias("home"))).alias("c")
+    centres = here.groupBy("band").agg(centre).select("band", "c.centre", "c.home")
+    edges.append(verified(likely(here.join(centres, "band").where("label <> home").select(*pair("node", "centre")).distinct())))
+    drop(here)
+    here = still_open(edges)
+    blocks = F.ceil(F.col("in_band") / BLOCK).cast("int")
+    dealt = here.join(signed.select("node", "codes"), "node").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "n", "label", "block", "codes")
+    rest = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(_compare_blocks(miss), "a long, b long")
+    edges.append(verified(rest.distinct()))
     drop(members, texts)
 
-    ids = nodes.select("set_key", "first_id")
-    if labels is not None:
-        named = ids.join(labels, F.col("set_key") == F.col("node")).select("set_key", "first_id", "component")
-        least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        grouped = named.join(least, "component").select("set_key", "component_id")
-        ids = ids.join(grouped, "set_key", "left").select("set_key", F.coalesce("component_id", "first_id").alias("component_id"))
-    else:
-        ids = ids.withColumnRenamed("first_id", "component_id")
+    every = edges[0]
+    for more in edges[1:]:
+        every = every.unionByName(more)
+    labels = connected_components(every).withColumnsRenamed({"node": "of"})
+    named = nodes.select("node", "first_id").join(labels, F.col("node") == F.col("of")).select("node", "first_id", "component")
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    grouped = store(named.join(least, "component").select(F.col("node").alias("of"), "component_id"), "grouped")
+    ids = nodes.select("set_key", "first_id", "node").join(grouped, F.col("node") == F.col("of"), "left").select(
+        "set_key", F.when(F.col("of").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(ids, "set_key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
