@@ -156,6 +156,7 @@ def copies(
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     numbered = store(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    chosen = copies(numbered, id_col, text_col, source_col, row_col="__row").where("copies > 0").select(F.col("row").alias("__taken"), "copies")
+    chosen = copies(numbered, id_col, text_col, source_col, row_col="__row").where("copies > 0").select(
+        F.col("row").alias("__taken"), F.col("copies").alias("__copies"))
     return numbered.join(chosen, F.col("__row") == F.col("__taken")).withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[numbered[f"`{c}`"] for c in docs.columns])
+        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[numbered[f"`{c}`"] for c in docs.columns])

@@ -12,7 +12,7 @@ Positions are running sums in two steps (block sums, then inside a block), never
 The law is ``bytes``: sizes near equal for equal capacities.
 
 A null text has no bytes and size 1. Null ids, ties and repeated rows are placed one by one. An empty table gives empty shards. Extra
-columns are carried along when files are written.
+columns are carried along when files are written, but for those named like the results (shard, slot, size, old_shard), which are replaced.
 """
 
 from __future__ import annotations
@@ -145,7 +145,9 @@ def reshard(
     files_per_shard: int = 16,
 ) -> DataFrame:
     """``docs`` with ``shard``, ``slot``, ``old_shard`` and ``size`` (bytes of the text plus 1), read back from the shards' files."""
-    numbered = store(docs.withColumns({"__row": F.monotonically_increasing_id(), "__old": old_shard.cast("int")}), "old-shards")
+    results = {"shard", "slot", "size", "old_shard"}
+    marked = docs.withColumns({"__row": F.monotonically_increasing_id(), "__old": old_shard.cast("int")})
+    numbered = store(marked.drop(*(c for c in docs.columns if c.lower() in results)), "old-shards")
     size = F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)) + 1
     plan, flow = plan_transfers(numbered, F.col("__old"), size, "__row", n_old, n_new, capacities)
     return rewrite(numbered, store(plan, "plan"), "__row", affected_shards(flow), files_per_shard).drop("__row", "__old")
