@@ -9,10 +9,11 @@
 3. Survivors are verified on the full sets.
 
 A bucket of any size is never expanded into all its pairs. Buckets hold sets of similar size only (others cannot
-reach the threshold). In two rounds every member is compared with one centre of its bucket, first with the one
-whose bands are the most common; verified links merge nodes under one label, and only members of *other* labels are compared again.
-What is still open then is compared in blocks of about a thousand signatures, which yield only the pairs that
-survive the pruning. Pairs under one label cannot change a component, so nothing is lost.
+reach the threshold). Every member is first compared with one centre of its bucket, the one whose bands are the most
+common, so a group of near copies shares one centre; verified links give nodes common labels. Buckets are then united by
+centre, which drops the repetitions of a group over its bands, and only where two labels are left, members of *different* labels are compared,
+in blocks of bounded size: 512-fold signatures in batches, the survivors verified on the spot. A block keeps track of what it has
+linked and yields only links that join two labels. Pairs under one label cannot change a component, so nothing is lost.
 
 Documents without words link with nothing and are their own component. Null ids form no component of their own: a component's id is its
 smallest non-null id, and null if there is none (then ``kept`` is true). Repeated rows are copies of each other. An empty table gives
@@ -40,12 +41,13 @@ BATCH = 16
 # Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 75, 100
 MISS = 1e-7
-# Nodes per block where open buckets are compared block by block.
-BLOCK = 1024
+# Signature values where what is still open is compared in blocks, and shingles per block.
+LONG = 512
+BLOCK_SHINGLES = 400_000
 
 _MIX = odd_numbers(SHINGLE, 11)
 _SHORT = odd_numbers(SHINGLE, 12)
-_SCALE, _SHIFT = odd_numbers(BANDS * ROWS, 13), mix(odd_numbers(BANDS * ROWS, 14))
+_SCALE, _SHIFT = odd_numbers(LONG, 13), mix(odd_numbers(LONG, 14))
 _BAND = odd_numbers(ROWS, 15)
 
 
@@ -62,19 +64,24 @@ def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
     return np.empty(0, dtype=np.uint64)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minimum of each of the 128 hash functions, in slices so that very long texts stay small in memory."""
-    best = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def signature(shingles: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+    """Minimum of each of the first ``size`` hash functions, in slices so that very long texts stay small in memory."""
+    best = np.full(size, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 4096):
-            part = shingles[at : at + 4096]
-            values = part[None, :] * _SCALE[:, None]
-            values += _SHIFT[:, None]
+        for at in range(0, len(shingles), 1024):
+            part = shingles[at : at + 1024]
+            values = part[None, :] * _SCALE[:size, None]
+            values += _SHIFT[:size, None]
             values ^= values >> np.uint64(32)
             np.minimum(best, values.min(axis=1), out=best)
     return best
 
 
+def bytes_of(values: np.ndarray) -> bytes:
+    """One byte per signature value."""
+    return (mix(values) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def band_keys(values: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         rows = mix(values).reshape(BANDS, ROWS)
@@ -97,7 +104,7 @@ def _sketch(batches):
                 continue
             values = signature(shingles)
             keys.append(blake2b(shingles.tobytes(), digest_size=16).digest())
-            codes.append((mix(values) >> np.uint64(56)).astype(np.uint8).tobytes())
+            codes.append(bytes_of(values))
             bands.append(band_keys(values))
         yield pa.record_batch([
             batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(codes, pa.binary()),
@@ -131,8 +138,18 @@ def surviving(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray,
     return alive
 
 
-def _codes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), BANDS * ROWS)
+def _codes(column: pa.Array, size: int = BANDS * ROWS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), size)
+
+
+def similar(left: np.ndarray, right: np.ndarray) -> bool:
+    """The threshold on two whole sets."""
+    if DENOMINATOR * min(len(left), len(right)) < NUMERATOR * max(len(left), len(right)):
+        return False
+    both = np.concatenate([left, right])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return DENOMINATOR * shared >= NUMERATOR * (len(left) + len(right) - shared)
 
 
 def _prune(miss: float):
@@ -147,42 +164,78 @@ def _prune(miss: float):
     return run
 
 
-def _compare_blocks(miss: float):
-    """Rows sorted by (band, low, high): the members of one or two blocks of a band, compared across labels."""
-    bounds = least_matches(NUMERATOR / DENOMINATOR, miss)
-
-    def compare(low: int, high: int, node: np.ndarray, n: np.ndarray, label: np.ndarray, block: np.ndarray, codes: np.ndarray):
-        x, y = (np.arange(len(node)),) * 2 if low == high else (np.flatnonzero(block == low), np.flatnonzero(block == high))
+def _long_rows(batches):
+    hashes = WordHashes()
+    for batch in batches:
+        sets = [shingle_set(t, hashes) for t in texts_of(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([
+            batch.column(0), pa.array([bytes_of(signature(x, LONG)) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
+            names=["node", "codes", "shingles"])
+
+
+class _Block:
+    """Members of one block, or of two to be held against each other."""
+
+    def __init__(self, low: int, high: int, rows: list[list]):
+        node, n, label, block = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        self.low, self.high, self.node, self.n, self.block = low, high, node, n, block
+        self.codes = np.concatenate([r[4] for r in rows])
+        self.sets = [np.frombuffer(x, dtype=np.uint64) for r in rows for x in r[5]]
+        names, self.label = np.unique(label, return_inverse=True)
+        self.parent = list(range(len(names)))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+    def links(self, bounds: list[tuple[int, int]]):
+        """Linked pairs of nodes that join two labels."""
+        same = self.low == self.high
+        x, y = (np.arange(len(self.node)),) * 2 if same else (np.flatnonzero(self.block == self.low), np.flatnonzero(self.block == self.high))
         for at in range(0, len(x), 256):
-            some = x[at : at + 256, None]
-            open_ = label[some] != label[y]
-            open_ &= DENOMINATOR * np.minimum(n[some], n[y]) >= NUMERATOR * np.maximum(n[some], n[y])
-            if low == high:
-                open_ &= node[some] < node[y]
+            rows = x[at : at + 256, None]
+            roots = np.array([self.find(i) for i in range(len(self.parent))])[self.label]
+            open_ = roots[rows] != roots[y]
+            open_ &= DENOMINATOR * np.minimum(self.n[rows], self.n[y]) >= NUMERATOR * np.maximum(self.n[rows], self.n[y])
+            if same:
+                open_ &= self.node[rows] < self.node[y]
             i, k = np.nonzero(open_)
             i, k = x[at + i], y[k]
-            alive = surviving(codes, codes, i, k, bounds)
-            a, b = node[i[alive]], node[k[alive]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            for alive in surviving(self.codes, self.codes, i, k, bounds).tolist():
+                a, b = int(i[alive]), int(k[alive])
+                left, right = self.find(self.label[a]), self.find(self.label[b])
+                if left != right and similar(self.sets[a], self.sets[b]):
+                    self.parent[left] = right
+                    yield int(self.node[a]), int(self.node[b])
+
+
+def _compare_blocks(miss: float):
+    """Rows sorted by (centre, low, high): the members of one or two blocks of a centre, compared across labels."""
+    bounds = least_matches(NUMERATOR / DENOMINATOR, miss, total=LONG)
+
+    def out(key: tuple, rows: list[list]) -> pa.RecordBatch:
+        found = list(_Block(key[1], key[2], rows).links(bounds))
+        return pa.RecordBatch.from_arrays([pa.array([f(p) for p in found], pa.int64()) for f in (min, max)], names=["a", "b"])
 
     def run(batches):
-        key, parts = None, []
+        key, rows = None, []
         for batch in batches:
             numbers = [batch.column(i).to_numpy() for i in range(7)]
-            codes = _codes(batch.column(7))
+            columns = [*numbers[3:], _codes(batch.column(7), LONG), batch.column(8).to_pylist()]
             keys = np.stack(numbers[:3])
             edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), batch.num_rows]
             for start, end in zip(edges, edges[1:]):
                 if start == end:
                     continue
                 at = tuple(keys[:, start])
-                if at != key and parts:
-                    yield from compare(key[1], key[2], *(np.concatenate(c) for c in zip(*parts)))
-                    parts = []
+                if at != key and rows:
+                    yield out(key, rows)
+                    rows = []
                 key = at
-                parts.append([c[start:end] for c in (*numbers[3:], codes)])
-        if parts:
-            yield from compare(key[1], key[2], *(np.concatenate(c) for c in zip(*parts)))
+                rows.append([c[start:end] for c in columns])
+        if rows:
+            yield out(key, rows)
 
     return run
 
@@ -208,11 +261,7 @@ def _verify(batches):
         good = []
         a, b, ta, tb = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), texts_of(batch.column(3))
         for i in range(batch.num_rows):
-            left, right = sets.of(a[i], ta[i]), sets.of(b[i], tb[i])
-            if DENOMINATOR * min(len(left), len(right)) < NUMERATOR * max(len(left), len(right)):
-                continue
-            shared = len(np.intersect1d(left, right, assume_unique=True))
-            if DENOMINATOR * shared >= NUMERATOR * (len(left) + len(right) - shared):
+            if similar(sets.of(a[i], ta[i]), sets.of(b[i], tb[i])):
                 good.append(i)
         yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(good, pa.int64())) for i in (0, 1)], names=["a", "b"])
 
@@ -246,58 +295,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the smallest (-mass, node) as one struct of longs
     first = F.min(F.struct((-F.col("mass")).alias("mass"), F.col("node").alias("centre")))
     centres = weighed.groupBy("band").agg(F.count("*").alias("in_band"), first.alias("c")).where("in_band > 1").select("band", "c.centre")
-    members = store(classed.join(centres, "band").select("band", "node", "n", "centre"), "members")
+    members = store(classed.join(centres, "band").select("centre", "node", "n").distinct(), "members")
     signed = store(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "set_key", "first_id", "codes"), "signed")
     texts = store(
         plain.join(signed.select("node", "first_id", "set_key"), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "set_key", "text")
         .mapInArrow(_keyed_texts, "node long, body binary").dropDuplicates(["node"]), "texts")
 
     side = lambda table, key, value, to: table.select(F.col("node").alias(key), F.col(value).alias(to))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        return (pairs.join(side(signed, "a", "codes", "ca"), "a").join(side(signed, "b", "codes", "cb"), "b")
-                .select("a", "b", "ca", "cb").mapInArrow(_prune(miss), "a long, b long"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return store(pairs.join(side(texts, "a", "body", "ta"), "a").join(side(texts, "b", "body", "tb"), "b")
-                     .select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), "links")
-
-    def still_open(edges: list[DataFrame]) -> DataFrame:
-        """Members of buckets with two labels or more: band, node, n, label, label_size, in_band.
-
-        Nodes that hang on the same neighbour are linked through it, which is enough to see which pairs are open.
-        """
-        hung = edges[0]
-        for more in edges[1:]:
-            hung = hung.unionByName(more)
-        hooks = hung.groupBy("b").agg(F.min("a").alias("hook"))
-        far = hooks.select(F.col("b").alias("h"), F.col("hook").alias("next"))
-        labels = hooks.join(far, F.col("hook") == F.col("h"), "left").select("b", F.coalesce("next", "hook").alias("label"))
-        here = store(members.join(labels, F.col("node") == F.col("b"), "left").select(
-            "band", "node", "n", F.coalesce("label", "node").alias("label")), "labelled")
-        bands = here.groupBy("band").agg(F.count("*").alias("in_band"), F.min("label").alias("least"), F.max("label").alias("most"))
-        return here.join(bands.where("least < most").select("band", "in_band"), "band")
-
-    edges = [verified(likely(members.where("node <> centre").select(*pair("node", "centre")).distinct()))]
-    here = store(still_open(edges), "open")
-    centre = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("centre"), F.col("label").alias("home"))).alias("c")
-    centres = here.groupBy("band").agg(centre).select("band", "c.centre", "c.home")
-    edges.append(verified(likely(here.join(centres, "band").where("label <> home").select(*pair("node", "centre")).distinct())))
-    drop(here)
-    here = still_open(edges)
-    blocks = F.ceil(F.col("in_band") / BLOCK).cast("int")
-    dealt = here.join(signed.select("node", "codes"), "node").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node"), blocks).cast("int")})
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "n", "label", "block", "codes")
-    rest = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high").mapInArrow(_compare_blocks(miss), "a long, b long")
-    edges.append(verified(rest.distinct()))
-    drop(members, texts)
-
-    every = edges[0]
-    for more in edges[1:]:
-        every = every.unionByName(more)
+    pairs = members.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    likely = (pairs.join(side(signed, "a", "codes", "ca"), "a").join(side(signed, "b", "codes", "cb"), "b")
+              .select("a", "b", "ca", "cb").mapInArrow(_prune(miss), "a long, b long"))
+    starred = store(likely.join(side(texts, "a", "body", "ta"), "a").join(side(texts, "b", "body", "tb"), "b")
+                    .select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), "links")
+
+    # Nodes that hang on the same neighbour are linked through it, which is enough to see which pairs are still open.
+    hooks = starred.groupBy("b").agg(F.min("a").alias("hook"))
+    further = hooks.select(F.col("b").alias("h"), F.col("hook").alias("next"))
+    labels = hooks.join(further, F.col("hook") == F.col("h"), "left").select("b", F.coalesce("next", "hook").alias("label"))
+    labelled = store(members.join(labels, F.col("node") == F.col("b"), "left").select(
+        "centre", "node", "n", F.coalesce("label", "node").alias("label")), "labelled")
+    open_centres = labelled.groupBy("centre").agg(F.sum("n").alias("shingles"), F.min("label").alias("least"), F.max("label").alias("most")).where(
+        "least < most").select("centre", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    open_ = store(labelled.join(open_centres, "centre").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "open")
+    whole = store(open_.select("node").distinct().join(texts, "node").select("node", "body").mapInArrow(
+        _long_rows, "node long, codes binary, shingles binary"), "whole")
+    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(whole, "node").select(
+        "centre", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "n", "label", "block", "codes", "shingles")
+    rest = dealt.repartition("centre", "low", "high").sortWithinPartitions("centre", "low", "high").mapInArrow(_compare_blocks(miss), "a long, b long")
+    every = starred.unionByName(rest)
     labels = connected_components(every).withColumnsRenamed({"node": "of"})
+    drop(members, texts, labelled, open_, whole)
     named = nodes.select("node", "first_id").join(labels, F.col("node") == F.col("of")).select("node", "first_id", "component")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     grouped = store(named.join(least, "component").select(F.col("node").alias("of"), "component_id"), "grouped")

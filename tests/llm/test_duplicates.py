@@ -57,9 +57,9 @@ def near_copies(rng, n_groups, size):
     return rows
 
 
-@pytest.mark.parametrize("block", [1024, 8])
+@pytest.mark.parametrize("block", [400_000, 1000])
 def test_components_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", block)
     rng = random.Random(3)
     rows = near_copies(rng, 6, 30) + near_copies(rng, 60, 2)
     rows = [(i, t) for i, (_, t) in enumerate(rows)] + [(1000, ""), (1001, None), (1002, "One Two"), (1003, "one two"), (1004, "\n \t")]
