@@ -6,6 +6,7 @@ cuts UTF-8 text into.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from hashlib import blake2b
 
 import numpy as np
@@ -36,7 +37,7 @@ class WordHashes(dict):
         code = self[word] = blake2b(word, digest_size=8).digest()
         return code
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: Iterable[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u8")
 
 
@@ -74,11 +75,19 @@ class Rolling:
         powers = lambda b: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, b, dtype=np.uint64)]), dtype=np.uint64)
         self.up, self.down = powers(np.uint64(self.base)), powers(np.uint64(self.inverse))
 
+    def sums(self, codes: np.ndarray) -> np.ndarray:
+        """Running sums from which ``span`` takes the hash of any run of words."""
+        n = len(codes)
+        if n > len(self.up):
+            self._grow(1 << n.bit_length())
+        return np.concatenate([[np.uint64(0)], np.cumsum(codes * self.down[:n], dtype=np.uint64)])
+
+    def span(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix((sums[stop] - sums[start]) * self.up[start])
+
     def of(self, codes: np.ndarray) -> np.ndarray:
         n = len(codes)
         if n < self.width:
             return np.empty(0, dtype=np.uint64)
-        if n > len(self.up):
-            self._grow(2 * n)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(codes * self.down[:n], dtype=np.uint64)])
+        sums = self.sums(codes)
         return mix((sums[self.width :] - sums[: -self.width]) * self.up[: n - self.width + 1])
