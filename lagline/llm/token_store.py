@@ -15,7 +15,7 @@ ordered by a hash of their text. An empty table gives empty files and an empty i
 
 from __future__ import annotations
 
-import zlib
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,36 +30,63 @@ from lagline.llm.words import mix, odd_numbers, texts_of
 
 END_ID = 1
 BLOCK_IDS = 1 << 16
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 48 << 20
 PART_KEYS = 100_000
 # Bits per key and level.
 SPARE = 2
 
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 600_000
 _SEEDS = mix(odd_numbers(256, 41))
 _OCCURRENCE, _PRINT = odd_numbers(2, 42)
 _NULL = 1 << 62
 
 
-class WordIds(dict):
-    """Word -> bytes of its token ids; a cache that starts anew when it is full."""
+# An ASCII punctuation run (without the apostrophe) that ends a word after a letter is a token run of its own.
+_TAIL = re.compile(rb"(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[!-&(-/:-@\[-`{-~]+(?=\s|\Z)")
 
-    def __init__(self, path: str, width: int):
-        from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), f"<u{width}"
+class WordIds:
+    """Token ids of whole texts as bytes, word by word through a cache that starts anew when it is full.
+
+    The tokenizer drops white space and never joins words across it, lower-cases everything, and keeps letters and punctuation
+    apart. So words can be lower-cased, cut before their final punctuation and encoded once each. Texts with a marker
+    of special tokens, which are matched as written, or with combining marks, which the tokenizer composes before it lower-cases, keep their case.
+    """
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= _CACHED_WORDS:
-            self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        code = self[word] = np.array(ids, dtype=self.dtype).tobytes()
-        return code
+    def __init__(self, path: str, width: int):
+        from tokenizers import Tokenizer
 
-    def of(self, text: bytes) -> bytes:
-        # The tokenizer drops white space and never joins words across it.
-        return b"".join(map(self.__getitem__, text.split()))
+        self.tokenizer, self.dtype, self.codes = Tokenizer.from_file(path), f"<u{width}", {}
+
+    def pieces(self, text: bytes) -> list[bytes]:
+        if b"<|" in text:
+            return text.split()
+        plain = b"\xcc" not in text and b"\xcd" not in text
+        return _TAIL.sub(rb" \g<0>", text.lower() if plain else text).split()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encode unseen words together; each token knows its word."""
+        if len(self.codes) + len(words) > _CACHED_WORDS:
+            self.codes.clear()
+        unseen = list(words - self.codes.keys())
+        for at in range(0, len(unseen), 50_000):
+            part = unseen[at : at + 50_000]
+            found = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, dtype=self.dtype).tobytes()
+            width = np.dtype(self.dtype).itemsize
+            ends = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(part)), side="right") * width
+            start = 0
+            for word, end in zip(part, ends.tolist()):
+                self.codes[word] = ids[start:end]
+                start = end
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        out = []
+        for at in range(0, len(texts), 256):
+            pieces = [self.pieces(t) for t in texts[at : at + 256]]
+            self.learn(set().union(*pieces))
+            out += [b"".join(map(self.codes.__getitem__, words)) for words in pieces]
+        return out
 
 
 def id_width(path: str) -> int:
@@ -88,8 +115,8 @@ def _write_blocks(path: str, width: int):
                 "lengths": lengths, "offsets": offsets[:-1].tolist(), "payload": b"".join(parts)}], schema=_BLOCK_SCHEMA)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-                code = words.of(text) + end
+            for doc_id, code in zip(batch.column(0).to_pylist(), words.of(texts_of(batch.column(1)))):
+                code += end
                 ids.append(doc_id), parts.append(code), lengths.append(len(code) // width)
                 if sum(lengths) >= BLOCK_IDS or len(ids) >= BLOCK_IDS // 8:
                     yield out()
