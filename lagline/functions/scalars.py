@@ -20,11 +20,12 @@ def text_label(delay: str | Column, threshold: float = 15, late: str = "Delayed"
     return F.when(as_column(delay) >= threshold, late).otherwise(on_time)
 
 
-def composite_label(delay: str, flag: str, threshold: float = 15, low: float = 0, high: float = 120) -> Column:
-    """1 when late or flagged, as long as the delay lies within [low, high]."""
-    return F.expr(
-        f"CASE WHEN ({delay} >= {threshold} OR {flag} = 1) AND {delay} BETWEEN {low} AND {high} THEN 1 ELSE 0 END"
-    )
+def composite_label(
+    delay: str | Column, flag: str | Column, difference: str | Column, threshold: float = 15, low: float = 0, high: float = 120,
+) -> Column:
+    """1 when late or flagged, as long as the time difference to the earlier flight lies within [low, high]."""
+    late = (as_column(delay) >= threshold) | (as_column(flag) == 1)
+    return F.when(late & as_column(difference).between(low, high), 1).otherwise(0)
 
 
 def threshold_zero(value: str | Column, threshold: float) -> Column:
@@ -80,11 +81,11 @@ def weighted_score(weights: Mapping[str, float]) -> Column:
 
 
 def hash_score(key: str | Column, seed: int = 42) -> Column:
-    """A uniform score in [0, 1) that depends on the key only.
+    """A uniform score in [0, 1) of 53 bits that depends on the key only.
 
     Unlike ``rand`` it does not change with partitioning or when lost tasks run again.
     """
-    return F.pmod(F.xxhash64(as_column(key), F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    return F.shiftrightunsigned(F.xxhash64(as_column(key), F.lit(seed)), 11) / F.lit(float(1 << 53))
 
 
 def haversine_km(lat1: str | Column, lon1: str | Column, lat2: str | Column, lon2: str | Column) -> Column:

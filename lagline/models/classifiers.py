@@ -57,7 +57,8 @@ def wide_layers(inputs: int) -> tuple[int, int]:
 
 
 def fit_stages(train: DataFrame, stages: Sequence) -> PipelineModel:
-    return Pipeline(stages=list(stages)).fit(train)
+    """Fit the stages in order; a plain function among them makes its stage of the training rows."""
+    return Pipeline(stages=[s if hasattr(s, "uid") else s(train) for s in stages]).fit(train)
 
 
 def score(model: PipelineModel, df: DataFrame, name: str = "prob_pos", keep: Sequence[str] | None = None) -> DataFrame:
@@ -100,7 +101,8 @@ def fit_folds(
 
 def grid_search(
     folds: Sequence[tuple[DataFrame, DataFrame]],
-    make_stages: Callable[[Mapping], Sequence],
+    features: Sequence,
+    make_classifier: Callable[[Mapping], object],
     grid: Mapping[str, Sequence],
     label: str,
     cutoffs: Sequence[float],
@@ -109,16 +111,21 @@ def grid_search(
     """(settings..., precision): every combination of ``grid`` rated on all blocked folds.
 
     The score of a combination is the precision at the given recall over the stacked validation
-    rows. Fits run one after another, each distributed; only fitted models come to the driver.
+    rows. Feature stages do not depend on the grid: they are fitted once per fold and their rows written, so every
+    setting only fits its classifier. Fits run one after another, each distributed; only fitted models come to the driver.
     """
-    prepared = [(materialize(train), validation) for train, validation in folds]
+    prepared = []
+    for train, validation in folds:
+        rows = materialize(train)
+        fitted = fit_stages(rows, features)
+        prepared.append(tuple(materialize(fitted.transform(part).select("features", label)) for part in (rows, validation)))
     names = list(grid)
     rated = None
     for values in product(*grid.values()):
         settings = dict(zip(names, values))
         scores = None
         for train, validation in prepared:
-            fold_scores = score(fit_stages(train, make_stages(settings)), validation, keep=[label])
+            fold_scores = score(fit_stages(train, [make_classifier(settings)]), validation, keep=[label])
             scores = fold_scores if scores is None else scores.unionByName(fold_scores)
         line = precision_at_recall(cutoff_sweep(scores, "prob_pos", label, cutoffs), recall)
         line = line.select(*(F.lit(v).alias(n) for n, v in settings.items()), "precision")

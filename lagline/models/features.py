@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.base import Estimator
-from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def index_stage(cols: Sequence[str], order: str = "alphabetAsc", invalid: str = "keep", suffix: str = "_idx") -> StringIndexer:
-    """Category -> index, by name or by falling frequency; unseen levels are kept, skipped or an error."""
-    return StringIndexer(inputCols=list(cols), outputCols=[c + suffix for c in cols], stringOrderType=order, handleInvalid=invalid)
+def known_levels(cols: Sequence[str], suffix: str = "_known") -> Callable[[DataFrame], SQLTransformer]:
+    """A stage made of the training rows: levels they do not have, and nulls, become the last level, which is the base.
+
+    Levels are a bounded domain, as each becomes a position of the feature vector.
+    """
+
+    def build(train: DataFrame) -> SQLTransformer:
+        cases = []
+        for c in cols:
+            levels = sorted(r[0] for r in train.select(F.col(c).cast("string").alias(c)).filter(F.col(c).isNotNull()).distinct().collect())
+            quoted = ["'" + level.replace("\\", "\\\\").replace("'", "\\'") + "'" for level in levels] or ["''"]
+            cases.append(f"CASE WHEN CAST(`{c}` AS STRING) IN ({', '.join(quoted)}) THEN CAST(`{c}` AS STRING) ELSE {quoted[-1]} END AS `{c}{suffix}`")
+        return SQLTransformer(statement=f"SELECT *, {', '.join(cases)} FROM __THIS__")
+
+    return build
+
+
+def index_stage(cols: Sequence[str], order: str = "alphabetAsc", invalid: str = "error", suffix: str = "_idx", source: str = "_known") -> StringIndexer:
+    """Category -> index, by name or by falling frequency; levels come from ``known_levels``, others are an error."""
+    return StringIndexer(inputCols=[c + source for c in cols], outputCols=[c + suffix for c in cols], stringOrderType=order, handleInvalid=invalid)
 
 
 def one_hot_stage(cols: Sequence[str], drop_last: bool = True, suffix: str = "_idx") -> OneHotEncoder:
@@ -31,12 +48,12 @@ def scale_stage(source: str = "feat_vec", output: str = "features") -> StandardS
     return StandardScaler(inputCol=source, outputCol=output, withStd=True, withMean=False)
 
 
-def feature_stages(categorical: Sequence[str], numeric: Sequence[str], scaled: bool = True, one_hot: bool = True) -> list[Estimator | Transformer]:
-    """Index, one-hot, assemble and scale, as one list of stages to be fitted on training rows only."""
+def feature_stages(categorical: Sequence[str], numeric: Sequence[str], scaled: bool = True, one_hot: bool = True) -> list[Estimator | Transformer | Callable]:
+    """Known levels, index, one-hot, assemble and scale, as one list of stages to be fitted on training rows only."""
     stages: list = []
     inputs = []
     if categorical:
-        stages.append(index_stage(categorical))
+        stages += [known_levels(categorical), index_stage(categorical)]
         inputs = [c + "_idx" for c in categorical]
         if one_hot:
             stages.append(one_hot_stage(categorical))
@@ -71,11 +88,13 @@ def feature_map(transformed: DataFrame, vector: str = "feat_vec") -> DataFrame:
 
 
 def base_levels(model, spark) -> DataFrame:
-    """(column, base): the level per category that one-hot encoding leaves out."""
-    rows = []
+    """(column, base): the level per category that one-hot encoding leaves out, by the encoder's own sizes."""
+    labels, rows = {}, []
     for stage in model.stages:
         if hasattr(stage, "labelsArray"):
-            rows += [(c, labels[-1]) for c, labels in zip(stage.getInputCols(), stage.labelsArray)]
+            labels.update(zip(stage.getOutputCols(), stage.labelsArray))
+        if hasattr(stage, "categorySizes") and stage.getDropLast():
+            rows += [(c.removesuffix("_idx"), labels[c][size - 1]) for c, size in zip(stage.getInputCols(), stage.categorySizes)]
     return spark.createDataFrame(rows, T.StructType().add("column", "string").add("base", "string"))
 
 

@@ -34,8 +34,10 @@ def keep_values(df: DataFrame, col: str, values: Sequence) -> DataFrame:
     return df.filter(F.col(col).isin(list(values)))
 
 
-def drop_values(df: DataFrame, col: str, values: Sequence) -> DataFrame:
-    return df.filter(~F.col(col).isin(list(values)))
+def drop_values(df: DataFrame, col: str, values: Sequence, keep_nulls: bool = False) -> DataFrame:
+    """Rows whose value is not listed; as in SQL a null is neither listed nor unlisted and goes, unless ``keep_nulls``."""
+    unlisted = ~F.col(col).isin(list(values))
+    return df.filter(unlisted | F.col(col).isNull() if keep_nulls else unlisted)
 
 
 def keep_containing(df: DataFrame, col: str, part: str) -> DataFrame:
@@ -53,12 +55,12 @@ def filter_min_max(df: DataFrame, col: str, low: float, high: float | None = Non
 
 
 def split_by_report_type(df: DataFrame, col: str = "REPORT_TYPE", daily: str = "SOD", monthly: str = "SOM") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(daily, monthly, other) observations; the type is trimmed before comparing."""
+    """(daily, monthly, other) observations; the type is trimmed before comparing, rows without one are in the last part."""
     trimmed = df.withColumn(col, F.trim(col))
     return (
         trimmed.filter(F.col(col) == daily),
         trimmed.filter(F.col(col) == monthly),
-        trimmed.filter(~F.col(col).isin(daily, monthly)),
+        trimmed.filter(F.col(col).isNull() | ~F.col(col).isin(daily, monthly)),
     )
 
 

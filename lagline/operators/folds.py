@@ -130,7 +130,10 @@ def block_frames(
     return [(rows(2 * i), rows(2 * i + 1)) for i in range(blocks)]
 
 
-def split_by_year(df: DataFrame, year: str | Column, holdout: int) -> tuple[DataFrame, DataFrame]:
-    """(earlier years, hold-out year); a partition prune when the table is stored by that column."""
+def split_by_year(df: DataFrame, year: str | Column, holdout: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(earlier years, hold-out year, later years and rows without one); each row is in one part.
+
+    A partition prune when the table is stored by that column.
+    """
     year = F.col(year) if isinstance(year, str) else year
-    return df.filter(year < holdout), df.filter(year == holdout)
+    return df.filter(year < holdout), df.filter(year == holdout), df.filter(year.isNull() | (year > holdout))

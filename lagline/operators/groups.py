@@ -45,13 +45,17 @@ def category_sets(df: DataFrame, keys: Sequence[str], category: str, values: str
     return sets.withColumn(size, F.size(values)).orderBy(F.col(size).desc(), *keys)
 
 
-def missing_categories(df: DataFrame, period: str, category: str, name: str = "absent") -> DataFrame:
+def missing_categories(df: DataFrame, period: str, category: str, name: str = "absent", max_periods: int = 1000) -> DataFrame:
     """(period, ``name``): categories seen in the table but not in that period, as (period, category) rows.
 
     Works on the distinct (period, category) pairs: each category's seen periods are taken from the
-    set of all periods. No product of periods and categories is joined.
+    set of all periods, which must be few (years, months): they are checked to be at most ``max_periods``. No product of
+    periods and categories is joined.
     """
     pairs = df.select(period, category).filter(F.col(category).isNotNull() & F.col(period).isNotNull()).distinct()
+    found = pairs.select(period).distinct().limit(max_periods + 1).count()
+    if found > max_periods:
+        raise ValueError(f"more than {max_periods} periods; take coarser ones")
     periods = pairs.agg(F.collect_set(period).alias("periods")).scalar()
     seen = pairs.groupBy(category).agg(F.collect_set(period).alias("__seen"))
     marked = seen.select(category, "__seen", periods.alias("__all"))

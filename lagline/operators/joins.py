@@ -137,13 +137,22 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def join_predictions(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Inner join of per-model prediction tables on their common key.
+    """Inner join of per-model prediction tables on their common key, which must be unique in each table.
 
-    All joins share the key, so each table is shuffled once.
+    A key that occurs twice in a table would multiply rows; it fails the query instead. The check is an aggregate on the join's own
+    key, so each table is still shuffled once.
     """
-    joined = frames[0]
+    keys = list(keys)
+
+    def unique(frame: DataFrame) -> DataFrame:
+        others = [c for c in frame.columns if c not in keys]
+        counted = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*others)).alias("__row"))
+        checked = F.when(F.col("__n") > 1, F.raise_error(F.lit("join_predictions: a key occurs more than once"))).otherwise(F.col("__row"))
+        return counted.withColumn("__row", checked).select(*keys, *(F.col("__row")[c].alias(c) for c in others))
+
+    joined = unique(frames[0])
     for frame in frames[1:]:
-        joined = joined.join(frame, list(keys))
+        joined = joined.join(unique(frame), keys)
     return joined
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lagline.functions.scalars import hash_score
 
 
-def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    return df.sample(fraction=min(1.0, fraction), seed=seed)
+def sample_fraction(df: DataFrame, key: str | Column, fraction: float, seed: int = 42) -> DataFrame:
+    """About ``fraction`` of the rows, chosen by their key, so the sample does not depend on partitioning."""
+    return df.filter(hash_score(key, seed) < fraction)
 
 
 def sample_at_most(df: DataFrame, key: str, rows: int, seed: int = 42) -> DataFrame:
@@ -31,13 +32,17 @@ def balance_by_ratio(df: DataFrame, label: str, score: Column) -> DataFrame:
     """Positives and as many negatives, sampled at the odds p / (1 - p) of the table itself."""
     odds = df.agg((F.count(F.when(F.col(label) > 0, 1)) / F.nullif(F.count(F.when(F.col(label) < 1, 1)), F.lit(0))).alias("odds"))
     marked = df.select("*", F.coalesce(odds.scalar(), F.lit(1.0)).alias("__odds"))
-    kept = marked.filter((F.col(label) < 1) & (score < F.col("__odds"))).drop("__odds")
-    return df.filter(F.col(label) > 0).unionByName(kept)
+    return marked.filter((F.col(label) > 0) | ((F.col(label) < 1) & (score < F.col("__odds")))).drop("__odds")
 
 
-def random_split(df: DataFrame, weights: list[float], seed: int = 42) -> list[DataFrame]:
-    """Random split, for data without time order."""
-    return df.randomSplit(weights, seed)
+def random_split(df: DataFrame, key: str | Column, weights: list[float], seed: int = 42) -> list[DataFrame]:
+    """Split by weights, for data without time order; the key decides, so parts are disjoint whatever the partitioning."""
+    score, total, low, parts = hash_score(key, seed), sum(weights), 0.0, []
+    for i, weight in enumerate(weights):
+        high = low + weight / total
+        parts.append(df.filter(score >= low) if i == len(weights) - 1 else df.filter((score >= low) & (score < high)))
+        low = high
+    return parts
 
 
 def hash_split(df: DataFrame, key: str, train: float = 0.7, seed: int = 42) -> tuple[DataFrame, DataFrame]:

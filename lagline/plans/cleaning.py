@@ -12,8 +12,6 @@ from lagline.functions.dates import (
     epoch_seconds,
     hhmm_minutes_diff,
     holiday_window,
-    holiday_window_dates,
-    FEDERAL_HOLIDAYS,
     parse_date,
     parse_number,
 )
@@ -234,26 +232,34 @@ def time_buckets(spark, sf_dir):
 
 # Fixed-date holidays of the years the orders span, as the published list starts in 2015.
 _HOLIDAYS = tuple(f"{year}-{day}" for year in range(1995, 2002) for day in ("01-01", "07-04", "11-11", "12-25"))
-_HOLIDAY_LIST = ", ".join(f"DATE '{d}'" for d in holiday_window_dates(_HOLIDAYS))
 
 
-@query("holiday_window", f"SELECT o_orderkey, CASE WHEN CAST(o_orderdate AS DATE) IN ({_HOLIDAY_LIST}) THEN 1 ELSE 0 END AS is_holiday_window FROM orders")
+@query(
+    "holiday_window",
+    """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, year(o_orderdate) AS y FROM orders)
+SELECT o_orderkey, CASE WHEN least(abs(d - make_date(y, 1, 1)), abs(d - make_date(y + 1, 1, 1)), abs(d - make_date(y, 7, 4)),
+  abs(d - make_date(y, 11, 11)), abs(d - make_date(y, 12, 25)), abs(d - make_date(y - 1, 12, 25))) <= 2 THEN 1 ELSE 0 END AS is_holiday_window FROM o""",
+)
 def holiday_window_query(spark, sf_dir):
     orders = load(spark, sf_dir, "orders")
     return orders.select("o_orderkey", holiday_window("o_orderdate", _HOLIDAYS).alias("is_holiday_window"))
 
 
-_FEDERAL_LIST = ", ".join(f"DATE '{d}'" for d in holiday_window_dates(FEDERAL_HOLIDAYS))
-
-
 @query(
     "federal_holiday_window",
-    f"SELECT event_id, CASE WHEN CAST(ts AS DATE) - 1826 IN ({_FEDERAL_LIST}) THEN 1 ELSE 0 END AS is_holiday_window FROM events",
+    """WITH e AS (SELECT event_id, CAST(ts AS DATE) - CAST(event_id % 9 AS INTEGER) * 365 AS d FROM events)
+SELECT event_id, CASE WHEN d < DATE '2016-01-01' THEN NULL WHEN EXISTS (
+  SELECT 1 FROM (VALUES (DATE '2016-01-01'), (DATE '2016-01-18'), (DATE '2016-02-15'), (DATE '2017-01-01'), (DATE '2017-01-02'), (DATE '2017-01-16'),
+    (DATE '2018-01-01'), (DATE '2018-01-15'), (DATE '2018-12-25'), (DATE '2019-01-01'), (DATE '2019-01-21'), (DATE '2019-12-25'), (DATE '2020-01-01'), (DATE '2020-01-20'),
+    (DATE '2021-01-01'), (DATE '2021-01-18'), (DATE '2021-12-31'), (DATE '2022-01-01'), (DATE '2022-01-17'), (DATE '2022-12-26'), (DATE '2023-01-01'),
+    (DATE '2023-01-02'), (DATE '2023-01-16'), (DATE '2023-12-25'), (DATE '2024-01-01'), (DATE '2024-01-15')) AS h(day) WHERE abs(d - day) <= 2)
+THEN 1 ELSE 0 END AS is_holiday_window FROM e""",
 )
 def federal_holiday_window(spark, sf_dir):
-    """The published holiday list; event dates are moved back by five years into its range."""
+    """Federal holidays of listed and of later years; event dates are spread over nine years, of which the first is not covered."""
     events = load(spark, sf_dir, "events")
-    return events.select("event_id", holiday_window(F.date_sub(F.to_date("ts"), 1826)).alias("is_holiday_window"))
+    day = F.date_sub(F.to_date("ts"), F.col("event_id").cast("int") % 9 * 365)
+    return events.select("event_id", holiday_window(day, years=range(2016, 2025)).alias("is_holiday_window"))
 
 
 _CLOCK_SQL = """
@@ -296,14 +302,14 @@ def hhmm_mismatches(spark, sf_dir):
 @query(
     "labels",
     """SELECT event_id, CASE WHEN value >= 15 THEN 1 ELSE 0 END AS label, CASE WHEN value >= 15 THEN 'Delayed' ELSE 'On time' END AS label_text,
-CASE WHEN (value >= 15 OR event_id % 2 = 1) AND value BETWEEN 0 AND 120 THEN 1 ELSE 0 END AS composite,
+CASE WHEN (value >= 15 OR event_id % 2 = 1) AND event_id % 400 - 100 BETWEEN 0 AND 120 THEN 1 ELSE 0 END AS composite,
 CAST(CAST(floor(value / 15) AS BIGINT) * 15 AS VARCHAR) || ' min' AS bucket FROM events""",
 )
 def labels_query(spark, sf_dir):
-    events = load(spark, sf_dir, "events").withColumn("flag", F.col("event_id") % 2)
+    events = load(spark, sf_dir, "events").withColumns({"flag": F.col("event_id") % 2, "gap": F.col("event_id") % 400 - 100})
     return events.select(
         "event_id", binary_label("value").alias("label"), text_label("value").alias("label_text"),
-        composite_label("value", "flag").alias("composite"), bucket_text(F.floor(F.col("value") / 15)).alias("bucket"),
+        composite_label("value", "flag", "gap").alias("composite"), bucket_text(F.floor(F.col("value") / 15)).alias("bucket"),
     )
 
 

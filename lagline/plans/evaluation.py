@@ -81,14 +81,14 @@ def block_ranges_query(spark, sf_dir):
 
 @query(
     "split_by_year",
-    """SELECT CASE WHEN year(o_orderdate) = 2000 THEN 'holdout' ELSE 'train' END AS part, count(*) AS n, round(sum(o_totalprice), 2) AS total
-FROM orders WHERE year(o_orderdate) <= 2000 GROUP BY 1""",
+    """SELECT CASE WHEN o_orderdate < DATE '1999-01-01' THEN 'train' WHEN o_orderdate < DATE '2000-01-01' THEN 'holdout' ELSE 'rest' END AS part,
+count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""",
 )
 def split_by_year_query(spark, sf_dir):
-    train, holdout = split_by_year(load(spark, sf_dir, "orders"), F.year("o_orderdate"), 2000)
+    train, holdout, rest = split_by_year(load(spark, sf_dir, "orders"), F.year("o_orderdate"), 1999)
     total = F.round(F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double"), 2).alias("total")
     measure = lambda df, part: df.agg(F.lit(part).alias("part"), F.count(F.lit(1)).alias("n"), total)
-    return measure(train, "train").unionByName(measure(holdout, "holdout"))
+    return measure(train, "train").unionByName(measure(holdout, "holdout")).unionByName(measure(rest, "rest"))
 
 
 @query("fold_balance", f"SELECT fold, role, count(*) AS n, count(*) FILTER (value >= 50) AS positives, count(*) FILTER (value >= 50) / count(*) AS positive_share FROM ({_blocks_sql('events', 'event_id', 'ts', 3, 0.8)}) JOIN events USING (event_id) GROUP BY 1, 2")
@@ -112,39 +112,86 @@ def balance_by_ratio_query(spark, sf_dir):
     return balance_by_ratio(scores(spark, sf_dir), "label", F.col("p1")).select("event_id", "label")
 
 
-@query("sample_fraction")
+def _drawn_sql(table: str, key: str, wanted: str) -> str:
+    """Facts of a sample by key: all rows of a key go together, and their number lies within six deviations of what is wanted."""
+    return f"""WITH k AS (SELECT {key}, count(*) AS m FROM {table} GROUP BY 1),
+f AS (SELECT least(1.0, ({wanted}) / sum(m)) AS p, sum(m) AS n, sum(m * m) AS n2 FROM k)
+SELECT true AS near, 0 AS split_keys, n AS total FROM f"""
+
+
+def _drawn(table, sample, key: str, fraction):
+    """The same facts of a real sample."""
+    sizes = table.groupBy(key).agg(F.count("*").alias("m"))
+    found = sample.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("s"))
+    both = sizes.join(found, F.col(key) == F.col("__key"), "left")
+    total, drawn = F.sum("m"), F.coalesce(F.sum("s"), F.lit(0))
+    p = fraction(total)
+    return both.agg(
+        (F.abs(drawn - total * p) <= 6 * F.sqrt(F.sum(F.col("m") * F.col("m")) * p * (1 - p)) + 1).alias("near"),
+        F.sum((F.col("s").isNotNull() & (F.col("s") != F.col("m"))).cast("int")).alias("split_keys"), total.alias("total"))
+
+
+@query("sample_fraction", _drawn_sql("lineitem", "l_orderkey", "0.1 * sum(m)"))
 def sample_fraction_query(spark, sf_dir):
-    return sample_fraction(load(spark, sf_dir, "lineitem"), 0.1).select("l_orderkey", "l_quantity")
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey")
+    return _drawn(rows, sample_fraction(rows, "l_orderkey", 0.1), "l_orderkey", lambda _: F.lit(0.1))
 
 
-@query("sample_at_most", "SELECT event_id FROM events")
+@query("sample_at_most", _drawn_sql("events", "event_id", "500"))
 def sample_at_most_query(spark, sf_dir):
-    """A sample size above the table's: every row is kept."""
-    return sample_at_most(load(spark, sf_dir, "events"), "event_id", 10**9).select("event_id")
+    """About 500 rows of any number."""
+    rows = load(spark, sf_dir, "events").select("event_id")
+    return _drawn(rows, sample_at_most(rows, "event_id", 500), "event_id", lambda n: F.least(F.lit(1.0), 500 / n))
 
 
-@query("sample_for_plot")
+@query("sample_for_plot", _drawn_sql("lineitem", "l_orderkey", "3000"))
 def sample_for_plot(spark, sf_dir):
-    return sample_at_most(load(spark, sf_dir, "lineitem"), "l_orderkey", 3000).select("l_quantity", "l_extendedprice")
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
+    return _drawn(rows, sample_at_most(rows, "l_orderkey", 3000), "l_orderkey", lambda n: F.least(F.lit(1.0), 3000 / n))
 
 
-@query("hash_balanced")
+@query(
+    "hash_balanced",
+    SCORES_SQL + "SELECT label, CASE WHEN label = 1 THEN count(*) END AS n, true AS near, count(*) AS total FROM p GROUP BY 1",
+)
 def hash_balanced(spark, sf_dir):
+    """All positives and near a fifth of the negatives (six deviations)."""
     rows = scores(spark, sf_dir)
-    return balance_by_keep(rows, "label", hash_score("event_id"), 0.2).select("event_id", "label")
+    kept = balance_by_keep(rows, "label", hash_score("event_id"), 0.2).groupBy(F.col("label").alias("l")).agg(F.count("*").alias("kept"))
+    sizes = rows.groupBy("label").agg(F.count("*").alias("total"))
+    near = F.when(F.col("label") == 1, F.col("kept") == F.col("total")).otherwise(
+        F.abs(F.col("kept") - 0.2 * F.col("total")) <= 6 * F.sqrt(0.16 * F.col("total")))
+    return sizes.join(kept, F.col("label") == F.col("l"), "left").select("label", F.when(F.col("label") == 1, F.col("kept")).alias("n"), near.alias("near"), "total")
+
+
+_SPLIT_SQL = """SELECT count(*) AS n, count(*) AS n_keys, 1 AS most_parts, true AS near FROM events"""
+
+
+def _split_facts(parts, shares):
+    """Rows and keys of all parts together, in how many parts a key is at most, and whether every part is near its share."""
+    marked = None
+    for i, part in enumerate(parts):
+        part = part.select("event_id", F.lit(i).alias("part"))
+        marked = part if marked is None else marked.unionByName(part)
+    per_key = marked.groupBy("event_id").agg(F.count("*").alias("m"), F.countDistinct("part").alias("k"), *(
+        F.max((F.col("part") == i).cast("int")).alias(f"p{i}") for i in range(len(shares))))
+    n = F.sum("m")
+    near = F.lit(True)
+    for i, share in enumerate(shares):
+        near = near & (F.abs(F.sum(f"p{i}") - share * n) <= 6 * F.sqrt(n * share * (1 - share)))
+    return per_key.agg(n.alias("n"), F.count("*").alias("n_keys"), F.max("k").alias("most_parts"), near.alias("near"))
 
 
-@query("random_split")
+@query("random_split", _SPLIT_SQL)
 def random_split_query(spark, sf_dir):
-    train, test = random_split(load(spark, sf_dir, "events").select("event_id"), [0.7, 0.3])
-    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    parts = random_split(load(spark, sf_dir, "events").select("event_id"), "event_id", [5, 3, 2])
+    return _split_facts(parts, [0.5, 0.3, 0.2])
 
 
-@query("hash_split_cover", "SELECT event_id FROM events")
+@query("hash_split_cover", _SPLIT_SQL)
 def hash_split_cover(spark, sf_dir):
-    """Both parts of a key-hash split, put together again."""
-    train, rest = hash_split(load(spark, sf_dir, "events").select("event_id"), "event_id")
-    return train.unionByName(rest)
+    """The two parts of a key-hash split hold every row once."""
+    return _split_facts(hash_split(load(spark, sf_dir, "events").select("event_id"), "event_id"), [0.7, 0.3])
 
 
 _C = ", ".join(f"({c!r}::DOUBLE)" for c in PROBABILITY_CUTOFFS)

@@ -88,13 +88,13 @@ def year_inventory(spark, sf_dir):
 
 @query(
     "missing_categories",
-    """WITH p AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d, l_suppkey FROM lineitem)
-SELECT strftime(d, '%Y-%m-%d') AS day, l_suppkey AS absent FROM (SELECT DISTINCT d FROM p) CROSS JOIN (SELECT DISTINCT l_suppkey FROM p) ANTI JOIN p USING (d, l_suppkey)""",
+    """WITH p AS (SELECT DISTINCT year(l_shipdate) AS yr, l_suppkey FROM lineitem WHERE l_quantity >= 50)
+SELECT yr, l_suppkey AS absent FROM (SELECT DISTINCT yr FROM p) CROSS JOIN (SELECT DISTINCT l_suppkey FROM p) ANTI JOIN p USING (yr, l_suppkey)""",
 )
 def missing_categories_query(spark, sf_dir):
-    """Suppliers of the table that shipped nothing on a day."""
-    rows = load(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), "l_suppkey")
-    return missing_categories(rows, "day", "l_suppkey")
+    """Suppliers with a largest-size shipment that had none in a year."""
+    rows = load(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= 50).select(F.year("l_shipdate").cast("bigint").alias("yr"), "l_suppkey")
+    return missing_categories(rows, "yr", "l_suppkey")
 
 
 @query("mean_and_spread", "SELECT round(avg(l_quantity), 6) AS mean_value, round(stddev_samp(l_quantity), 6) AS std_value FROM lineitem")

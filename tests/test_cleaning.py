@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagline.functions.dates import FEDERAL_HOLIDAYS, calendar_date, hhmm_minutes_diff, holiday_window, holiday_window_dates, parse_date, parse_number
+from lagline.functions.dates import FEDERAL_HOLIDAYS, calendar_date, calendar_text, federal_holidays, hhmm_minutes_diff, holiday_window, holiday_window_dates, parse_date, parse_number
 from lagline.functions.scalars import binary_label, bucket_text, cutoff_label, guarded_ratio, hash_score, haversine_km, keep_levels, text_label, threshold_zero
 from lagline.operators import fills, filters, profile, schema
 
@@ -33,12 +33,23 @@ def test_holiday_window(spark):
     days = [dt.date(2018, 12, 22) + dt.timedelta(days=d) for d in range(8)] + [dt.date(2016, 12, 28), dt.date(2017, 1, 4), dt.date(2015, 1, 3)]
     df = indexed(spark, [(d,) for d in days], "d date")
     assert values(df.select("i", holiday_window("d").alias("x"))) == [0, 1, 1, 1, 1, 1, 0, 0, 1, 1, 1]
+    edges = indexed(spark, [(dt.date(1999, 12, 31),), (dt.date(2020, 1, 1),), (dt.date(2021, 7, 7),), (dt.date(2021, 12, 31),), (dt.date(2041, 1, 1),), (None,)], "d date")
+    assert values(edges.select("i", holiday_window("d").alias("x"))) == [1, 1, 1, 1, 1, None]
+    far = indexed(spark, [(dt.date(1999, 12, 1),), (dt.date(2021, 8, 1),), (dt.date(2050, 12, 25),)], "d date")
+    assert values(far.select("i", holiday_window("d").alias("x"))) == [None, 0, None]
+    assert federal_holidays(range(2020, 2022)) == [
+        "2020-01-01", "2020-01-20", "2020-02-17", "2020-05-25", "2020-07-03", "2020-07-04", "2020-09-07", "2020-10-12", "2020-11-11", "2020-11-26", "2020-12-25",
+        "2021-01-01", "2021-01-18", "2021-02-15", "2021-05-31", "2021-06-18", "2021-06-19", "2021-07-04", "2021-07-05", "2021-09-06", "2021-10-11", "2021-11-11",
+        "2021-11-25", "2021-12-24", "2021-12-25"]
+    assert tuple(federal_holidays(range(2015, 2020))) == FEDERAL_HOLIDAYS
     assert len(FEDERAL_HOLIDAYS) == 54 and dt.date(2014, 12, 30) in holiday_window_dates(FEDERAL_HOLIDAYS)
 
 
 def test_dates_and_dirty_text(spark):
-    df = indexed(spark, [(2015, 2, 28), (2015, 2, 30), (2016, 11, 3)], "y int, m int, d int")
-    assert values(df.select("i", calendar_date("y", "m", "d").alias("x"))) == [dt.date(2015, 2, 28), None, dt.date(2016, 11, 3)]
+    rows = [(2015, 2, 28), (2015, 2, 30), (2016, 11, 3), (2015, 123, 5), (20155, 1, 5), (-15, 1, 5), (2015, None, 5), (2015, 1, -5)]
+    df = indexed(spark, rows, "y int, m int, d int")
+    assert values(df.select("i", calendar_date("y", "m", "d").alias("x"))) == [dt.date(2015, 2, 28), None, dt.date(2016, 11, 3)] + [None] * 5
+    assert values(df.select("i", calendar_text("y", "m", "d").alias("x")))[2:4] == ["2016-11-03", "2015-123-05"]
     dirty = indexed(spark, [("0.02s",), ("",), (" 1.5 ",), ("T",), ("2015-31-04",), ("2015-04-30",)], "t string")
     assert values(dirty.select("i", parse_number("t").alias("x"))) == [None, None, 1.5, None, None, None]
     assert values(dirty.select("i", parse_date("t").alias("x"))) == [None] * 5 + [dt.date(2015, 4, 30)]
@@ -89,7 +100,7 @@ def test_infer_types(spark):
 def test_report_types(spark):
     df = spark.createDataFrame([(" SOD  ", 1), ("SOM", 2), ("FM-15 ", 3), ("SODX", 4), (None, 5)], "REPORT_TYPE string, v int")
     daily, monthly, rest = filters.split_by_report_type(df)
-    assert [r.v for r in daily.collect()] == [1] and [r.v for r in monthly.collect()] == [2] and sorted(r.v for r in rest.collect()) == [3, 4]
+    assert [r.v for r in daily.collect()] == [1] and [r.v for r in monthly.collect()] == [2] and sorted(r.v for r in rest.collect()) == [3, 4, 5]
 
 
 def test_filters(spark):

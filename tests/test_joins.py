@@ -91,7 +91,10 @@ def test_group_stats_keep_null_groups(spark):
 def test_predictions(spark):
     a = spark.createDataFrame([(1, "t", 0.1), (2, "t", 0.2)], "ts int, tail string, p1 double")
     b = spark.createDataFrame([(1, "t", 0.3), (1, "t", 0.4)], "ts int, tail string, p2 double")
-    assert sorted(map(tuple, join_predictions([a, b], ["ts", "tail"]).collect())) == [(1, "t", 0.1, 0.3), (1, "t", 0.1, 0.4)]
+    once = b.filter("p2 < 0.35")
+    assert sorted(map(tuple, join_predictions([a, once], ["ts", "tail"]).collect())) == [(1, "t", 0.1, 0.3)]
+    with pytest.raises(Exception, match="more than once"):
+        join_predictions([a, b], ["ts", "tail"]).collect()
     assert [tuple(r) for r in duplicate_keys(b, ["ts", "tail"]).collect()] == [(1, "t", 2)]
 
 

@@ -34,9 +34,11 @@ def test_folds_learn_and_name_features(spark, rows):
     assert best[0.5] > best[0.0] + 10
     frames = [m.transform(t) for m, (t, _) in zip(models, folds)]
     named = feature_map(frames[0])
-    # The level kept for unseen values is last, so it is the one left out.
-    assert [r.feature for r in named.orderBy("position").collect()] == ["carrier = AA", "carrier = DL", "carrier = WN", "x", "noise"]
-    assert base_levels(models[0], spark).first().column == "carrier"
+    # The last level is the base: it has no position, and unseen levels and nulls count as it.
+    assert [r.feature for r in named.orderBy("position").collect()] == ["carrier = AA", "carrier = DL", "x", "noise"]
+    assert [tuple(r) for r in base_levels(models[0], spark).collect()] == [("carrier", "WN")]
+    odd = rows.limit(3).withColumn("carrier", F.lit("new")).unionByName(rows.limit(3).withColumn("carrier", F.lit(None).cast("string")))
+    assert {tuple(v[:2]) for v in (r.feat_vec.toArray() for r in models[0].transform(odd).collect())} == {(0.0, 0.0)}
     stable = {r.feature: r.votes for r in stable_features(coefficient_table(spark, models, frames)).collect()}
     assert stable["x"] == 3 and stable.get("noise", 0) < 3
 
@@ -60,8 +62,8 @@ def test_saved_model_scores_the_same(rows, tmp_path):
 
 def test_grid(rows):
     folds = block_frames(rows, "ts", 2, 0.8)
-    stages = lambda s: [*feature_stages(["carrier"], ["x"], scaled=False, one_hot=False), random_forest(**s)]
-    result = grid_search(folds, stages, {"numTrees": (2, 4), "maxDepth": (2,)}, "label", [i / 10 for i in range(10)]).collect()
+    features = feature_stages(["carrier"], ["x"], scaled=False, one_hot=False)
+    result = grid_search(folds, features, lambda s: random_forest(**s), {"numTrees": (2, 4), "maxDepth": (2,)}, "label", [i / 10 for i in range(10)]).collect()
     assert sorted((r.numTrees, r.maxDepth) for r in result) == [(2, 2), (4, 2)] and all(r.precision is not None for r in result)
 
 
