@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lagline.functions.dates import MICROS_PER_SECOND, epoch_micros
 from lagline.operators.profile import null_counts
-from lagline.operators.range_windows import DAY, bin_start, null_time_bin
+from lagline.operators.range_windows import HOUR, bin_start, null_time_bin
 
 
 def fill_zero(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -59,7 +59,7 @@ def fill_first(df: DataFrame, cols: Sequence[str], order: str, tie_break: str) -
 
 
 def forward_fill(
-    df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], tie_break: str, bin_seconds: int = DAY
+    df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], tie_break: str, bin_seconds: int = HOUR
 ) -> DataFrame:
     """Replace nulls by the nearest earlier value of the same key.
 
@@ -72,10 +72,11 @@ def forward_fill(
     key_names = [f"__k{i}" for i in range(len(keys))]
     key_cols = [F.col(k).alias(n) for k, n in zip(keys, key_names)]
     at = epoch_micros(order)
+    own = {c: f"__r{i}" for i, c in enumerate(df.columns) if c not in cols}
     rows = df.select(
         *key_cols, at.alias("__t"), F.col(tie_break).alias("__tie"), F.lit(1).alias("__side"),
-        F.coalesce(bin_start(at, width), null_time_bin(df)).alias("__p"),
-        *(F.col(c).alias(f"__v{i}") for i, c in enumerate(cols)), F.struct(*df.columns).alias("__row"),
+        F.coalesce(bin_start(at, width), null_time_bin()).alias("__p"),
+        *(F.col(c).alias(f"__v{i}") for i, c in enumerate(cols)), *(F.col(f"`{c}`").alias(n) for c, n in own.items()),
     )
     timed = df.select(*key_cols, at.alias("__t"), F.col(tie_break).alias("__tie"), *(F.col(c).alias(f"__v{i}") for i, c in enumerate(cols)))
     latest = [
@@ -91,9 +92,9 @@ def forward_fill(
     stacked = rows.unionByName(starts, allowMissingColumns=True)
     running = W.partitionBy(*key_names, "__p").orderBy("__side", "__t", "__tie").rowsBetween(W.unboundedPreceding, W.currentRow)
     value = lambda i: F.when(F.col("__t").isNull(), F.col(f"__v{i}")).otherwise(F.last(f"__v{i}", ignorenulls=True).over(running))
-    filled = stacked.select("__side", "__row", *(value(i).alias(f"__f{i}") for i in range(len(cols)))).filter(F.col("__side") == 1)
+    filled = stacked.select("__side", *own.values(), *(value(i).alias(f"__f{i}") for i in range(len(cols)))).filter(F.col("__side") == 1)
     position = {c: i for i, c in enumerate(cols)}
-    return filled.select(*(F.col(f"__f{position[c]}").alias(c) if c in position else F.col(f"__row.{c}").alias(c) for c in df.columns))
+    return filled.select(*(F.col(f"__f{position[c]}").alias(c) if c in position else F.col(own[c]).alias(c) for c in df.columns))
 
 
 def track_imputation(before: DataFrame, after: DataFrame, cols: Sequence[str], step: str) -> DataFrame:

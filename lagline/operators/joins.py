@@ -39,31 +39,34 @@ def asof_join(
     clash = set(events.columns) & set(observations.columns)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}; prefix one side first")
+    # Plain columns under other names: the optimiser drops those that nobody asks for from shuffle and scan.
+    own, theirs = ({c: f"__{side}{i}" for i, c in enumerate(df.columns)} for side, df in (("e", events), ("o", observations)))
     shifted = epoch_micros(observation_time) + min_age * MICROS_PER_SECOND
     tie = F.col(tie_break) if tie_break else F.lit(0)
     seen = (
         observations.select(
             F.col(observation_key).alias("__k"), shifted.alias("__s"), F.lit(1).alias("__side"), tie.alias("__tie"),
-            F.struct(*observations.columns).alias("__obs"),
+            *(F.col(f"`{c}`").alias(n) for c, n in theirs.items()),
         )
         .filter(F.col("__k").isNotNull() & F.col("__s").isNotNull())
         .select("*", F.explode(F.array(bin_start(F.col("__s"), width), bin_start(F.col("__s"), width) + width)).alias("__p"))
     )
     asked = events.select(
         F.col(event_key).alias("__k"), epoch_micros(event_time).alias("__s"), F.lit(0).alias("__side"),
-        F.struct(*events.columns).alias("__event"),
+        *(F.col(f"`{c}`").alias(n) for c, n in own.items()),
         # Rows without key or time match nothing; spread them instead of gathering them in one cell.
-        F.when(F.col(event_key).isNotNull(), F.coalesce(bin_start(epoch_micros(event_time), width), null_time_bin(events)))
-        .otherwise(null_time_bin(events)).alias("__p"),
+        F.when(F.col(event_key).isNotNull(), F.coalesce(bin_start(epoch_micros(event_time), width), null_time_bin()))
+        .otherwise(null_time_bin()).alias("__p"),
     )
     stacked = asked.unionByName(seen, allowMissingColumns=True)
     # At equal moved time the event comes first: an observation exactly min_age old is too young.
     order = W.partitionBy("__k", "__p").orderBy("__s", "__side", "__tie").rowsBetween(W.unboundedPreceding, W.currentRow)
-    latest = F.last(F.when(F.col("__side") == 1, F.struct("__s", "__obs")), ignorenulls=True).over(order)
-    answered = stacked.withColumn("__latest", latest).filter(F.col("__side") == 0)
-    fresh = F.col("__latest.__s") >= F.col("__s") - width
-    matched = answered.select("__event", F.when(fresh, F.col("__latest.__obs")).alias("__obs"))
-    return matched.select("__event.*", *(F.col(f"__obs.{c}").alias(c) for c in observations.columns))
+    latest = lambda c: F.last(F.when(F.col("__side") == 1, F.struct(F.col(c).alias("v"))), ignorenulls=True).over(order)["v"]
+    answered = stacked.select(
+        "__side", "__s", *own.values(), latest("__s").alias("__at"), *(latest(n).alias(f"{n}_last") for n in theirs.values())).filter(F.col("__side") == 0)
+    fresh = F.col("__at") >= F.col("__s") - width
+    return answered.select(
+        *(F.col(n).alias(c) for c, n in own.items()), *(F.when(fresh, F.col(f"{n}_last")).alias(c) for c, n in theirs.items()))
 
 
 def asof_join_both_ends(

@@ -2,23 +2,24 @@
 
 A plain ``rangeBetween`` window puts all rows of a key into one task and folds every frame from
 scratch, so its cost grows with key size times frame size. Here the unit of work is one key in one
-time bin instead. Per key, the frame ``[t + start, t + end]`` of a row in bin ``p`` splits into
+time bin instead, whose width divides the frame's length. Per key, the frame ``[t + start, t + end]`` of a row
+in bin ``p`` splits into
 
-* whole bins strictly inside the frame: folded once per bin (pre-aggregated before the shuffle),
+* whole bins strictly inside the frame: folded once per bin (pre-aggregated before the shuffle; counted from
+  ``start``, so frames may begin and end anywhere),
 * the rows of one bin at the right end: those with ``ts - end <= t``,
 * the rows of one bin at the left end: those with ``ts - start >= t``.
 
 Every row is sent, as a narrow copy, to the bins whose frames end or begin in its own bin. Both ends
-are then running folds inside (key, bin): one shuffle per key column, no task larger than the
-densest bin, and linear work. A hot key is spread over all its bins.
+are then running folds inside (key, bin): one shuffle per key column and bin width, no task larger than the
+densest bin, and linear work. A hot key is spread over all its bins. Longer frames have wider bins, a thousand to
+a frame at most. Columns travel as they are, so those nobody asks for are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from math import gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -29,9 +30,9 @@ from lagline.functions.dates import MICROS_PER_SECOND, epoch_micros
 HOUR = 3600
 DAY = 24 * HOUR
 
-# Width limit of the default bin and the most whole bins one frame may fold.
+# Width of the bins of short frames, and about how many bins a long one has.
 _DEFAULT_BIN = HOUR
-_MAX_BINS_PER_FRAME = 20_000
+_BINS_PER_FRAME = 1000
 _WHOLE_BINS = -(2**62)
 _TIMELESS = -(2**61)
 
@@ -64,26 +65,22 @@ def bin_start(micros: Column, width: int) -> Column:
     return micros - F.pmod(micros, F.lit(width))
 
 
-def null_time_bin(df: DataFrame) -> Column:
-    """Bins for rows without a time: spread by content, as they have no neighbours to meet."""
-    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    return F.lit(_TIMELESS) - F.pmod(F.xxhash64(*hashable), F.lit(4096))
+def null_time_bin() -> Column:
+    """Bins for rows without a time: spread by row, as they have no neighbours to meet."""
+    return F.lit(_TIMELESS) - F.pmod(F.monotonically_increasing_id(), F.lit(4096))
 
 
-def choose_bin(aggs: Sequence[RangeAgg], bin_seconds: int | None = None) -> int:
-    """Bin width in microseconds: a common divisor of all frame bounds, at most an hour by default."""
-    step = reduce(gcd, (abs(bound) for agg in aggs for bound in (agg.start, agg.end)))
-    if bin_seconds is None:
-        parts = 1 if step <= _DEFAULT_BIN else -(-step // _DEFAULT_BIN)
-        while step % parts:
-            parts += 1
-        bin_seconds = step // parts
-    if step % bin_seconds:
-        raise ValueError(f"bin of {bin_seconds}s must divide every frame bound ({step}s)")
-    longest = max(agg.end - agg.start for agg in aggs)
-    if longest // bin_seconds > _MAX_BINS_PER_FRAME:
-        raise ValueError(f"a frame of {longest}s holds too many bins of {bin_seconds}s; use coarser bounds")
-    return bin_seconds * MICROS_PER_SECOND
+def choose_bin(agg: RangeAgg, bin_seconds: int | None = None) -> int:
+    """Bin width in microseconds: a divisor of the frame's length, by default about an hour or a thousandth of a long frame."""
+    length = (agg.end - agg.start) * MICROS_PER_SECOND
+    if bin_seconds is not None:
+        if length % (bin_seconds * MICROS_PER_SECOND):
+            raise ValueError(f"bin of {bin_seconds}s must divide the frame's length ({agg.end - agg.start}s)")
+        return bin_seconds * MICROS_PER_SECOND
+    parts = min(-(-length // (_DEFAULT_BIN * MICROS_PER_SECOND)), _BINS_PER_FRAME)
+    while length % parts:
+        parts += 1
+    return length // parts
 
 
 def range_features(
@@ -92,18 +89,29 @@ def range_features(
     features: Mapping[str | tuple[str, ...], Sequence[RangeAgg]] | Sequence[tuple],
     bin_seconds: int | None = None,
     tie_break: str | None = None,
+    row_id: str | None = None,
 ) -> DataFrame:
     """Add every aggregate of ``features`` (key column or columns -> aggregates, or such pairs) to ``df``.
 
-    All aggregates of one key share one shuffle. Rows without a time have empty frames. ``tie_break``
-    decides which of several rows at the latest time ``last`` returns (its greatest value).
+    All aggregates of one key and bin width share one shuffle. Rows without a time have empty frames. ``tie_break``
+    decides which of several rows at the latest time ``last`` returns (its greatest value). With ``row_id``, a unique
+    column without nulls, several keys work on narrow rows of their own, and whole rows are shuffled once, to take in the features.
     """
-    by_key: dict[tuple[str, ...], list[RangeAgg]] = {}
+    groups: dict[tuple[tuple[str, ...], int], list[RangeAgg]] = {}
     for key, aggs in features.items() if isinstance(features, Mapping) else features:
-        by_key.setdefault((key,) if isinstance(key, str) else tuple(key), []).extend(aggs)
+        for agg in aggs:
+            groups.setdefault(((key,) if isinstance(key, str) else tuple(key), choose_bin(agg, bin_seconds)), []).append(agg)
+    if row_id is None or len(groups) == 1:
+        result = df
+        for (keys, width), aggs in groups.items():
+            result = _add_for_key(result, df, time, keys, aggs, width, tie_break)
+        return result
     result = df
-    for keys, aggs in by_key.items():
-        result = _add_for_key(result, df, time, keys, aggs, choose_bin(aggs, bin_seconds), tie_break)
+    for (keys, width), aggs in groups.items():
+        wanted = dict.fromkeys([row_id, time, *keys, *(agg.value for agg in aggs), *([tie_break] if tie_break else [])])
+        narrow = df.select(*wanted)
+        part = _add_for_key(narrow, df, time, keys, aggs, width, tie_break).select(F.col(row_id).alias("__id"), *(agg.name for agg in aggs))
+        result = result.join(part, F.col(row_id) == F.col("__id"), "left").drop("__id")
     return result
 
 
@@ -146,10 +154,11 @@ def _add_for_key(
     tie = F.col(tie_break) if tie_break else F.lit(0)
     narrow = [*key_cols, *(F.col(n).alias(value_of[n]) for n in values), tie.alias("__tie"), epoch_micros(time).alias("__t")]
 
-    # One copy per distinct frame bound, plus the row itself at bound 0.
+    # One copy per distinct frame bound, plus the row itself at bound 0, the only one with the row's own columns.
     bounds = sorted({0} | {b * MICROS_PER_SECOND for agg in aggs for b in (agg.start, agg.end)})
     copies = F.explode(F.array(*(F.lit(b).cast("long") for b in bounds))).alias("__bound")
-    sent = rows.select(*narrow, F.struct(*rows.columns).alias("__row"), null_time_bin(rows).alias("__none"), copies)
+    own = {c: f"__r_{i}" for i, c in enumerate(rows.columns)}
+    sent = rows.select(*narrow, *(F.col(f"`{c}`").alias(n) for c, n in own.items()), null_time_bin().alias("__none"), copies)
     is_row = F.col("__bound") == 0
     sent = (
         sent.filter(is_row | F.col("__t").isNotNull())
@@ -157,33 +166,37 @@ def _add_for_key(
         .select(
             *key_names, *value_of.values(), "__tie", "__bound", "__s",
             F.coalesce(bin_start(F.col("__s"), width), F.col("__none")).alias("__p"),
-            F.when(is_row, F.col("__row")).alias("__row"),
+            *(F.when(is_row, F.col(n)).alias(n) for n in own.values()),
         )
     )
 
-    # Pieces needed per frame, and the folds of the whole bins inside it.
+    # Pieces needed per frame, and the folds of the whole bins inside it. Bins of a frame are counted from its start, so there
+    # is one grid per remainder of a start; grid 0 also holds the bins that ask.
     needed = sorted({(p, agg.value, agg.start, agg.end) for agg in aggs for p in _PIECES[agg.func]})
     inner_of = {}
     inner_cols = []
     partials = {}
     for i, (piece, value, start, end) in enumerate(needed):
-        first, last = start * MICROS_PER_SECOND + width, end * MICROS_PER_SECOND - width
+        grid = start * MICROS_PER_SECOND % width
+        first, last = start * MICROS_PER_SECOND - grid + width, end * MICROS_PER_SECOND - grid - width
         if first > last:
             continue
-        name = partials.setdefault((piece, value), f"__b{len(partials)}")
+        name = partials.setdefault((piece, value, grid), f"__b{len(partials)}")
         span = W.partitionBy(*key_names).orderBy("__p").rangeBetween(first, last)
         inner_of[i] = f"__m{i}"
         inner_cols.append(_fold(piece, F.col(name)).over(span).alias(inner_of[i]))
     if inner_cols:
-        # Bounded: one row per key and bin, however many data rows there are.
-        bins = (
-            base.select(*narrow)
-            .filter(F.col("__t").isNotNull())
-            .groupBy(*key_names, bin_start(F.col("__t"), width).alias("__p"))
-            .agg(*(_fold(p, _unit(p, F.col(value_of[v]), F.col("__t"), F.col("__tie"))).alias(n) for (p, v), n in partials.items()))
-        )
-        inner = bins.select(*key_names, "__p", F.col("__p").alias("__s"), F.lit(_WHOLE_BINS).alias("__bound"), *inner_cols)
-        sent = sent.unionByName(inner, allowMissingColumns=True)
+        # Bounded: one row per key, grid and bin, however many data rows there are.
+        grids = sorted({0} | {grid for _, _, grid in partials})
+        gridded = base.select(*narrow).filter(F.col("__t").isNotNull()).withColumn(
+            "__grid", F.explode(F.array(*(F.lit(g).cast("long") for g in grids))) if len(grids) > 1 else F.lit(0).cast("long"))
+        units = [
+            _fold(p, F.when(F.col("__grid") == grid, _unit(p, F.col(value_of[v]), F.col("__t"), F.col("__tie")))).alias(n)
+            for (p, v, grid), n in partials.items()
+        ]
+        bins = gridded.groupBy(*key_names, "__grid", bin_start(F.col("__t") - F.col("__grid"), width).alias("__p")).agg(*units)
+        inner = bins.select(*key_names, "__grid", "__p", F.col("__p").alias("__s"), F.lit(_WHOLE_BINS).alias("__bound"), *inner_cols)
+        sent = sent.unionByName(inner.filter(F.col("__grid") == 0).drop("__grid"), allowMissingColumns=True)
 
     # The bin leads: it tells cells apart faster than the key, of which many rows may share one.
     cell = W.partitionBy("__p", *key_names)
@@ -199,13 +212,13 @@ def _add_for_key(
             at_right = at_right.when(F.col("__bound") == _WHOLE_BINS, F.col(inner_of[i]))
         right.append(_fold(piece, at_right).over(upward).alias(f"__r{i}"))
         left.append(_fold(piece, at_left).over(downward).alias(f"__l{i}"))
-    folded = sent.select("__bound", "__row", *right, *left).filter(F.col("__bound") == 0)
+    folded = sent.select("__bound", *own.values(), *right, *left).filter(F.col("__bound") == 0)
 
     merged = {key: _merge(key[0], F.col(f"__r{i}"), F.col(f"__l{i}")) for i, key in enumerate(needed)}
     finished = [
         _finish(agg, {p: merged[(p, agg.value, agg.start, agg.end)] for p in _PIECES[agg.func]}) for agg in aggs
     ]
-    return folded.select("__row.*", *finished)
+    return folded.select(*(F.col(n).alias(c) for c, n in own.items()), *finished)
 
 
 def lagged_mean(df: DataFrame, key: str, time: str, value: str, start: int, end: int, name: str, **options) -> DataFrame:
@@ -250,7 +263,7 @@ def target_encoding(df: DataFrame, key: str, time: str, label: str, name: str, s
 
 
 def delay_features(df: DataFrame, time: str, delay: str, origin: str, carrier: str, tail: str, row_id: str | None = None) -> DataFrame:
-    """The lagged and schedule features of the delay model, three shuffles in all.
+    """The lagged and schedule features of the delay model: narrow shuffles per key, one of whole rows if ``row_id`` is given.
 
     Delay values come from rows at least two hours old; the two schedule counts may see the current
     time, as the schedule is known in advance. Missing values become 0.
@@ -274,6 +287,7 @@ def delay_features(df: DataFrame, time: str, delay: str, origin: str, carrier: s
             ]),
         ],
         tie_break=row_id,
+        row_id=row_id,
     )
     rated = with_windows.withColumn("airport_average_hourly", F.col("weekly_flights_origin") / F.lit(100.0)).drop("weekly_flights_origin")
     busy = (F.col("hourly_flights_origin") >= 2) & (F.col("airport_average_hourly") >= 2)

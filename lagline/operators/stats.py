@@ -89,18 +89,19 @@ def with_previous(
     """
     keys = list(keys)
     width = bin_seconds * MICROS_PER_SECOND
+    own = {c: f"__r{i}" for i, c in enumerate(df.columns)}
     narrow = df.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), epoch_micros(time).alias("__t"),
-                       F.col(tie_break).alias("__tie"), F.col(value).alias("__v"), F.struct(*df.columns).alias("__row"))
+                       F.col(tie_break).alias("__tie"), F.col(value).alias("__v"), *(F.col(f"`{c}`").alias(n) for c, n in own.items()))
     key_names = [f"__k{i}" for i in range(len(keys))]
     rows = narrow.select("*", bin_start(F.col("__t"), width).alias("__p"), F.lit(1).alias("__side"))
     latest = F.max(F.struct("__t", "__tie", F.col("__v").alias("value"))).alias("__last")
     bins = rows.groupBy(*key_names, "__p").agg(latest)
-    before = W.partitionBy(*key_names).orderBy("__p")
+    before = W.partitionBy(*key_names).orderBy("__p")  # one row per group and bin
     starts = bins.select(*key_names, "__p", F.lit(0).alias("__side"), F.lag("__last.value").over(before).alias("__v"))
     stacked = rows.unionByName(starts, allowMissingColumns=True)
     running = W.partitionBy(*key_names, "__p").orderBy("__side", "__t", "__tie")
     lagged = stacked.withColumn("__prev", F.lag("__v").over(running)).filter(F.col("__side") == 1)
-    return lagged.select("__row.*", F.col("__prev").alias(name))
+    return lagged.select(*(F.col(n).alias(c) for c, n in own.items()), F.col("__prev").alias(name))
 
 
 def group_autocorrelation(

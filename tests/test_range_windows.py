@@ -115,19 +115,48 @@ def test_rolling_and_rate_names(spark):
 
 def test_bin_choice():
     agg = lambda a, b: RangeAgg("x", "count", "v", a, b)
-    assert choose_bin([agg(-6 * HOUR, -2 * HOUR)]) == HOUR * 1_000_000
-    assert choose_bin([agg(-90, 0), agg(-60, -30)]) == 30 * 1_000_000
-    assert choose_bin([agg(-7000, 0)]) == 3500 * 1_000_000
+    assert choose_bin(agg(-6 * HOUR, -2 * HOUR)) == HOUR * 1_000_000
+    assert choose_bin(agg(-7000, 0)) == 3500 * 1_000_000
+    assert choose_bin(agg(-3601, -7)) == 3594 * 1_000_000
+    long = choose_bin(agg(-3 * 365 * DAY, -2 * HOUR))
+    assert (3 * 365 * DAY - 2 * HOUR) * 1_000_000 % long == 0 and 1000 <= (3 * 365 * DAY - 2 * HOUR) * 1_000_000 // long <= 2500
     with pytest.raises(ValueError):
-        choose_bin([agg(-6 * HOUR, 0)], bin_seconds=7000)
-    with pytest.raises(ValueError):
-        choose_bin([agg(-30 * DAY, -1)])
+        choose_bin(agg(-6 * HOUR, 0), bin_seconds=7000)
     with pytest.raises(ValueError):
         agg(0, 0)
     with pytest.raises(ValueError):
         RangeAgg("x", "median", "v", -1, 0)
 
 
+@pytest.mark.parametrize("func", ["sum", "min", "last"])
+def test_any_bounds_and_very_long_frames(spark, func):
+    rng = random.Random(func)
+    rows = [(rng.choice("ab"), rng.randrange(0, 4 * 365 * DAY) if i % 3 else rng.randrange(0, 3 * HOUR), float(rng.randrange(50))) for i in range(150)]
+    frames = [(-3601, -7), (-61, 0), (-3 * 365 * DAY, -2 * HOUR), (-400 * DAY - 1, -1), (-5 * HOUR - 17, -2 * HOUR)]
+    aggs = [RangeAgg(f"f{i}", func, "v", a, b) for i, (a, b) in enumerate(frames)]
+    for options in ({}, {"row_id": "id"}):
+        got = range_features(frame(spark, rows), "ts", {"k": aggs}, tie_break="id", **options).collect()
+        for i, (a, b) in enumerate(frames):
+            assert {r.id: r[f"f{i}"] for r in got} == pytest.approx(brute(rows, func, a, b)), (func, a, b)
+
+
+def test_unused_columns_are_not_read(spark, small_tables):
+    from lagline.operators.fills import forward_fill
+    from lagline.operators.joins import asof_join
+    from lagline.operators.stats import with_previous
+
+    orders = spark.read.parquet(f"{small_tables}/orders.parquet")
+    events = spark.read.parquet(f"{small_tables}/events.parquet")
+    other = events.select(F.col("ts").alias("seen"), F.col("user_id").alias("who"), F.col("value").alias("reading"), F.col("event_type").alias("kind"))
+    read = lambda df: set("".join(p.split(">")[0] for p in df._jdf.queryExecution().executedPlan().toString().split("ReadSchema: struct<")[1:]).replace(":", ",").split(",")) & {
+        *orders.columns, *events.columns}
+    mean = range_features(orders, "o_orderdate", {"o_custkey": [RangeAgg("m", "avg", "o_totalprice", -30 * DAY, -DAY)]})
+    assert read(mean.select("o_orderkey", "m")) == {"o_orderkey", "o_orderdate", "o_custkey", "o_totalprice"}
+    assert read(asof_join(events, other, "ts", "seen", "user_id", "who").select("event_id", "reading")) == {"event_id", "ts", "user_id", "value"}
+    assert read(forward_fill(events, ["user_id"], "ts", ["value"], "event_id").select("event_id", "value")) == {"event_id", "ts", "user_id", "value"}
+    assert read(with_previous(events, ["user_id"], "ts", "value", "p", "event_id").select("p")) == {"event_id", "ts", "user_id", "value"}
+
+
 def test_hot_key_is_spread_over_cells(spark):
     """All rows on one key: the shuffle still has a cell per hour, not one partition."""
     rows = [("hot", i * 600, 1.0) for i in range(600)]
