@@ -23,10 +23,10 @@ from lagline.operators.ranks import exact_quantiles
 from lagline.operators.stats import apply_utc_offsets, utc_offsets
 from lagline.plans.common import load, query, scores
 
-# Purchases stand for flights and errors for weather observations; five stations.
+# Every event stands for a flight and for a weather observation; five stations.
 _SIDES_SQL = """
-WITH fl AS (SELECT event_id, epoch_us(ts) AS t, user_id % 5 AS o, (user_id // 5) % 5 AS d FROM events WHERE event_type = 'purchase'),
-wx AS (SELECT event_id AS obs_id, epoch_us(ts) AS u, user_id % 5 AS station, value FROM events WHERE event_type = 'error')
+WITH fl AS (SELECT event_id, epoch_us(ts) AS t, user_id % 5 AS o, (user_id // 5) % 5 AS d FROM events),
+wx AS (SELECT event_id AS obs_id, epoch_us(ts) AS u, user_id % 5 AS station, value FROM events)
 """
 _HOUR = 3_600_000_000
 
@@ -34,10 +34,10 @@ _HOUR = 3_600_000_000
 def _sides(spark, sf_dir):
     events = load(spark, sf_dir, "events")
     user = F.col("user_id")
-    fl = events.filter(F.col("event_type") == "purchase").select(
+    fl = events.select(
         "event_id", "ts", (user % 5).alias("o"), (F.floor(user / 5) % 5).alias("d")
     )
-    wx = events.filter(F.col("event_type") == "error").select(
+    wx = events.select(
         F.col("event_id").alias("obs_id"), F.col("ts").alias("obs_ts"), (user % 5).alias("station"), "value"
     )
     return fl, wx
@@ -165,13 +165,13 @@ def attach_lookup_query(spark, sf_dir):
 
 @query(
     "daily_delay_with_weather",
-    """WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS m FROM events WHERE event_type = 'purchase' GROUP BY 1),
-w AS (SELECT CAST(ts AS DATE) AS day, max(value) AS top FROM events WHERE event_type = 'error' GROUP BY 1)
+    """WITH d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS m FROM events GROUP BY 1),
+w AS (SELECT CAST(ts AS DATE) AS day, max(value) AS top FROM events GROUP BY 1)
 SELECT strftime(day, '%Y-%m-%d') AS day, round(m, 6) AS mean_delay, top AS worst_weather FROM d JOIN w USING (day)""",
 )
 def daily_delay_with_weather(spark, sf_dir):
     """Daily mean delay next to the same day's weather."""
-    fl, wx = (load(spark, sf_dir, "events").filter(F.col("event_type") == kind) for kind in ("purchase", "error"))
+    fl = wx = load(spark, sf_dir, "events")
     delays = fl.groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("m"))
     weather = wx.groupBy(F.to_date("ts").alias("day")).agg(F.max("value").alias("worst_weather"))
     joined = delays.join(weather, "day")

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
-    """Parquet sink; ``partition_by`` turns later filters on those columns into partition pruning."""
-    writer = df.write.mode(mode)
+    """Parquet sink; ``partition_by`` turns later filters on those columns into partition pruning.
+
+    Rows are first dealt by the partition's values, so files do not multiply with the tasks that wrote them; adaptive execution joins
+    small values and splits a large one over several tasks.
+    """
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode(mode).parquet(path)
 
 
 def write_metric_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -15,13 +15,15 @@ def stream_parquet(spark: SparkSession, folder: str, schema: T.StructType, max_f
     return reader.parquet(folder)
 
 
-def ingest_by_hour(source: DataFrame, time: str, out: str, checkpoint: str) -> StreamingQuery:
+def ingest_by_hour(source: DataFrame, time: str, out: str, checkpoint: str, files_per_hour: int = 4) -> StreamingQuery:
     """Drain all files present into parquet partitioned by ``hour`` (yyyy-MM-dd-HH of the event time).
 
     The checkpoint folder records which files are done, so a restart neither loses nor repeats rows.
-    Rows are not shuffled: each task sorts its own rows by hour and writes them out.
+    Rows are dealt by hour and a salt, so a batch writes at most ``files_per_hour`` files for an hour, however many tasks read it, and a
+    busy hour is still written by several tasks.
     """
-    hourly = source.withColumn("hour", F.date_format(F.col(time), "yyyy-MM-dd-HH"))
+    salt = F.pmod(F.xxhash64(F.col(time)), F.lit(files_per_hour))
+    hourly = source.withColumn("hour", F.date_format(F.col(time), "yyyy-MM-dd-HH")).repartition(F.col("hour"), salt)
     return (
         hourly.writeStream.format("parquet")
         .partitionBy("hour")
