@@ -332,7 +332,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "set_key", F.when(F.col("of").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(ids, "set_key", "left").select(
         "doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    out = store(out.withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "classes")
+    drop(sketches, nodes, signed, classed, starred, grouped)
+    return out
 
 
 def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ def store(df: DataFrame, name: str, partition_by: list[str] | None = None, **opt
     ``drop`` a table once the next one is written.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.options(**options).partitionBy(*partition_by or []).parquet(path)
+    df.write.options(**{"compression": "zstd", **options}).partitionBy(*partition_by or []).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -223,7 +223,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
     order = [F.col("doc_id").asc_nulls_last(), F.col("text_key"), F.col("row")]
     sorted_docs = plain.withColumns({"text_key": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(
         n_shards, *order).sortWithinPartitions(*order)
-    blocks = store(sorted_docs.select("doc_id", "text").mapInArrow(_write_blocks(tokenizer_path, width), _BLOCKS), "blocks", compression="zstd")
+    blocks = store(sorted_docs.select("doc_id", "text").mapInArrow(_write_blocks(tokenizer_path, width), _BLOCKS), "blocks")
 
     per_shard = blocks.groupBy("shard").agg(F.sum("n_ids").alias("ids"), F.sum(F.size("doc_ids")).alias("rows"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
