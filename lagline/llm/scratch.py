@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lagline.session import shared_path
 
 # Arrow hands a Python worker at most this many bytes at a time (one text may still be longer).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
