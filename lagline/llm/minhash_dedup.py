@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lagline.llm.components import connected_components
 from lagline.llm.scratch import bound_batches, drop, store
-from lagline.llm.words import WordHashes, mix, odd_numbers, texts_of
+from lagline.llm.words import TextHashes, mix, odd_numbers, texts_of
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -51,9 +51,13 @@ _SCALE, _SHIFT = odd_numbers(LONG, 13), mix(odd_numbers(LONG, 14))
 _BAND = odd_numbers(ROWS, 15)
 
 
-def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
-    codes = hashes.of(text.lower().split())
+def shingle_sets(texts: list[bytes], hashes: TextHashes) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles."""
+    codes, sizes = hashes.read([t.lower() for t in texts])
+    return [_shingles(words) for words in np.split(codes, np.cumsum(sizes)[:-1])] if len(texts) else []
+
+
+def _shingles(codes: np.ndarray) -> np.ndarray:
     n = len(codes)
     with np.errstate(over="ignore"):
         if n >= SHINGLE:
@@ -93,11 +97,10 @@ _SKETCH = pa.schema([
 
 
 def _sketch(batches):
-    hashes = WordHashes()
+    hashes = TextHashes()
     for batch in batches:
         sizes, keys, codes, bands = [], [], [], []
-        for text in texts_of(batch.column(1)):
-            shingles = shingle_set(text, hashes)
+        for shingles in shingle_sets(texts_of(batch.column(1)), hashes):
             sizes.append(len(shingles))
             if not len(shingles):
                 keys.append(None), codes.append(None), bands.append(None)
@@ -165,9 +168,9 @@ def _prune(miss: float):
 
 
 def _long_rows(batches):
-    hashes = WordHashes()
+    hashes = TextHashes()
     for batch in batches:
-        sets = [shingle_set(t, hashes) for t in texts_of(batch.column(1))]
+        sets = shingle_sets(texts_of(batch.column(1)), hashes)
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array([bytes_of(signature(x, LONG)) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
             names=["node", "codes", "shingles"])
@@ -243,7 +246,7 @@ def _compare_blocks(miss: float):
 class _Sets(OrderedDict):
     """The shingle sets of the texts seen last."""
 
-    def __init__(self, hashes: WordHashes):
+    def __init__(self, hashes: TextHashes):
         super().__init__()
         self.hashes = hashes
 
@@ -251,12 +254,12 @@ class _Sets(OrderedDict):
         if key not in self:
             if len(self) >= 64:
                 self.popitem(last=False)
-            self[key] = shingle_set(text, self.hashes)
+            self[key] = shingle_sets([text], self.hashes)[0]
         return self[key]
 
 
 def _verify(batches):
-    sets = _Sets(WordHashes())
+    sets = _Sets(TextHashes())
     for batch in batches:
         good = []
         a, b, ta, tb = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), texts_of(batch.column(3))
@@ -267,9 +270,9 @@ def _verify(batches):
 
 
 def _keyed_texts(batches):
-    hashes = WordHashes()
+    hashes = TextHashes()
     for batch in batches:
-        keys = [blake2b(shingle_set(t, hashes).tobytes(), digest_size=16).digest() for t in texts_of(batch.column(2))]
+        keys = [blake2b(x.tobytes(), digest_size=16).digest() for x in shingle_sets(texts_of(batch.column(2)), hashes)]
         good = pa.array([i for i, (k, want) in enumerate(zip(keys, batch.column(1).to_pylist())) if k == want], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(2).take(good).cast(pa.binary())], names=["node", "body"])
 

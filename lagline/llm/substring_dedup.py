@@ -22,8 +22,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagline.llm.scratch import bound_batches, store
-from lagline.llm.words import Rolling, WordHashes, mix, odd_numbers, texts_of
+from lagline.llm.words import Rolling, TextHashes, mix, odd_numbers, texts_of
 
 WINDOW, ANCHOR = 50, 25
 # The sketch has DEPTH rows of 2**WIDTH_BITS cells; one bit of each (6 MB) is broadcast.
@@ -45,14 +43,12 @@ class Windows:
     """The windows of a batch of texts, as arrays: document number, start in all words, anchor."""
 
     def __init__(self):
-        self.hashes = WordHashes()
+        self.hashes = TextHashes()
         self.grams, self.runs = Rolling(ANCHOR, 22), Rolling(WINDOW, 25)
         self.first, self.second = Rolling(WINDOW, 23), Rolling(WINDOW, 24)
 
     def read(self, texts: list[bytes]) -> None:
-        words = [t.split() for t in texts]
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        self.codes = self.hashes.of(chain.from_iterable(words))
+        self.codes, sizes = self.hashes.read(texts)
         self.offsets = np.cumsum(sizes) - sizes
         per_text = np.maximum(sizes - WINDOW + 1, 0)
         self.text = np.repeat(np.arange(len(texts)), per_text)

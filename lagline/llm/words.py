@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 _CACHED_WORDS = 200_000
+_CHUNK = 1 << 20
 
 
 def word_array(text: Column) -> Column:
@@ -91,3 +92,40 @@ class Rolling:
             return np.empty(0, dtype=np.uint64)
         sums = self.sums(codes)
         return mix((sums[self.width :] - sums[: -self.width]) * self.up[: n - self.width + 1])
+
+
+class TextHashes:
+    """Hashes of all words of whole texts, straight from their bytes.
+
+    A word's hash is its bytes' fixed random numbers summed with powers of a base, by differences of one running sum, so no word
+    becomes an object.
+    """
+
+    def __init__(self):
+        self.numbers = mix(odd_numbers(256, 16))
+        self.space = np.zeros(256, dtype=bool)
+        self.space[[0x20, *range(0x09, 0x0E)]] = True
+        self.roll = Rolling(1, 17)
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all words, words per text)."""
+        codes, sizes, at = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)], 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size + len(texts[stop]) < _CHUNK):
+                size += len(texts[stop]) + 1
+                stop += 1
+            found = self._chunk(texts[at:stop])
+            codes.append(found[0]), sizes.append(found[1])
+            at = stop
+        return np.concatenate(codes), np.concatenate(sizes)
+
+    def _chunk(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b" ".join([b"", *texts, b""]), dtype=np.uint8)
+        space = self.space[data]
+        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        stops = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
+        sizes = np.diff(np.searchsorted(starts, ends, side="right"), prepend=0)
+        with np.errstate(over="ignore"):
+            return self.roll.span(self.roll.sums(self.numbers[data]), starts, stops), sizes

@@ -216,3 +216,16 @@ def test_rolling_hashes_depend_on_the_words_only():
     for i, v in enumerate(values):
         assert seen.setdefault(tuple(words[i : i + 5]), v) == v
     assert len(set(seen.values())) == len(seen) == 32
+
+
+def test_text_hashes_tell_words_apart_as_split_does(monkeypatch):
+    from lagline.llm import words
+
+    monkeypatch.setattr(words, "_CHUNK", 50)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab \t\n\x0b\x0c\r\x1c\x85 é") for _ in range(rng.randint(0, 40))).encode() for _ in range(300)] + [b"", b" ", b"x"]
+    codes, sizes = words.TextHashes().read(texts)
+    assert sizes.tolist() == [len(t.split()) for t in texts]
+    names = [w for t in texts for w in t.split()]
+    assert len(set(zip(names, codes.tolist()))) == len(set(names)) == len(set(codes.tolist()))
+    assert words.TextHashes().read([])[0].tolist() == []
