@@ -15,7 +15,6 @@ ordered by a hash of their text. An empty table gives empty files and an empty i
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagline.llm.scratch import bound_batches, store
-from lagline.llm.words import mix, odd_numbers, texts_of
+from lagline.llm.words import TextHashes, mix, odd_numbers, texts_of
 
 END_ID = 1
 BLOCK_IDS = 1 << 16
@@ -35,59 +34,111 @@ PART_KEYS = 100_000
 # Bits per key and level.
 SPARE = 2
 
-_CACHED_WORDS = 600_000
+_CACHED_WORDS = 1_000_000
+_CHUNK = 2 << 20
 _SEEDS = mix(odd_numbers(256, 41))
 _OCCURRENCE, _PRINT = odd_numbers(2, 42)
 _NULL = 1 << 62
 
 
-# An ASCII punctuation run (without the apostrophe) that ends a word after a letter is a token run of its own.
-_TAIL = re.compile(rb"(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[!-&(-/:-@\[-`{-~]+(?=\s|\Z)")
-
-
-class WordIds:
-    """Token ids of whole texts as bytes, word by word through a cache that starts anew when it is full.
+class TokenIds:
+    """Token ids of whole texts, every distinct word encoded once.
 
     The tokenizer drops white space and never joins words across it, lower-cases everything, and keeps letters and punctuation
-    apart. So words can be lower-cased, cut before their final punctuation and encoded once each. Texts with a marker
-    of special tokens, which are matched as written, or with combining marks, which the tokenizer composes before it lower-cases, keep their case.
+    apart. So texts are lower-cased and cut at white space and before the ASCII punctuation (but no apostrophe) that ends a
+    word after a letter; pieces are told apart by 64-bit hashes, unseen ones are encoded together, and a text's ids are gathered from those of
+    its pieces. Texts with a marker of special tokens, which are matched as written, or with combining marks, which the
+    tokenizer composes before it lower-cases, are encoded as they are.
     """
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.codes = Tokenizer.from_file(path), f"<u{width}", {}
-
-    def pieces(self, text: bytes) -> list[bytes]:
-        if b"<|" in text:
-            return text.split()
-        plain = b"\xcc" not in text and b"\xcd" not in text
-        return _TAIL.sub(rb" \g<0>", text.lower() if plain else text).split()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode unseen words together; each token knows its word."""
-        if len(self.codes) + len(words) > _CACHED_WORDS:
-            self.codes.clear()
-        unseen = list(words - self.codes.keys())
-        for at in range(0, len(unseen), 50_000):
-            part = unseen[at : at + 50_000]
-            found = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, dtype=self.dtype).tobytes()
-            width = np.dtype(self.dtype).itemsize
-            ends = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(part)), side="right") * width
-            start = 0
-            for word, end in zip(part, ends.tolist()):
-                self.codes[word] = ids[start:end]
-                start = end
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 256):
-            pieces = [self.pieces(t) for t in texts[at : at + 256]]
-            self.learn(set().union(*pieces))
-            out += [b"".join(map(self.codes.__getitem__, words)) for words in pieces]
+        self.tokenizer, self.dtype, self.hashes = Tokenizer.from_file(path), np.dtype(f"<u{width}"), TextHashes()
+        letters = np.zeros(256, dtype=bool)
+        letters[ord("a") : ord("z") + 1] = True
+        marks = np.zeros(256, dtype=bool)
+        marks[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'"]] = True
+        latin = np.zeros(256, dtype=bool)
+        latin[0x80:0xC0] = True
+        latin[[0x97, 0xB7]] = False  # the signs among the letters that begin with C3
+        self.letters, self.marks, self.latin = letters, marks, latin
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes, self.slots = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        self.flat, self.starts, self.sizes = np.empty(0, dtype=self.dtype), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text."""
+        odd = [b"<|" in t or b"\xcc" in t or b"\xcd" in t for t in texts]
+        out: list[np.ndarray] = [None] * len(texts)
+        for i in (i for i, x in enumerate(odd) if x):
+            found = self.tokenizer.encode(texts[i].decode("utf-8", "replace"), add_special_tokens=False)
+            out[i] = np.array(found.ids, dtype=self.dtype)
+        plain, at = [i for i, x in enumerate(odd) if not x], 0
+        while at < len(plain):
+            stop, size = at, 0
+            while stop < len(plain) and (stop == at or size + len(texts[plain[stop]]) < _CHUNK):
+                size += len(texts[plain[stop]]) + 1
+                stop += 1
+            for i, ids in zip(plain[at:stop], self._chunk([texts[i].lower() for i in plain[at:stop]])):
+                out[i] = ids
+            at = stop
         return out
 
+    def _pieces(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces begin and end."""
+        space = self.hashes.space[data]
+        begin = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        end = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        mark = self.marks[data]
+        tail = np.flatnonzero(mark[1:] & ~mark[:-1]) + 1
+        before = data[tail - 1]
+        tail = tail[self.letters[before] | (self.latin[before] & (data[np.maximum(tail - 2, 0)] == 0xC3))]
+        other = np.flatnonzero(~mark)
+        tail = tail[space[other[np.searchsorted(other, tail)]]]
+        return np.sort(np.concatenate([begin, tail])), np.sort(np.concatenate([end, tail]))
+
+    def _learn(self, codes: np.ndarray, words: list[bytes]) -> None:
+        for at in range(0, len(words), 4_000):
+            part = words[at : at + 4_000]
+            found = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
+            sizes = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(part))
+            new = codes[at : at + 4_000]
+            where = np.searchsorted(self.codes, new)
+            self.codes = np.insert(self.codes, where, new)
+            self.slots = np.insert(self.slots, where, np.arange(len(self.sizes), len(self.sizes) + len(part)))
+            self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
+            self.sizes = np.append(self.sizes, sizes)
+            self.flat = np.append(self.flat, np.array(found.ids, dtype=self.dtype))
+
+    def _chunk(self, texts: list[bytes]) -> list[np.ndarray]:
+        whole = b" ".join([b"", *texts, b""])
+        data = np.frombuffer(whole, dtype=np.uint8)
+        begin, end = self._pieces(data)
+        with np.errstate(over="ignore"):
+            sums = self.hashes.roll.sums(self.hashes.numbers[data])
+            codes, first, back = np.unique(self.hashes.roll.span(sums, begin, end), return_index=True, return_inverse=True)
+
+        def unseen() -> np.ndarray:
+            if not len(self.codes):
+                return np.ones(len(codes), dtype=bool)
+            return self.codes[np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)] != codes
+
+        new = unseen()
+        if len(self.sizes) + new.sum() > _CACHED_WORDS:
+            self._forget()
+            new = unseen()
+        self._learn(codes[new], [whole[begin[i] : end[i]] for i in first[new].tolist()])
+        slot = self.slots[np.searchsorted(self.codes, codes)][back] if len(codes) else np.empty(0, dtype=np.int64)
+        sizes = self.sizes[slot]
+        after = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.starts[slot] - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)]
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
+        pieces = np.searchsorted(begin, ends, side="right")
+        return np.split(ids, np.concatenate([[0], after])[pieces][:-1])
+
 
 def id_width(path: str) -> int:
     """Bytes that the largest id of a vocabulary needs: 2 or 4."""
@@ -104,7 +155,7 @@ _BLOCK_SCHEMA = pa.schema([
 
 def _write_blocks(path: str, width: int):
     def run(batches):
-        words, end = WordIds(path, width), np.array([END_ID], dtype=f"<u{width}").tobytes()
+        words, end = TokenIds(path, width), np.array([END_ID], dtype=f"<u{width}").tobytes()
         shard, block, first_id, first_row = TaskContext.get().partitionId(), 0, 0, 0
         ids, lengths, parts = [], [], []
 
@@ -116,7 +167,7 @@ def _write_blocks(path: str, width: int):
 
         for batch in batches:
             for doc_id, code in zip(batch.column(0).to_pylist(), words.of(texts_of(batch.column(1)))):
-                code += end
+                code = code.tobytes() + end
                 ids.append(doc_id), parts.append(code), lengths.append(len(code) // width)
                 if sum(lengths) >= BLOCK_IDS or len(ids) >= BLOCK_IDS // 8:
                     yield out()
