@@ -1,11 +1,13 @@
 """Time the headline queries once each and print one JSON line.
 
-``BENCH_SF_DIR`` names the table folder, ``BENCH_CPUS`` the number of local cores.
+``BENCH_SF_DIR`` names the table folder, ``BENCH_CPUS`` the number of local cores. Some queries are also timed on the
+smaller folders beside it; ``slope`` is the power of the rows with which their time grows between the two largest.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 import sys
 import time
@@ -28,6 +30,29 @@ HEADLINE = (
 )
 
 
+SCALED = ("asof_join", "delay_features", "lagged_mean", "forward_fill", "percent_rank", "boxplot_stats", "cutoff_sweep")
+
+
+def seconds(spark, name: str, sf_dir: str) -> float:
+    start = time.perf_counter()
+    REGISTRY[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    return round(time.perf_counter() - start, 3)
+
+
+def scaling(spark, sf_dir: str, taken: dict[str, float]) -> dict[str, dict[str, float]]:
+    """Seconds per folder, and the slope of the largest step."""
+    own = os.path.basename(sf_dir.rstrip("/"))
+    parent = os.path.dirname(sf_dir.rstrip("/"))
+    others = sorted((f for f in os.listdir(parent) if f.startswith("sf") and float(f[2:]) < float(own[2:])), key=lambda f: float(f[2:])) if own.startswith("sf") else []
+    out = {}
+    for name in SCALED if others else ():
+        if name in taken:
+            line = {f: seconds(spark, name, f"{parent}/{f}") for f in others} | {own: taken[name]}
+            growth = math.log(float(own[2:]) / float(others[-1][2:]))
+            out[name] = line | {"slope": round(math.log(line[own] / line[others[-1]]) / growth, 2)}
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -45,13 +70,12 @@ def main() -> None:
     REGISTRY["frequency"].run(spark, sf_dir).collect()  # start the executor threads and warm the file cache
     taken = {}
     for name in names:
-        start = time.perf_counter()
-        REGISTRY[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
-        taken[name] = round(time.perf_counter() - start, 3)
+        taken[name] = seconds(spark, name, sf_dir)
+    grown = scaling(spark, sf_dir, taken)
     spark.stop()
     print(json.dumps({
         "metric": "headline queries, total wall time", "value": round(sum(taken.values()), 3), "unit": "sec",
-        "queries": taken, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
+        "queries": taken, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "scaling": grown,
     }))
 
 
