@@ -39,7 +39,8 @@ from lagline.operators.folds import block_frames
 from lagline.operators.joins import join_predictions
 from lagline.operators.range_windows import delay_features
 from lagline.operators.sampling import balance_by_keep
-from lagline.plans.common import flights, query
+from lagline.plans import windows  # noqa: F401 - its queries are part of the SQL here
+from lagline.plans.common import REGISTRY, flights, query
 from lagline.session import materialize, shared_path
 
 CATEGORICAL = ["carrier", "hour", "weekday"]
@@ -98,7 +99,22 @@ def lasso_stable_features(spark, sf_dir):
     return stable_features(coefficient_table(spark, models, frames), min_votes=4)
 
 
-@query("feature_names")
+# Levels of the categories but for the last of each, and the numeric columns, in the order of the feature vector.
+_FEATURES_SQL = """
+WITH lv AS (
+  SELECT 0 AS g, 'carrier' AS c, event_type AS o FROM events UNION SELECT 1, 'hour', CAST(hour(ts) AS VARCHAR) FROM events
+  UNION SELECT 2, 'weekday', CAST(dayofweek(ts) + 1 AS VARCHAR) FROM events),
+ranked AS (SELECT *, max(o) OVER (PARTITION BY g) AS base FROM lv),
+cat AS (SELECT g, o, c || ' = ' || o AS feature, base FROM ranked WHERE o <> base)
+"""
+_NUMERIC_SQL = ", ".join(f"(3, '{i}', '{name}')" for i, name in enumerate(NUMERIC))
+
+
+@query(
+    "feature_names",
+    _FEATURES_SQL + f"""SELECT row_number() OVER (ORDER BY g, o) - 1 AS position, feature, base FROM (
+  SELECT g, o, feature, base FROM cat UNION ALL SELECT g, o, name, NULL FROM (VALUES {_NUMERIC_SQL}) AS n(g, o, name))""",
+)
 def feature_names_query(spark, sf_dir):
     """Position, name and base level of every assembled feature."""
     rows = materialize(training_rows(spark, sf_dir), "training")
@@ -109,12 +125,21 @@ def feature_names_query(spark, sf_dir):
     return named.join(base, column == F.col("column"), "left").select("position", "feature", "base")
 
 
-@query("feature_vectors")
+@query(
+    "feature_vectors",
+    _FEATURES_SQL + f""", w AS ({REGISTRY['delay_features'].sql}),
+cells AS (
+  SELECT event_id, g, o, CASE WHEN o = CASE g WHEN 0 THEN event_type WHEN 1 THEN CAST(hour(ts) AS VARCHAR) ELSE CAST(dayofweek(ts) + 1 AS VARCHAR) END
+         THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM events, cat
+  UNION ALL {" UNION ALL ".join(f"SELECT event_id, 3, '{i}', CAST({name} AS DOUBLE) FROM w" for i, name in enumerate(NUMERIC))}),
+s AS (SELECT g, o, stddev_samp(v) AS sd FROM cells GROUP BY 1, 2)
+SELECT event_id, list(round(CASE WHEN sd > 0 THEN v / sd ELSE 0 END, 4) ORDER BY g, o) AS features FROM cells JOIN s USING (g, o) GROUP BY 1""",
+)
 def feature_vectors(spark, sf_dir):
-    """Indexed, one-hot encoded, assembled and scaled features as arrays."""
+    """Indexed, one-hot encoded, assembled and scaled features as arrays, rounded."""
     rows = materialize(training_rows(spark, sf_dir), "training")
     transformed = fit_stages(rows, feature_stages(CATEGORICAL, NUMERIC)).transform(rows)
-    return transformed.select("event_id", vector_to_array("features").alias("features"))
+    return transformed.select("event_id", F.transform(vector_to_array("features"), lambda x: F.round(x, 4)).alias("features"))
 
 
 @query("decision_tree_metrics")
@@ -188,13 +213,17 @@ def principal_components_query(spark, sf_dir):
     return parts
 
 
-@query("model_round_trip")
+@query("model_round_trip", "SELECT event_id, CASE WHEN value >= 50 THEN 1.0::DOUBLE ELSE 0.0 END AS label, 0.0::DOUBLE AS difference, true AS probability FROM events")
 def model_round_trip(spark, sf_dir):
-    """A fitted model saved, loaded and used for scoring."""
+    """A fitted model saved and loaded: every row is scored the same by both, with a probability."""
     rows = materialize(training_rows(spark, sf_dir), "training")
     path = shared_path(spark, "model")
-    save_model(fit_stages(rows, [*feature_stages(CATEGORICAL, NUMERIC), lasso_regression()]), path)
-    return score(load_model(path), rows, keep=["event_id", "label"])
+    fitted = fit_stages(rows, [*feature_stages(CATEGORICAL, NUMERIC), lasso_regression()])
+    save_model(fitted, path)
+    before = score(fitted, rows, "was", ["event_id"]).drop("prediction")
+    after = score(load_model(path), rows, keep=["event_id", "label"])
+    return after.join(before, "event_id").select(
+        "event_id", "label", F.abs(F.col("prob_pos") - F.col("was")).alias("difference"), F.col("prob_pos").between(0, 1).alias("probability"))
 
 
 @query("trained_ensemble")
