@@ -45,6 +45,18 @@ def category_sets(df: DataFrame, keys: Sequence[str], category: str, values: str
     return sets.withColumn(size, F.size(values)).orderBy(F.col(size).desc(), *keys)
 
 
+def latest_per_group(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFrame:
+    """Rows with their group's greatest value, ties kept (rank 1); groups without any value keep their rows.
+
+    The greatest value is aggregated before the shuffle and joined back, so a large group is never ordered in one task.
+    """
+    keys = list(keys)
+    marked = df.withColumn("__value", F.col(value) if isinstance(value, str) else value)
+    best = marked.groupBy(*keys).agg(F.max("__value").alias("__best")).select(*(F.col(k).alias(f"__j_{k}") for k in keys), "__best")
+    same = [marked[k].eqNullSafe(best[f"__j_{k}"]) for k in keys] + [marked["__value"].eqNullSafe(best["__best"])]
+    return marked.join(best, same, "left_semi").drop("__value")
+
+
 def missing_categories(df: DataFrame, period: str, category: str, name: str = "absent", max_periods: int = 1000) -> DataFrame:
     """(period, ``name``): categories seen in the table but not in that period, as (period, category) rows.
 

@@ -8,7 +8,7 @@ from lagline.operators.groups import frequency
 from lagline.plans.common import load, query
 from lagline.session import shared_path
 from lagline.sources.sinks import write_metric_csv, write_parquet, write_text_fields, write_votes
-from lagline.sources.tables import prune, read_csv, read_parquet, read_parquet_before, read_votes, rows_to_table, split_text_lines
+from lagline.sources.tables import prune, read_csv, read_name_list, read_parquet, read_parquet_before, read_votes, rows_to_table, split_text_lines
 from lagline.streaming.ingest import hourly_counts, ingest_by_hour, stream_parquet
 
 
@@ -76,6 +76,15 @@ def votes_round_trip(spark, sf_dir):
     return read_votes(spark, path, 2)
 
 
+@query("name_list_round_trip", "SELECT row_number() OVER (ORDER BY n_name) - 1 AS position, n_name AS feature FROM nation")
+def name_list_round_trip(spark, sf_dir):
+    """Names written as one comma separated line, then read with their positions."""
+    path = shared_path(spark, "names")
+    names = load(spark, sf_dir, "nation").agg(F.sort_array(F.collect_list("n_name")).alias("fields"))
+    write_text_fields(names, path, sep=",")
+    return read_name_list(spark, path)
+
+
 @query("text_lines_round_trip", "SELECT CAST(n_nationkey AS VARCHAR) AS source, CAST(n_regionkey AS VARCHAR) AS target FROM nation")
 def text_lines_round_trip(spark, sf_dir):
     """Tab separated pairs written as text, then split again."""

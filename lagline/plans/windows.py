@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lagline.functions.scalars import binary_label
 from lagline.models.evaluate import cutoff_sweep, error_stats, one_tailed_z, precision_at_recall, sparse_fallback_mean
+from lagline.operators import groups
 from lagline.operators.range_windows import (
     HOUR,
     RangeAgg,
@@ -208,10 +208,10 @@ def carrier_sample_size(spark, sf_dir):
   FROM events) WHERE r = 1""",
 )
 def latest_per_group(spark, sf_dir):
-    """Rows of the latest hour per carrier and day, ties kept; the rank limit applies before the shuffle."""
+    """Rows of the latest hour per carrier and day, ties kept."""
     rows = flights(spark, sf_dir).select("event_id", F.col("carrier").alias("event_type"), F.to_date("ts").alias("d"), F.date_trunc("hour", "ts").alias("h"))
-    ranked = rows.withColumn("r", F.rank().over(W.partitionBy("event_type", "d").orderBy(F.col("h").desc())))
-    return ranked.filter(F.col("r") == 1).select("event_id", "event_type", F.date_format("d", "yyyy-MM-dd").alias("d"))
+    latest = groups.latest_per_group(rows, ["event_type", "d"], "h")
+    return latest.select("event_id", "event_type", F.date_format("d", "yyyy-MM-dd").alias("d"))
 
 
 @query(
