@@ -93,14 +93,14 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 _SKETCH = pa.schema([
-    ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("codes", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("codes", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sketch(batches):
     hashes = TextHashes()
     for batch in batches:
         sizes, keys, codes, bands = [], [], [], []
-        for shingles in shingle_sets(texts_of(batch.column(1)), hashes):
+        for shingles in shingle_sets(texts_of(batch.column(2)), hashes):
             sizes.append(len(shingles))
             if not len(shingles):
                 keys.append(None), codes.append(None), bands.append(None)
@@ -110,7 +110,7 @@ def _sketch(batches):
             codes.append(bytes_of(values))
             bands.append(band_keys(values))
         yield pa.record_batch([
-            batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(codes, pa.binary()),
+            batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(codes, pa.binary()),
             pa.array(bands, pa.list_(pa.int64()))], schema=_SKETCH)
 
 
@@ -278,15 +278,19 @@ def _keyed_texts(batches):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    """``doc_id, text_key, n_shingles, component_id, kept`` for every row of ``docs``; ``text_key`` is a hash of the text."""
     spark = docs.sparkSession
     bound_batches(spark)
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sketches = store(plain.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, codes binary, bands array<long>"), "sketches")
-    # One node per distinct set, numbered once and for all by the stored table.
+    text = F.col(f"`{text_col}`").cast("string")
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    sketches = store(plain.mapInArrow(_sketch, "doc_id long, text_key long, n_shingles long, set_key binary, codes binary, bands array<long>"), "sketches")
+    # One node per distinct set, numbered once and for all by the stored table; one of its rows is named by id and text.
     nodes = sketches.where("set_key IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("codes").alias("codes"), F.first("bands").alias("bands"))
-    nodes = store(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("one"), F.first("n_shingles").alias("n"),
+        F.first("codes").alias("codes"), F.first("bands").alias("bands"))
+    nodes = store(nodes.select(
+        "set_key", F.col("one.doc_id").alias("first_id"), F.col("one.text_key").alias("first_text"), "n", "codes", "bands",
+        F.monotonically_increasing_id().alias("node")), "nodes")
     rows = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("in_band")).where("in_band > 1").select("band")
     # Similar sets are of similar size: each node joins its own size class and the next larger one, a pair shares one of them.
@@ -299,9 +303,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct((-F.col("mass")).alias("mass"), F.col("node").alias("centre")))
     centres = weighed.groupBy("band").agg(F.count("*").alias("in_band"), first.alias("c")).where("in_band > 1").select("band", "c.centre")
     members = store(classed.join(centres, "band").select("centre", "node", "n").distinct(), "members")
-    signed = store(nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "set_key", "first_id", "codes"), "signed")
+    signed = store(nodes.join(members.select("node").distinct(), "node", "left_semi").select(
+        "node", "set_key", "first_id", "first_text", "codes"), "signed")
     texts = store(
-        plain.join(signed.select("node", "first_id", "set_key"), F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "set_key", "text")
+        plain.join(
+            signed.select("node", "first_id", "first_text", "set_key"),
+            F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_text"))).select("node", "set_key", "text")
         .mapInArrow(_keyed_texts, "node long, body binary").dropDuplicates(["node"]), "texts")
 
     side = lambda table, key, value, to: table.select(F.col("node").alias(key), F.col(value).alias(to))
@@ -333,8 +340,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = store(named.join(least, "component").select(F.col("node").alias("of"), "component_id"), "grouped")
     ids = nodes.select("set_key", "first_id", "node").join(grouped, F.col("node") == F.col("of"), "left").select(
         "set_key", F.when(F.col("of").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
-    out = sketches.select("doc_id", "n_shingles", "set_key").join(ids, "set_key", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = sketches.select("doc_id", "text_key", "n_shingles", "set_key").join(ids, "set_key", "left").select(
+        "doc_id", "text_key", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = store(out.withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "classes")
     drop(sketches, nodes, signed, classed, starred, grouped)
     return out
@@ -342,5 +349,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one with the smallest id."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    kept = near_duplicates(docs, id_col, text_col).where("kept").select(
+        F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_text")).distinct()
+    same_id = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__kept_id"))
+    return docs.join(kept, same_id & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__kept_text")), "left_semi")

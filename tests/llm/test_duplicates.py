@@ -80,6 +80,8 @@ def test_near_duplicates_of_odd_rows(spark):
     out = minhash_dedup.near_duplicates(docs_of(spark, [(None, text), (5, text), (5, text), (7, text), (None, "x y z u v w"), (9, "lonely words here")])).collect()
     assert Counter((r.doc_id, r.component_id, r.kept) for r in out) == Counter({
         (None, 5, False): 1, (5, 5, True): 2, (7, 5, False): 1, (None, None, True): 1, (9, 9, True): 1})
+    left = minhash_dedup.keep_first_of_each(docs_of(spark, [(None, text), (5, text), (None, "x y z u v w"), (None, None)]))
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter({(5, text): 1, (None, "x y z u v w"): 1, (None, None): 1})
     assert minhash_dedup.near_duplicates(docs_of(spark, [])).count() == 0
     assert minhash_dedup.keep_first_of_each(docs_of(spark, [(1, text), (2, text), (3, "")])).orderBy("doc_id").select("doc_id").collect() == [(1,), (3,)]
 
