@@ -1,17 +1,19 @@
 """Moving documents from old shards to shards of new capacities with the fewest bytes moved.
 
-1. Sizes are summed per old shard and block (a block is some ten thousand documents of a shard, dealt by hash).
+1. Sizes are summed per old shard and block (a block is some ten thousand documents of a shard, dealt by a hash of id and text).
 2. A minimum-cost flow from old shards (their bytes) to new ones (their capacities) costs 0 to stay and 1 per byte to move. The
    graph has one node per shard, so it is solved on the driver whatever the data's size.
 3. Each flow is a range of the old shard's bytes in block order. Most blocks lie inside one range and move or stay whole;
-   a block on a border is cut between documents. A document goes where its middle byte lies, so a shard misses its
+   a block on a border (one per flow at most) is cut between documents. A document goes where its middle byte lies, so a shard misses its
    capacity by less than a document per flow.
-4. Shards that give or take anything are written anew, the others keep their files.
+4. Shards that give or take anything are written anew, the others keep their files. Texts are shuffled once, to their files.
 
-Positions are running sums in two steps (block sums, then inside a block), never over a whole shard in one task.
+Positions are running sums in two steps (block sums, then inside a block), never over a whole shard in one task. What is joined to the
+documents has one row per block.
 The law is ``bytes``: sizes near equal for equal capacities.
 
-A null text has no bytes and size 1. Null ids, ties and repeated rows are placed one by one. An empty table gives empty shards. Extra
+A null text has no bytes and size 1. Null ids, ties and repeated rows are placed one by one; rows that agree in id and text share a block. A null
+old shard counts as shard 0. An empty table gives empty shards. Extra
 columns are carried along when files are written, but for those named like the results (shard, slot, size, old_shard), which are replaced.
 """
 
@@ -74,80 +76,71 @@ def equal_capacities(total: int, n: int) -> list[int]:
     return [total // n + (i < total % n) for i in range(n)]
 
 
-def plan_transfers(
-    docs: DataFrame, old_shard: Column, size: Column, row_col: str, n_old: int, n_new: int, capacities: list[int] | None = None,
-) -> tuple[DataFrame, list[list[int]]]:
-    """``row, size, old_shard, shard, slot`` for every row, and the flow in bytes.
-
-    ``row_col`` numbers the rows; old shard i keeps its number as new shard i. Slots count a shard's rows from 0 in block order.
-    """
-    spark = docs.sparkSession
-    sized = docs.select(F.col(row_col).alias("row"), old_shard.cast("int").alias("old_shard"), size.cast("long").alias("size"))
-    per_shard = {r.old_shard: r for r in sized.groupBy("old_shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-    supply = [per_shard[o].bytes if o in per_shard else 0 for o in range(n_old)]
-    flow = cheapest_flow(supply, capacities or equal_capacities(sum(supply), n_new), [o if o < n_new else None for o in range(n_old)])
-    # one row per flow: the range of the old shard's bytes that goes to a new shard, what stays first
-    ranges = []
-    for o in range(n_old):
-        at = 0
-        for n in sorted(range(n_new), key=lambda n: (n != o, n)):
-            if flow[o][n]:
-                ranges.append((o, n, at, at + flow[o][n]))
-                at += flow[o][n]
-    blocks = [(o, max(1, -(-per_shard[o].n // BLOCK_ROWS)) if o in per_shard else 1) for o in range(n_old)]
-    n_blocks = spark.createDataFrame(blocks, "of int, n_blocks int")
-    placed = store(
-        sized.join(F.broadcast(n_blocks), F.col("old_shard") == F.col("of")).withColumn(
-            "block", F.pmod(F.xxhash64("row"), F.col("n_blocks")).cast("int")).select("row", "old_shard", "block", "size"), "placed")
-
-    sums = placed.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"))
-    ahead = Window.partitionBy("old_shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    starts = sums.select(F.col("old_shard").alias("o"), F.col("block").alias("b"), F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("old_shard", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    at = placed.withColumn("upto", F.sum("size").over(inside)).join(starts, (F.col("old_shard") == F.col("o")) & (F.col("block") == F.col("b")))
-    middle = F.col("start") + F.col("upto") - F.floor((F.col("size") + 1) / 2)
-    shard = F.lit(None).cast("int")
-    for o, n, low, high in ranges:  # old times new shards at most
-        shard = F.when((F.col("old_shard") == o) & (F.col("middle") >= low) & (F.col("middle") < high), F.lit(n)).otherwise(shard)
-    sharded = store(at.withColumn("middle", middle).select("row", "size", "old_shard", "block", shard.alias("shard")), "sharded")
-
-    counts = sharded.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    first = counts.select(
-        F.col("shard").alias("s"), F.col("old_shard").alias("o"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot"))
-    rank = F.row_number().over(Window.partitionBy("shard", "old_shard", "block").orderBy("row"))
-    slotted = sharded.withColumn("rank", rank).join(
-        first, (F.col("shard") == F.col("s")) & (F.col("old_shard") == F.col("o")) & (F.col("block") == F.col("b")))
-    return slotted.select("row", "size", "old_shard", "shard", (F.col("first_slot") + F.col("rank") - 1).alias("slot")), flow
-
-
 def affected_shards(flow: list[list[int]]) -> list[int]:
     """New shards that give or take bytes (a shard that keeps all its bytes and takes none is not touched)."""
     moves = [(o, n) for o, row in enumerate(flow) for n, x in enumerate(row) if x and o != n]
     return sorted({n for _, n in moves} | {o for o, _ in moves if o < len(flow[0])})
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, row_col: str, affected: list[int], files_per_shard: int) -> DataFrame:
-    """Write the affected shards anew (rows in slot order within a file) and read all shards back with ``shard`` and ``slot``.
+def _new_shard(flow: list[list[int]], position: Column) -> Column:
+    """New shard of a byte position of its old shard: what stays comes first, then one range per flow."""
+    shard = F.lit(None).cast("int")
+    for o, row in enumerate(flow):
+        at = 0
+        for n in sorted(range(len(row)), key=lambda n: (n != o, n)):
+            if row[n]:
+                shard = F.when((F.col("__old") == o) & (position >= at) & (position < at + row[n]), F.lit(n)).otherwise(shard)
+                at += row[n]
+    return shard
 
-    Rows of untouched shards stay where they are and are read from there.
-    """
-    where = plan.select(F.col("row").alias("__at"), "shard", "slot", "size", "old_shard")
-    joined = docs.join(where, F.col(row_col) == F.col("__at")).drop("__at")
-    changed, same = joined.where(F.col("shard").isin(affected)), joined.where(~F.col("shard").isin(affected))
-    salted = changed.withColumn("__salt", F.pmod(F.xxhash64(row_col), F.lit(files_per_shard)))
-    files = salted.repartition(F.col("shard"), F.col("__salt")).sortWithinPartitions("shard", "__salt", "slot").drop("__salt")
-    return store(files, "shards", partition_by=["shard"]).select(*same.columns).unionByName(same)
+
+_ORDER = ("__id", "__text")
 
 
 def reshard(
     docs: DataFrame, old_shard: Column, n_old: int, n_new: int, id_col: str = "doc_id", text_col: str = "text", capacities: list[int] | None = None,
     files_per_shard: int = 16,
 ) -> DataFrame:
-    """``docs`` with ``shard``, ``slot``, ``old_shard`` and ``size`` (bytes of the text plus 1), read back from the shards' files."""
-    results = {"shard", "slot", "size", "old_shard"}
-    marked = docs.withColumns({"__row": F.monotonically_increasing_id(), "__old": old_shard.cast("int")})
-    numbered = store(marked.drop(*(c for c in docs.columns if c.lower() in results)), "old-shards")
-    size = F.coalesce(F.octet_length(F.col(f"`{text_col}`").cast("string")), F.lit(0)) + 1
-    plan, flow = plan_transfers(numbered, F.col("__old"), size, "__row", n_old, n_new, capacities)
-    return rewrite(numbered, store(plan, "plan"), "__row", affected_shards(flow), files_per_shard).drop("__row", "__old")
+    """``docs`` with ``shard``, ``slot``, ``old_shard`` and ``size`` (bytes of the text plus 1), read back from the shards' files.
+
+    Old shard i keeps its number as new shard i. Slots count a shard's rows from 0.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    marked = docs.withColumns({
+        "__old": F.coalesce(old_shard.cast("int"), F.lit(0)), "__size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"),
+        "__id": F.col(f"`{id_col}`").cast("long"), "__text": F.xxhash64(text)})
+    marked = marked.drop(*(c for c in docs.columns if c.lower() in {"shard", "slot", "size", "old_shard"}))
+    carried = [c for c in marked.columns if not c.startswith("__")]
+
+    found = {r["__old"]: r for r in marked.groupBy("__old").agg(F.sum("__size").alias("bytes"), F.count("*").alias("n")).collect()}  # one row per shard
+    supply = [found[o].bytes if o in found else 0 for o in range(n_old)]
+    flow = cheapest_flow(supply, capacities or equal_capacities(sum(supply), n_new), [o if o < n_new else None for o in range(n_old)])
+    n_blocks = F.array(*(F.lit(max(1, -(-found[o].n // BLOCK_ROWS)) if o in found else 1) for o in range(n_old)))
+    blocked = marked.withColumn("__block", F.pmod(F.xxhash64(*_ORDER), F.get(n_blocks, F.col("__old"))).cast("int"))
+
+    sums = blocked.groupBy("__old", "__block").agg(F.sum("__size").alias("bytes"), F.count("*").alias("n"))
+    ahead = Window.partitionBy("__old").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    placed = sums.withColumn("start", F.coalesce(F.sum("bytes").over(ahead), F.lit(0)))
+    first, last = _new_shard(flow, F.col("start")), _new_shard(flow, F.col("start") + F.col("bytes") - 1)
+    placed = store(placed.withColumns({"shard": first, "last": last}), "blocks")
+    whole = placed.where("shard = last").select("__old", "__block", "shard", "n")
+    border = placed.where("shard <> last").select("__old", "__block", "start")
+
+    inside = Window.partitionBy("__old", "__block").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.col("start") + F.sum("__size").over(inside) - F.floor((F.col("__size") + 1) / 2)
+    cut = lambda df: df.join(border, ["__old", "__block"]).withColumn("middle", middle).withColumn("shard", _new_shard(flow, F.col("middle"))).drop("start", "middle")
+    counts = whole.unionByName(cut(blocked.select("__old", "__block", "__size", *_ORDER)).groupBy("__old", "__block", "shard").agg(F.count("*").alias("n")))
+    before = Window.partitionBy("shard").orderBy("__old", "__block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block and shard
+    slots = store(counts.select("__old", "__block", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_slot")), "slots")
+
+    moved = blocked.join(slots.join(whole.select("__old", "__block"), ["__old", "__block"], "left_semi"), ["__old", "__block"])
+    split = cut(blocked).join(slots, ["__old", "__block", "shard"])
+    every = moved.unionByName(split).withColumn("__file", F.pmod(F.xxhash64("__old", "__block"), F.lit(files_per_shard)))
+    dealt = every.repartition("shard", "__file")
+    rank = F.row_number().over(Window.partitionBy("shard", "__file", "__old", "__block").orderBy(*_ORDER))
+    result = dealt.withColumn("slot", F.col("first_slot") + rank - 1).select(
+        *(F.col(f"`{c}`") for c in carried), "shard", "slot", F.col("__size").alias("size"), F.col("__old").alias("old_shard"))
+    affected = affected_shards(flow)
+    files = store(result.where(F.col("shard").isin(affected)), "shards", partition_by=["shard"]).select(*result.columns)
+    untouched = sorted(set(range(n_new)) - set(affected))
+    return files.unionByName(result.where(F.col("shard").isin(untouched))) if untouched else files
