@@ -126,7 +126,7 @@ def copies(
     plan = spark.createDataFrame(
         [(r.source, size[r.source], float(target[r.source]), int(rate[r.source]), rate[r.source] - int(rate[r.source]), max(1, -(-r.n // GROUP))) for r in found],
         "source string, source_size long, target double, whole int, part double, groups long").withColumnRenamed("source", "of")
-    planned = sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    planned = sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     # A random order that reruns share: hash of id and text, not of where a row was read.
     order = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_key").cast("string")), 256)
     rows = planned.withColumns({"order": order, "p": F.col("part")}).withColumn("cell", F.pmod(F.xxhash64("order"), "groups"))
