@@ -24,6 +24,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -184,32 +185,29 @@ class Border:
     is_last: bool
 
 
-def chain_borders(segments: list) -> dict[tuple[int, int | None], Border]:
-    """States at the borders of conversations that span parts, by one pass over their segment matrices."""
-    by_conv: dict[int | None, list] = {}
-    for s in sorted(segments, key=lambda s: (s.part, s.edge)):
-        by_conv.setdefault(s.conv_id, []).append(s)
-    out = {}
-    for conv, parts in by_conv.items():
-        if len(parts) == 1:
-            continue
-        far, backs = np.where(np.arange(_STATES) == 0, 0, _NEVER), []
-        fars = [far]
-        for s in parts:
-            ways = far[:, None] + np.array(s.matrix).reshape(_STATES, _STATES)
-            backs.append(ways.argmin(axis=0))
-            far = np.minimum(ways.min(axis=0), _NEVER)
-            fars.append(far)
-        total, state = min((int(far[s]) + ENDING[s][0], s) for s in range(_STATES))
-        states = [state]
-        for back in reversed(backs):
-            states.append(int(back[states[-1]]))
-        states.reverse()
-        turn = 0
-        for i, s in enumerate(parts):
-            out[s.part, conv] = Border(states[i], states[i + 1], turn, int(fars[i][states[i]]) % _UNIT, total // _UNIT, i == len(parts) - 1)
-            turn += s.n_turns
-    return out
+_BORDERS = "part int, conv_id long, entry int, leave int, first_turn long, first_new long, cost long, is_last boolean"
+
+
+def _chain(rows):
+    """States at the borders of one conversation that spans parts, by one pass over its segment matrices."""
+    parts = rows.sort_values("part").to_dict("records")
+    far, backs = np.where(np.arange(_STATES) == 0, 0, _NEVER), []
+    fars = [far]
+    for s in parts:
+        ways = far[:, None] + np.array(s["matrix"]).reshape(_STATES, _STATES)
+        backs.append(ways.argmin(axis=0))
+        far = np.minimum(ways.min(axis=0), _NEVER)
+        fars.append(far)
+    total, state = min((int(far[s]) + ENDING[s][0], s) for s in range(_STATES))
+    states = [state]
+    for back in reversed(backs):
+        states.append(int(back[states[-1]]))
+    states.reverse()
+    turns = rows.sort_values("part")["n_turns"]
+    return pd.DataFrame({
+        "part": [s["part"] for s in parts], "conv_id": rows.sort_values("part")["conv_id"].array, "entry": states[:-1], "leave": states[1:],
+        "first_turn": (turns.cumsum() - turns).array, "first_new": [int(f[s]) % _UNIT for f, s in zip(fars, states[:-1])],
+        "cost": total // _UNIT, "is_last": [i == len(parts) - 1 for i in range(len(parts))]})
 
 
 _PIECES = pa.schema([
@@ -217,14 +215,14 @@ _PIECES = pa.schema([
     ("action", pa.string()), ("cost", pa.int64()), ("rendered", pa.string())])
 
 
-def _repair(shared):
+def _repair():
     def run(batches):
-        borders: dict = shared.value
         out = []
-        for part, conv, rows in _runs(batches, 2, 3, 4, 5):
+        for part, conv, rows in _runs(batches, *range(2, 12)):
             roles = [r[0] for r in rows]
-            border = borders.get((part, conv))
-            if border is None:
+            if rows[0][4] is not None:
+                border = Border(*rows[0][4:])
+            else:
                 product = np.where(np.arange(_STATES) == 0, 0, _NEVER)
                 for role in roles:
                     product = np.minimum((product[:, None] + MATRICES[role]).min(axis=0), _NEVER)
@@ -245,7 +243,7 @@ def _repair(shared):
                     "conv_id": conv, "turn": turn, "out_turn": new - 1, "role": role, "given_role": ROLES[given], "action": action,
                     "cost": border.cost, "rendered": head + (text or "")})
 
-            for (chain, action, given), (_, turn, role, text) in zip(trace(roles, border.entry, border.leave), rows):
+            for (chain, action, given), (_, turn, role, text) in zip(trace(roles, border.entry, border.leave), (r[:4] for r in rows)):
                 for inserted in chain:
                     add(None, None, inserted, "insert", None)
                 add(turn, role, given, action, text)
@@ -281,9 +279,12 @@ def repair_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     ordered = plain.withColumns({"tie": F.xxhash64("role", "text"), "row": F.monotonically_increasing_id()}).repartitionByRange(
         n_parts, *order).sortWithinPartitions(*order).select("conv_id", "turn", "role", "text")
     numbered = store(ordered.mapInArrow(_number, "part int, idx long, conv_id long, turn long, number byte, role string, text string"), "turns")
-    by_part = lambda *columns: numbered.select("part", "idx", *columns).repartition(n_parts, "part").sortWithinPartitions("part", "idx").drop("idx")
-    # two rows per part at most
-    segments = by_part("conv_id", "number").mapInArrow(_segments, "part int, conv_id long, n_turns long, edge int, matrix array<long>").collect()
-    shared = spark.sparkContext.broadcast(chain_borders(segments))
-    return by_part("conv_id", "number", "turn", "role", "text").mapInArrow(
-        _repair(shared), "conv_id long, seq long, turn long, out_turn long, role string, given_role string, action string, cost long, rendered string")
+    by_part = lambda rows, *columns: rows.select("part", "idx", *columns).repartition(n_parts, "part").sortWithinPartitions("part", "idx").drop("idx")
+    # two rows per part at most; those of a conversation that spans parts are chained together
+    segments = store(by_part(numbered, "conv_id", "number").mapInArrow(_segments, "part int, conv_id long, n_turns long, edge int, matrix array<long>"), "segments")
+    spanning = segments.groupBy(F.col("conv_id").alias("long_id")).agg(F.count("*").alias("k")).where("k > 1").select("long_id")
+    borders = segments.join(spanning, F.col("conv_id").eqNullSafe(F.col("long_id"))).groupBy("long_id").applyInPandas(_chain, _BORDERS)
+    borders = borders.withColumnsRenamed({"part": "at", "conv_id": "of"})
+    known = numbered.join(borders, (F.col("part") == F.col("at")) & F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    return by_part(known, "conv_id", "number", "turn", "role", "text", "entry", "leave", "first_turn", "first_new", "cost", "is_last").mapInArrow(
+        _repair(), "conv_id long, seq long, turn long, out_turn long, role string, given_role string, action string, cost long, rendered string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import random
+from collections import Counter
 
 import pytest
 from check_queries import compare, duck
@@ -95,10 +96,13 @@ def test_repair_is_cheapest_and_legal(spark, monkeypatch, per_part):
     rng = random.Random(7)
     roles = {c: [rng.choice([-1, 0, 1, 1, 2, 2]) for _ in range(rng.randint(1, 9) if c else 400)] for c in range(60)}
     rows = [(c, i, rng.choice(NAMES[r]), f"{c}.{i}", "extra") for c, turns in roles.items() for i, r in enumerate(turns)]
+    rows += [(None, i, "user", f"n{i}", "extra") for i in range(200)]
     rng.shuffle(rows)
     out = chat_repair.repair_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string")).toPandas()
+    nameless = out[out.conv_id.isna()]
+    assert Counter(nameless.action) == {"keep": 1, "merge": 199} and set(nameless.cost) == {199} and nameless.seq.is_unique
     for conv, pieces in out.groupby("conv_id"):
-        pieces = pieces.sort_values("seq")
+        conv, pieces = int(conv), pieces.sort_values("seq")
         turns = [chat_repair.ROLES.index(r) for r in pieces[pieces.action != "merge"].given_role]
         assert all(b in LEGAL[a + 1] for a, b in zip(turns, turns[1:])) and turns[0] in LEGAL[0] and turns[-1] + 1 in (2, 3)
         cost = sum({"keep": 0, "relabel": 2, "insert": 3}.get(p.action, 1 if chat_repair.role_number(p.role) == chat_repair.ROLES.index(p.given_role) else 3)
