@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from lagline.llm.scratch import store
 
 BLOCK_ROWS = 16_384
+# Bytes of text per written file, about; a block is not cut over files.
+FILE_BYTES = 64 << 20
 
 
 def cheapest_flow(supply: list[int], capacity: list[int], stays: list[int | None]) -> list[list[int]]:
@@ -99,7 +101,7 @@ _ORDER = ("__id", "__text")
 
 def reshard(
     docs: DataFrame, old_shard: Column, n_old: int, n_new: int, id_col: str = "doc_id", text_col: str = "text", capacities: list[int] | None = None,
-    files_per_shard: int = 16,
+    files_per_shard: int | None = None,
 ) -> DataFrame:
     """``docs`` with ``shard``, ``slot``, ``old_shard`` and ``size`` (bytes of the text plus 1), read back from the shards' files.
 
@@ -115,6 +117,7 @@ def reshard(
     found = {r["__old"]: r for r in marked.groupBy("__old").agg(F.sum("__size").alias("bytes"), F.count("*").alias("n")).collect()}  # one row per shard
     supply = [found[o].bytes if o in found else 0 for o in range(n_old)]
     flow = cheapest_flow(supply, capacities or equal_capacities(sum(supply), n_new), [o if o < n_new else None for o in range(n_old)])
+    files_per_shard = files_per_shard or max(1, -(-sum(supply) // (n_new * FILE_BYTES)))
     n_blocks = F.array(*(F.lit(max(1, -(-found[o].n // BLOCK_ROWS)) if o in found else 1) for o in range(n_old)))
     blocked = marked.withColumn("__block", F.pmod(F.xxhash64(*_ORDER), F.get(n_blocks, F.col("__old"))).cast("int"))
 
