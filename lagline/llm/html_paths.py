@@ -1,8 +1,10 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks of text, each with its root-to-leaf tag path. Menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments are told by their elements, roles and class words, and never count. Over
-the other blocks, text length and punctuation are aggregated per path and divided by the path's number of blocks; the
+adverts, forms and reader comments are told by their elements, roles and class names, and do not count. A name is a whole class
+(``sidebar``, ``cookie-notice``), not a part of one (``has-sidebar``, ``share-price``). Headings are never told by their names, nor sections
+of an article by their id. Such an element counts after all if it holds the page's ``<main>`` or the ``<article>`` with over half of the page's
+sentences, and a form, widget or search area also if it holds over half of all sentences itself. Over the other blocks, text length and punctuation are aggregated per path and divided by the path's number of blocks; the
 two ratios are fused (geometric mean), smoothed over neighbouring blocks, and blocks whose score
 reaches a share of its standard deviation are content nodes. Paths of short, unpunctuated labels fall out, paths of prose stay. The article is the smallest container
 that holds nearly all content text, and keeps everything in it that is not boilerplate, headings and short lines too.
@@ -42,13 +44,16 @@ _PUNCTUATION = re.compile(r"""[,.;:!?'"()、。，！？；：…-]""")
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
-_DROPPED = set("nav header footer aside form button select option menu dialog head fieldset canvas object audio video map".split())
+_DROPPED = set("nav header footer aside form button select option menu dialog fieldset canvas object audio video map".split())
 _CONTAINERS = set("html body main article section div td center".split())
 _NEUTRAL = set("html body main article".split())
 _CLOSED_BY = {"p": set("p".split()), "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSES_P = set("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 _BOUNDS = set("ul ol dl table body html article section div td th blockquote".split())
 
+_HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+_SENTENCE = re.compile("[.,;!?。，、！？；…]")
+
 # Class, id and role words of parts that are not the article.
 _BOILERPLATE = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
@@ -56,25 +61,55 @@ _BOILERPLATE = set(
     "promo promotion related replies reply search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
 
 
-def _barred(tag: str, attributes: str) -> bool:
-    if tag in _DROPPED:
-        return True
-    if tag in _NEUTRAL or "=" not in attributes:
-        return False
-    return any(
-        word.lower() in _BOILERPLATE for m in _MARKS.finditer(attributes) for word in _WORDS.findall(m[2] or m[3] or m[4] or ""))
+# Words that may stand beside those in the name of such a part.
+_BESIDE = set(
+    "area article articles bar block bottom box button buttons col column container content form global group icons inner item items left level link links list lists main "
+    "mobile nested outer panel post posts primary right secondary section site story stories text thread title top trail wrap wrapper".split())
+# Ids of sections outside the article. Within it, and for other words, an id is an anchor of prose.
+_SECTION_IDS = set("comments disqus sidebar footer header nav navigation navbar menu cookies".split())
+# Parts that are reader comments or consent, where an <article> is one of theirs.
+_REPLIES = set("comment comments consent cookie cookies discussion disqus reply replies".split())
+# Parts that may well wrap the article, and those that show nothing of what is in them.
+_WRAPPING = set("form fieldset login notice notices search signup toolbar widget widgets".split())
+_UNSEEN = set("button select option canvas object audio video map".split())
+
+
+def _named(name: str) -> set[str]:
+    """The boilerplate words of one class name or id, if it names such a part as a whole."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    own = words & _BOILERPLATE
+    return own if all(w in _BESIDE or w.isdigit() for w in words - own) else set()
+
+
+def _barred(tag: str, attributes: str, inside: bool) -> set[str]:
+    """What tells the element as boilerplate; ``inside``: within an article or main part."""
+    why = {tag} & _DROPPED
+    if tag in _NEUTRAL or tag in _HEADINGS or "=" not in attributes:
+        return why
+    marks = [(m[1].lower(), (m[2] or m[3] or m[4] or "").split()) for m in _MARKS.finditer(attributes)]
+    section = tag == "section" or any(kind == "class" and "section" in names for kind, names in marks)
+    for kind, names in marks:
+        for name in names:
+            if kind == "id" and section:
+                why |= {name.lower()} & _SECTION_IDS if not inside else set()
+            else:
+                why |= _named(name)
+    return why
 
 
 class _Page:
-    """Blocks of one page: text, path, chain of container numbers."""
+    """Blocks of one page: text, path, chain of container numbers; beside them, the numbers of the barred elements around each."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str, tuple[int, ...]]] = []
+        self.within: list[tuple[int, ...]] = []
         self.stack: list[tuple[str, bool]] = []  # tag, barred
         self.chain: list[int] = []
         self.containers: list[str] = []
-        self.parts: list[str] = []
-        self.barred = 0
+        self.around: list[tuple[int, ...]] = []  # barred elements around each container
+        self.bars: list[set[str]] = []  # what tells each barred element
+        self.barred: tuple[int, ...] = ()
+        self.parts: dict[tuple[int, ...], list[str]] = {}
         at = 0
         for m in _TOKEN.finditer(source):
             if m.start() > at:
@@ -83,25 +118,57 @@ class _Page:
             tag = (m[3] or m[6] or "").lower()
             if m[1]:
                 self.flush() if m[1].lower() not in _INLINE else None
-            elif tag:
+            elif tag and tag != "head":  # what shows in a head is in the body already
                 (self.end if m[2] or m[5] else self.begin)(tag, m[4] or m[7] or "")
         self.text(source[at:])
         self.flush()
+        self.open()
 
     def text(self, raw: str) -> None:
-        if not self.barred:
-            self.parts.append(raw)
+        self.parts.setdefault(self.barred, []).append(raw)
 
     def flush(self) -> None:
-        if self.parts:
-            text = " ".join(html.unescape("".join(self.parts)).split())
-            self.parts = []
+        for bars, parts in self.parts.items():
+            text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 self.blocks.append((text, "/".join(t for t, _ in self.stack if t not in _INLINE), tuple(self.chain)))
+                self.within.append(bars)
+        self.parts = {}
+
+    def open(self) -> None:
+        """Keep the blocks that no barred element holds, once those around the article count no more."""
+        if self.bars:
+            opened = self.opened()
+            self.blocks = [block for block, bars in zip(self.blocks, self.within) if opened.issuperset(bars)]
+
+    def opened(self) -> set[int]:
+        """Barred elements that hold the article."""
+        seen = [i for i, bars in enumerate(self.within) if not any(self.bars[b] & _UNSEEN for b in bars)]
+        size = {i: len(self.blocks[i][0]) * bool(_SENTENCE.search(self.blocks[i][0])) for i in seen}
+        ours = [i for i in seen if not any(self.bars[b] & _REPLIES for b in self.within[i])]
+        mass, filled = [0] * len(self.containers), set()
+        for i in ours:
+            for c in self.blocks[i][2]:
+                mass[c] += size[i]
+        for i in seen:
+            filled.update(self.blocks[i][2])
+        total, out = sum(size[i] for i in ours), set()
+        for c, tag in enumerate(self.containers):
+            if tag == "main" and c in filled or tag == "article" and 2 * mass[c] > total:
+                out.update(self.around[c])
+        wraps = {b for b, why in enumerate(self.bars) if why <= _WRAPPING} - out
+        held, total = dict.fromkeys(wraps, 0), 0
+        for i in ours:
+            if all(b in out or b in wraps for b in self.within[i]):
+                total += size[i]
+                for b in wraps.intersection(self.within[i]):
+                    held[b] += size[i]
+        return out | {b for b, n in held.items() if 2 * n > total}
 
     def pop(self) -> None:
         tag, barred = self.stack.pop()
-        self.barred -= barred
+        if barred:
+            self.barred = self.barred[:-1]
         if tag in _CONTAINERS:
             self.chain.pop()
 
@@ -127,11 +194,14 @@ class _Page:
             self.close(_CLOSED_BY[tag])
         if tag in _VOID or attributes.endswith("/") and tag not in _CONTAINERS:
             return
-        barred = _barred(tag, attributes)
-        self.stack.append((tag, barred))
-        self.barred += barred
+        why = _barred(tag, attributes, any(self.containers[c] in ("article", "main") for c in self.chain))
+        self.stack.append((tag, bool(why)))
+        if why:
+            self.barred += (len(self.bars),)
+            self.bars.append(why)
         if tag in _CONTAINERS:
             self.containers.append(tag)
+            self.around.append(self.barred)
             self.chain.append(len(self.containers) - 1)
 
     def end(self, tag: str, _: str) -> None:

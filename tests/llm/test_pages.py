@@ -135,3 +135,23 @@ def test_articles_of_odd_rows(spark):
     rows = [(1, None, None), (1, None, None), (None, "u", f"<p>{PROSE}"), (2, "u", "<article>" + f"<p>{PROSE}</p>" * 4000 + "</article>")]
     out = html_paths.extract_articles(pages_of(spark, rows)).collect()
     assert Counter(r.n_chars for r in out) == Counter({0: 2, len(PROSE): 1, 4000 * (len(PROSE) + 1) - 1: 1})
+
+
+@pytest.mark.parametrize("source, text", [
+    *[(f"<body class='x'><div class='{name}'><p>{PROSE}</p><p>{PROSE}</p></div><div class='sidebar'>{PROSE}</div>", f"{PROSE}\n{PROSE}")
+      for name in ("content has-sidebar", "no-sidebar", "with-nav", "share-price")],
+    (f"<form id=aspnetForm action=x><nav>Home</nav><div id=main><p>{PROSE}</p></div><div id=comments>{PROSE} {PROSE}</div></form>", PROSE),
+    (f"<html><head><meta charset=utf-8><title>T</title><body><p>{PROSE}</p>", PROSE),
+    (f"<head><link rel=x href=y><p>{PROSE}</p>", PROSE),
+    (f"<div class=header><nav>Home</nav><article><p>{PROSE}</p></article></div><div class=comments><article><p>{PROSE} {PROSE}</p></article></div>", PROSE),
+    (f"<div class=sidebar><p>Label<main><p>{PROSE}</p></main></div>", PROSE),
+    (f"<article><p>{PROSE}</p><section id='discussion'><h2 id='search'>Found</h2><p>{PROSE}</p></section><h2 id='related-work' class='header'>Others</h2><p>{PROSE}</p></article>",
+     f"{PROSE}\nFound\n{PROSE}\nOthers\n{PROSE}"),
+    # still boilerplate, however long
+    (f"<div class=post><p>{PROSE}</p></div><div class='comment-list'><article><p>{PROSE} {PROSE} {PROSE}</p></article></div>", PROSE),
+    (f"<p>{PROSE}</p><div class='cookie-notice'><p>{PROSE} {PROSE} {PROSE}</p></div>", PROSE),
+    (f"<p>One <span class=share>Share this!</span>two, three.</p><form>Name: <input></form>", "One two, three."),
+    ("<nav><a href=x>Home</a></nav><form>Name <select><option>a, b.</select></form>", ""),
+])
+def test_boilerplate_that_holds_the_article_counts(source, text):
+    assert html_paths.main_text(source) == text
