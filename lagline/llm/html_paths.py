@@ -6,8 +6,10 @@ adverts, forms and reader comments are told by their elements, roles and class n
 of an article by their id. Such an element counts after all if it holds the page's ``<main>`` or the ``<article>`` with over half of the page's
 sentences, and a form, widget or search area also if it holds over half of all sentences itself. Over the other blocks, text length and punctuation are aggregated per path and divided by the path's number of blocks; the
 two ratios are fused (geometric mean), smoothed over neighbouring blocks, and blocks whose score
-reaches a share of its standard deviation are content nodes. Paths of short, unpunctuated labels fall out, paths of prose stay. The article is the smallest container
-that holds nearly all content text, and keeps everything in it that is not boilerplate, headings and short lines too.
+reaches a share of its standard deviation are content nodes. Paths of short, unpunctuated labels fall out, paths of prose stay. The article is the ``<article>``
+with over half of the content text. Elsewhere it grows from the smallest container that holds nearly all content text to all that stands around it, up to
+the ``<main>`` part if that holds as much: to the smallest container around it with all headings, paragraphs, sentences and content. Everything there
+that is not boilerplate is kept, short lines too; beside the first container, parts that are mostly links are boilerplate.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed. ``<br>`` is white space.
 Unclosed and misnested tags, cut-off pages and raw text elements are handled like browsers do, in short. Null or empty html
@@ -29,8 +31,10 @@ from lagline.llm.scratch import bound_batches
 
 # Share of the standard deviation that a block's smoothed score must reach.
 THRESHOLD = 0.5
-# Share of the content text that the article's container must hold.
+# Share of the content text that the container must hold from which the article grows.
 HELD = 0.9
+# Characters from which a content block is no label.
+LABEL = 40
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
@@ -52,6 +56,7 @@ _CLOSES_P = set("address article aside blockquote center details div dl fieldset
 _BOUNDS = set("ul ol dl table body html article section div td th blockquote".split())
 
 _HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+_PROSE = _HEADINGS | set("p pre blockquote figcaption".split())
 _SENTENCE = re.compile("[.,;!?。，、！？；…]")
 
 # Class, id and role words of parts that are not the article.
@@ -110,6 +115,8 @@ class _Page:
         self.bars: list[set[str]] = []  # what tells each barred element
         self.barred: tuple[int, ...] = ()
         self.parts: dict[tuple[int, ...], list[str]] = {}
+        self.linked: list[int] = []  # characters of each block in links
+        self.links = 0
         at = 0
         for m in _TOKEN.finditer(source):
             if m.start() > at:
@@ -126,6 +133,8 @@ class _Page:
 
     def text(self, raw: str) -> None:
         self.parts.setdefault(self.barred, []).append(raw)
+        if any(tag == "a" for tag, _ in self.stack[-4:]):
+            self.links += len(raw.strip())
 
     def flush(self) -> None:
         for bars, parts in self.parts.items():
@@ -133,13 +142,15 @@ class _Page:
             if text:
                 self.blocks.append((text, "/".join(t for t, _ in self.stack if t not in _INLINE), tuple(self.chain)))
                 self.within.append(bars)
-        self.parts = {}
+                self.linked.append(self.links)
+        self.parts, self.links = {}, 0
 
     def open(self) -> None:
         """Keep the blocks that no barred element holds, once those around the article count no more."""
         if self.bars:
             opened = self.opened()
-            self.blocks = [block for block, bars in zip(self.blocks, self.within) if opened.issuperset(bars)]
+            kept = [i for i, bars in enumerate(self.within) if opened.issuperset(bars)]
+            self.blocks, self.linked = [self.blocks[i] for i in kept], [self.linked[i] for i in kept]
 
     def opened(self) -> set[int]:
         """Barred elements that hold the article."""
@@ -242,7 +253,38 @@ def main_text(source: str | None) -> str:
                 mass[c] += len(text)
     articles = [c for c, tag in enumerate(page.containers) if tag == "article" and 2 * mass[c] > total]
     held = articles[-1:] or [c for c in range(len(page.containers)) if mass[c] >= HELD * total][-1:]
-    return "\n".join(text for text, _, chain in page.blocks if not held or held[0] in chain)
+    if not held:
+        return "\n".join(text for text, _, _ in page.blocks)
+    kept = [held[0] in chain for _, _, chain in page.blocks]
+    if not articles:
+        _grow(page, content, held[0], [c for c, tag in enumerate(page.containers) if tag == "main" and mass[c] >= HELD * total], kept)
+    return "\n".join(text for (text, _, _), keep in zip(page.blocks, kept) if keep)
+
+
+def _grow(page: _Page, content: np.ndarray, held: int, mains: list[int], kept: list[bool]) -> None:
+    """Mark as ``kept`` what stands around the container ``held``, as far as anything there reads as text, but for parts of links."""
+    chain = next(chain for _, _, chain in page.blocks if held in chain)
+    above = chain[: chain.index(held)]
+    if mains:
+        above = above[above.index(mains[-1]) :] if mains[-1] in above else ()
+    # a part: a container beside those around ``held``, or the blocks of one path right inside one of these
+    parts: dict[tuple, list[int]] = {}
+    for i, (_, path, own) in enumerate(page.blocks):
+        if not kept[i] and (not mains or above and above[0] in own):
+            shared = next((d for d, (x, y) in enumerate(zip(own, chain)) if x != y), min(len(own), len(chain)))
+            parts.setdefault((shared, own[: shared + 1], "" if len(own) > shared else path), []).append(i)
+    told = {key: part for key, part in parts.items() if 2 * sum(page.linked[i] for i in part) < sum(len(page.blocks[i][0]) for i in part)}
+    reach = min((key[0] for key, part in told.items() if any(_reads(page.blocks[i], content[i]) for i in part)), default=len(chain))
+    for key, part in told.items():
+        if key[0] >= reach:
+            for i in part:
+                kept[i] = True
+
+
+def _reads(block: tuple[str, str, tuple[int, ...]], content: bool) -> bool:
+    """A heading, a paragraph, a sentence or long content, unlike a label."""
+    text, path, _ = block
+    return path.rpartition("/")[2] in _PROSE or bool(_SENTENCE.search(text)) or content and len(text) >= LABEL
 
 
 def _extract(batches):

@@ -155,3 +155,20 @@ def test_articles_of_odd_rows(spark):
 ])
 def test_boilerplate_that_holds_the_article_counts(source, text):
     assert html_paths.main_text(source) == text
+
+
+LONG = f"<p>{PROSE}</p>" * 40
+MANY = "\n".join([PROSE] * 40)
+
+
+@pytest.mark.parametrize("source, text", [
+    (f"<div class=post><h1>Title</h1><p>Lead</p><div class=body>{LONG}</div></div>", f"Title\nLead\n{MANY}"),
+    (f"<main><h1>Title</h1><p>Lead</p><div class=body>{LONG}</div></main>", f"Title\nLead\n{MANY}"),
+    (f"<body><div class=post><div class=head><h1>Title</h1></div><div class=body>{LONG}</div><div><h2>End</h2><p>{PROSE}</p><ul><li>x</ul></div></div>",
+     f"Title\n{MANY}\nEnd\n{PROSE}\nx"),
+    (f"<body><ul><li>Home<li>About</ul><div><a href=x>Log in, now.</a></div><div class=post><p>Lead<div class=body>{LONG}</div></div><footer>{PROSE}</footer>", f"Lead\n{MANY}"),
+    (f"<body><div>Home</div><div class=post><h1>Title</h1><ul><li><a href=x>Next post</a></ul><ol><li>Salt</ol><div class=body>{LONG}</div></div>", f"Title\nSalt\n{MANY}"),
+    (f"<body><div><p>{PROSE}</p></div><main><div>{LONG}</div><p>Close</p></main>", f"{MANY}\nClose"),
+])
+def test_what_stands_around_a_long_body_counts(source, text):
+    assert html_paths.main_text(source) == text
