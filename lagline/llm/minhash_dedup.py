@@ -16,7 +16,7 @@ in blocks of bounded size: 512-fold signatures in batches, the survivors verifie
 linked and yields only links that join two labels. Pairs under one label cannot change a component, so nothing is lost.
 
 Documents without words link with nothing and are their own component. Null ids form no component of their own: a component's id is its
-smallest non-null id, and null if there is none (then ``kept`` is true). Repeated rows are copies of each other. An empty table gives
+smallest non-null id, and null if there is none (then ``kept`` is true, but ``keep_first_of_each`` keeps one row). Repeated rows are copies of each other. An empty table gives
 an empty result. Other columns are ignored.
 """
 
@@ -93,14 +93,14 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 _SKETCH = pa.schema([
-    ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("codes", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    ("doc_id", pa.int64()), ("text_key", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("codes", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sketch(batches):
     hashes = TextHashes()
     for batch in batches:
         sizes, keys, codes, bands = [], [], [], []
-        for shingles in shingle_sets(texts_of(batch.column(2)), hashes):
+        for shingles in shingle_sets(texts_of(batch.column(3)), hashes):
             sizes.append(len(shingles))
             if not len(shingles):
                 keys.append(None), codes.append(None), bands.append(None)
@@ -110,7 +110,7 @@ def _sketch(batches):
             codes.append(bytes_of(values))
             bands.append(band_keys(values))
         yield pa.record_batch([
-            batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(codes, pa.binary()),
+            batch.column(0), batch.column(1), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(codes, pa.binary()),
             pa.array(bands, pa.list_(pa.int64()))], schema=_SKETCH)
 
 
@@ -279,11 +279,18 @@ def _keyed_texts(batches):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
     """``doc_id, text_key, n_shingles, component_id, kept`` for every row of ``docs``; ``text_key`` is a hash of the text."""
+    return _classes(docs, id_col, text_col, miss).drop("row", "component")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, miss: float = MISS, row_col: str | None = None) -> DataFrame:
+    """``near_duplicates`` with ``row``, the number of the row in ``row_col``, and ``component``, which ids have no part in and which is null without words."""
     spark = docs.sparkSession
     bound_batches(spark)
     text = F.col(f"`{text_col}`").cast("string")
-    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    sketches = store(plain.mapInArrow(_sketch, "doc_id long, text_key long, n_shingles long, set_key binary, codes binary, bands array<long>"), "sketches")
+    row = F.col(row_col) if row_col else F.lit(None).cast("long")
+    plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), row.alias("row"), text.alias("text"))
+    sketches = store(plain.mapInArrow(
+        _sketch, "doc_id long, text_key long, row long, n_shingles long, set_key binary, codes binary, bands array<long>"), "sketches")
     # One node per distinct set, numbered once and for all by the stored table; one of its rows is named by id and text.
     nodes = sketches.where("set_key IS NOT NULL").groupBy("set_key").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("one"), F.first("n_shingles").alias("n"),
@@ -337,19 +344,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop(members, texts, labelled, open_, whole)
     named = nodes.select("node", "first_id").join(labels, F.col("node") == F.col("of")).select("node", "first_id", "component")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    grouped = store(named.join(least, "component").select(F.col("node").alias("of"), "component_id"), "grouped")
+    grouped = store(named.join(least, "component").select(F.col("node").alias("of"), "component_id", "component"), "grouped")
     ids = nodes.select("set_key", "first_id", "node").join(grouped, F.col("node") == F.col("of"), "left").select(
-        "set_key", F.when(F.col("of").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
-    out = sketches.select("doc_id", "text_key", "n_shingles", "set_key").join(ids, "set_key", "left").select(
-        "doc_id", "text_key", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "set_key", F.when(F.col("of").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("component", "node").alias("component"))
+    out = sketches.select("doc_id", "text_key", "row", "n_shingles", "set_key").join(ids, "set_key", "left").select(
+        "doc_id", "text_key", "row", "n_shingles", "component", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     out = store(out.withColumn("kept", F.col("component_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "classes")
     drop(sketches, nodes, signed, classed, starred, grouped)
     return out
 
 
 def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, the one with the smallest id."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_text")).distinct()
-    same_id = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__kept_id"))
-    return docs.join(kept, same_id & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__kept_text")), "left_semi")
+    """``docs`` with one row of each near-duplicate group, the one with the smallest id, null last.
+
+    Repeated rows and rows without an id are in their text's group like others. Without words, rows are a group where id and text are the same.
+    """
+    numbered = store(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    rows = _classes(numbered, id_col, text_col, row_col="__row")
+    wordless = lambda name: F.when(F.col("component").isNull(), F.col(name))
+    kept = rows.groupBy("component", wordless("doc_id").alias("of_id"), wordless("text_key").alias("of_text")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("one")).select(F.col("one.row").alias("__kept"))
+    return numbered.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")

@@ -86,6 +86,15 @@ def test_near_duplicates_of_odd_rows(spark):
     assert minhash_dedup.keep_first_of_each(docs_of(spark, [(1, text), (2, text), (3, "")])).orderBy("doc_id").select("doc_id").collect() == [(1,), (3,)]
 
 
+def test_one_row_of_each_group_stays(spark):
+    text, near = "a b c d e f g h i j " * 3, "x y z u v w"
+    rows = [(5, text)] * 4 + [(5, text.upper()), (7, text), (None, text)] + [(None, near)] * 3 + [(None, near.upper())] + [(5, "")] * 2 + [(5, " "), (None, None), (None, None), (5, "other words here")]
+    left = minhash_dedup.keep_first_of_each(docs_of(spark, rows)).collect()
+    assert Counter((r.doc_id, (r.text or "").lower()) for r in left) == Counter(
+        {(5, text): 1, (None, near): 1, (5, ""): 1, (5, " "): 1, (None, ""): 1, (5, "other words here"): 1})
+    assert minhash_dedup.keep_first_of_each(docs_of(spark, [])).count() == 0
+
+
 def test_pruning_bound_is_the_binomial_tail():
     from math import comb
 
