@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagline.llm.scratch import bound_batches
+from lagline.llm.scratch import bound_batches, store
 from lagline.llm.words import Rolling, WordHashes
 
 WORDS_PER_EDIT = 5
@@ -155,6 +155,7 @@ def contaminations(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that contain a benchmark item; rows of a null id go only together."""
-    found = contaminations(docs, benchmark, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias("__found_id")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__found_id")), "left_anti")
+    """The rows of ``docs`` that contain no benchmark item, whatever their ids."""
+    numbered = store(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = contaminations(numbered, benchmark, "__row", text_col, item_col, item_text_col).select(F.col("doc_id").alias("__found")).distinct()
+    return numbered.join(found, F.col("__row") == F.col("__found"), "left_anti").drop("__row")

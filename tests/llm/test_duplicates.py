@@ -215,6 +215,14 @@ def test_contaminations_equal_brute_force(spark, monkeypatch):
     assert decontaminate.contaminations(docs_of(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def test_clean_rows_of_a_contaminated_id_stay(spark):
+    benchmark = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    dirty = "so one two three four five six seven it is"
+    rows = [(None, dirty), (None, "clean"), (None, "clean"), (None, None), (4, dirty), (4, dirty), (4, "other"), (5, "other"), (6, dirty)]
+    left = decontaminate.drop_contaminated(docs_of(spark, rows), benchmark).collect()
+    assert Counter((r.doc_id, r.text) for r in left) == Counter({(None, "clean"): 2, (None, None): 1, (4, "other"): 1, (5, "other"): 1})
+
+
 def test_rolling_hashes_depend_on_the_words_only():
     from lagline.llm.words import Rolling, WordHashes
 
