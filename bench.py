@@ -17,6 +17,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from lagline.plans import REGISTRY  # noqa: E402
 from lagline.session import build_session  # noqa: E402
 
+FAILED: dict[str, str] = {}
+
 HEADLINE = (
     # table build: as-of join, windows, fills, profiles
     "asof_join", "asof_join_both_ends", "delay_features", "lagged_mean", "lagged_last", "trailing_rate", "rolling_means",
@@ -33,9 +35,14 @@ HEADLINE = (
 SCALED = ("asof_join", "delay_features", "lagged_mean", "forward_fill", "percent_rank", "boxplot_stats", "cutoff_sweep")
 
 
-def seconds(spark, name: str, sf_dir: str) -> float:
+def seconds(spark, name: str, sf_dir: str) -> float | None:
+    """Wall time of one run; None, with the error kept for the report, where the query fails."""
     start = time.perf_counter()
-    REGISTRY[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    try:
+        REGISTRY[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    except Exception as error:  # one broken query must not lose the figures of the others
+        FAILED[f"{name} {os.path.basename(sf_dir.rstrip('/'))}"] = str(error).split("\n")[0][:300]
+        return None
     return round(time.perf_counter() - start, 3)
 
 
@@ -49,7 +56,9 @@ def scaling(spark, sf_dir: str, taken: dict[str, float]) -> dict[str, dict[str,
         if name in taken:
             line = {f: seconds(spark, name, f"{parent}/{f}") for f in others} | {own: taken[name]}
             growth = math.log(float(own[2:]) / float(others[-1][2:]))
-            out[name] = line | {"slope": round(math.log(line[own] / line[others[-1]]) / growth, 2)}
+            if line[own] and line[others[-1]]:
+                line["slope"] = round(math.log(line[own] / line[others[-1]]) / growth, 2)
+            out[name] = line
     return out
 
 
@@ -74,8 +83,8 @@ def main() -> None:
     grown = scaling(spark, sf_dir, taken)
     spark.stop()
     print(json.dumps({
-        "metric": "headline queries, total wall time", "value": round(sum(taken.values()), 3), "unit": "sec",
-        "queries": taken, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "scaling": grown,
+        "metric": "headline queries, total wall time", "value": round(sum(filter(None, taken.values())), 3), "unit": "sec",
+        "queries": taken, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "scaling": grown, "failed": FAILED,
     }))
 
 

@@ -51,6 +51,11 @@ KEEP = ["event_id", "ts", "tail", "delay", "label"]
 CUTOFFS = tuple(i / 20 for i in range(20))
 
 
+def forest_features():
+    """Features of the published forests: numeric columns only, as their bins are fewer than the levels of some category."""
+    return feature_stages([], NUMERIC, scaled=False)
+
+
 def training_rows(spark, sf_dir):
     """Flights with lagged features, calendar categories and the label "delay of at least 50"."""
     built = delay_features(flights(spark, sf_dir), "ts", "delay", "carrier", "carrier", "tail", "event_id")
@@ -157,7 +162,7 @@ def forest_metrics(spark, sf_dir):
     (train, validation), = folds
     result = None
     for i, settings in enumerate(FORESTS):
-        model = fit_stages(train, [*feature_stages(CATEGORICAL, NUMERIC, scaled=False, one_hot=False), random_forest(**settings)])
+        model = fit_stages(train, [*forest_features(), random_forest(**settings)])
         line = classification_metrics(score(model, validation, keep=KEEP), "prediction", "label").withColumn("model", F.lit(i))
         result = line if result is None else result.unionByName(line)
     return result
@@ -168,7 +173,7 @@ def forest_importances(spark, sf_dir):
     """The most important features of a forest."""
     _, folds = _folds(spark, sf_dir, 1)
     (train, _), = folds
-    model = fit_stages(train, [*feature_stages(CATEGORICAL, NUMERIC, scaled=False, one_hot=False), random_forest(**FORESTS[0])])
+    model = fit_stages(train, [*forest_features(), random_forest(**FORESTS[0])])
     return top_features(importance_table(spark, model, model.transform(train)), 20)
 
 
@@ -235,7 +240,7 @@ def trained_ensemble(spark, sf_dir):
     stages = {
         "mlp_prob_pos": [*feature_stages([], NUMERIC), perceptron(len(NUMERIC), (4, 4))],
         "eng_lr_prob_pos": [*feature_stages(CATEGORICAL, NUMERIC), lasso_regression()],
-        "rf_prob_pos": [*feature_stages(CATEGORICAL, NUMERIC, scaled=False, one_hot=False), random_forest(**FORESTS[0])],
+        "rf_prob_pos": [*forest_features(), random_forest(**FORESTS[0])],
     }
     frames = []
     for name, model_stages in stages.items():

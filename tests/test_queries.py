@@ -31,6 +31,12 @@ def test_rows_only_queries_run(spark, small_tables):
         assert REGISTRY[name].run(spark, small_tables).count() > 0, name
 
 
+# The grid of 45 fits is too slow for a test; tests/test_models.py searches a smaller one.
+@pytest.mark.parametrize("name", sorted(set(ITERATIVE) - set(SQL_NAMES) - {"forest_grid"}))
+def test_training_queries_run(spark, small_tables, name):
+    assert REGISTRY[name].run(spark, small_tables).count() > 0
+
+
 def test_entry_points(spark):
     frame = entry_module.entry(spark)
     assert frame.columns == ["Cutoff", "TP", "FP", "Precision", "Recall"] and frame.count() == 8
