@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagline.llm import (
-    chat_repair, decontaminate, html_paths, minhash_dedup, pivotal_mix, quality_rules, reshard, substring_dedup, token_store, url_trust,
+    bpe, chat_repair, decontaminate, html_paths, minhash_dedup, pivotal_mix, quality_rules, reshard, substring_dedup, token_store, url_trust,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select(
         "doc_id", "size", F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).alias("text_crc32"), F.lit("bytes").alias("law"),
         "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+@_query("op13_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
