@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagline.llm import (
-    bpe, chat_repair, decontaminate, html_paths, minhash_dedup, pivotal_mix, quality_rules, reshard, substring_dedup, token_store, url_trust,
+    bpe, chat_repair, decontaminate, html_paths, minhash_dedup, periodic_runs, pivotal_mix, quality_rules, reshard, substring_dedup, token_store, url_trust,
 )
+from lagline.llm.words import let, word_array
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,6 +91,35 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def planted_period(doc_id: Column, text: Column) -> Column:
+    """The text, in one document of ten with its words from some place on replaced by repetitions of the first of them."""
+    words = word_array(text)
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def plant(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        kept = F.slice(w, F.lit(1), a)
+        again = F.transform(F.sequence(F.lit(0), n - a - 1), lambda k: F.get(w, a + k % p))
+        return F.array_join(F.concat(kept, again), " ")
+
+    chosen = (h % 10 == 0) & (F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return F.when(chosen, let(words, plant)).otherwise(text)
+
+
+@_query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", planted_period(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.periodic_runs(docs)
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+        F.expr("(1000 * strongest.length) div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"))
+
+
 @_query("op13_bpe")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
