@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagline.llm import (
-    bpe, chat_repair, decontaminate, html_paths, minhash_dedup, periodic_runs, pivotal_mix, quality_rules, reshard, substring_dedup, token_store, url_trust,
+    bpe, chat_repair, decontaminate, html_paths, minhash_dedup, periodic_runs, pivotal_mix, quality_rules, reshard, structure_repair, substring_dedup, token_store, url_trust,
 )
 from lagline.llm.words import let, word_array
 
@@ -91,6 +91,30 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with some turns dropped, emptied, cut short, repeated or given to the user, by a hash of conversation and turn."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    harm = F.crc32(F.concat(plain("conv_id"), F.lit(":"), plain("turn")).cast("binary")) % 20
+    marked = turns.select("conv_id", "turn", plain("role").alias("role"), plain("text").alias("text"), harm.alias("harm")).where("harm <> 0")
+    text = F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("harm") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("harm") == 3, 2).otherwise(1))).alias("copy")
+    return marked.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies).drop("copy")
+
+
+@_query("op11_structure_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    repairs, faults = structure_repair.repair_structure(damaged(turns))
+    found = structure_repair.digests(repairs).join(faults.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    every = turns.select(F.col("conv_id").alias("c")).distinct()
+    joined = every.join(found, F.col("c").eqNullSafe(F.col("conv_id")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return joined.select(
+        F.col("c").alias("conv_id"), *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in numbers), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def planted_period(doc_id: Column, text: Column) -> Column:
     """The text, in one document of ten with its words from some place on replaced by repetitions of the first of them."""
     words = word_array(text)
