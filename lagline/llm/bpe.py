@@ -5,7 +5,7 @@ non-space follows: pre-tokens never cross such a place. A piece is cut by the to
 pre-token is a doubly linked list of byte symbols, and a heap holds the rank and place of every adjacent pair that the vocabulary
 merges. The lowest rank, leftmost first, is merged; its neighbours' new pairs are pushed, and entries whose symbols have
 changed since are stale and skipped. A pre-token of n bytes costs n log n, however long it is. Pieces and pre-tokens seen before come from
-a cache that starts anew when it is full.
+a cache of bounded size, which a worker process keeps from task to task.
 
 Decoding looks up every id's vocabulary string, joins the strings and reads the bytes as UTF-8 (what is not UTF-8 becomes U+FFFD).
 
@@ -18,9 +18,12 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
+from operator import add
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +36,11 @@ CHUNK_CHARS = 1 << 20
 # Ids of one result batch; a longer text is a batch of its own.
 BATCH_IDS = 1 << 20
 
-_CACHED_PIECES = 400_000
+_CACHED_PIECES = 300_000
 _CACHED_CHARS = 64
 _CUT = re.compile(r"(?= \S)")
-_IDS = 1 << 24
+_WIDE_SPACE = re.compile(r" (?:\s|\Z)")
+_ID = 24
 _PLACE = 40
 _PLACES = (1 << _PLACE) - 1
 # Fixed value: how byte-level tokenizers cut pre-tokens. Below U+0530 every version of Unicode has the same letters, numbers and
@@ -68,12 +72,14 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in parts["added_tokens"]}
         letters = byte_letters()
         self.first = [ids[letter] for letter in letters]
+        # Ranks are kept shifted past the places, so rank and place of a pair are one number.
         self.ranks: dict[int, int] = {}
-        self.made: list[int] = []
+        self.made: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault(ids[left] * _IDS + ids[right], rank)
-            self.made.append(ids[left + right])
+            self.ranks.setdefault(ids[left] << _ID | ids[right], rank << _PLACE)
+            self.made[rank << _PLACE] = ids[left + right]
+        self.first_left = [i << _ID for i in self.first]
         as_byte = {letter: b for b, letter in enumerate(letters)}
         self.strings = [b""] * (max([*ids.values(), *self.added.values()]) + 1)
         for string, i in [*ids.items(), *self.added.items()]:
@@ -88,47 +94,53 @@ class Vocabulary:
             return b"".join(known[i] for i in ids if i < len(known)).decode("utf-8", "replace")
 
 
-    def merge(self, symbols: list[int]) -> list[int]:
-        """Ids left when always the pair of lowest rank, leftmost first, is merged."""
-        n = len(symbols)
-        if n < 2:
-            return symbols
-        # Place n ends the list on both sides; -1 is no symbol, so pairs with it have no rank.
-        symbols, before, after = [*symbols, -1], list(range(-1, n)), [*range(1, n + 1), n]
+    def encode_word(self, word: bytes) -> list[int]:
+        """Ids of a pre-token: always the pair of lowest rank, leftmost first, is merged."""
+        n = len(word)
+        symbols = list(map(self.first.__getitem__, word))
         rank_of, made = self.ranks.get, self.made
-        queue = []
-        for i in range(n - 1):
-            rank = rank_of(symbols[i] * _IDS + symbols[i + 1])
-            if rank is not None:
-                queue.append(rank << _PLACE | i)
+        pairs = map(rank_of, map(add, map(self.first_left.__getitem__, word), symbols[1:]))
+        queue = [rank + i for i, rank in enumerate(pairs) if rank is not None]
+        if not queue:
+            return symbols
         heapify(queue)
+        # Place n ends the list on both sides; -1 is no symbol, so pairs with it have no rank.
+        symbols.append(-1)
+        before, after = list(range(-1, n)), list(range(1, n + 2))
         while queue:
             entry = heappop(queue)
-            rank, i = entry >> _PLACE, entry & _PLACES
+            i = entry & _PLACES
+            entry -= i
             right = after[i]
-            if rank_of(symbols[i] * _IDS + symbols[right]) != rank:
+            if rank_of((symbols[i] << _ID) + symbols[right]) != entry:
                 continue  # stale: one of its symbols was merged meanwhile
-            new, nxt, left = made[rank], after[right], before[i]
+            new, nxt, left = made[entry], after[right], before[i]
             symbols[i], symbols[right], after[i], before[nxt] = new, -1, nxt, i
-            rank = rank_of(new * _IDS + symbols[nxt])
+            rank = rank_of((new << _ID) + symbols[nxt])
             if rank is not None:
-                heappush(queue, rank << _PLACE | i)
-            rank = rank_of(symbols[left] * _IDS + new)
+                heappush(queue, rank + i)
+            rank = rank_of((symbols[left] << _ID) + new)
             if rank is not None:
-                heappush(queue, rank << _PLACE | left)
+                heappush(queue, rank + left)
         return [s for s in symbols if s >= 0]
 
 
 class _Cache(dict):
-    """Text -> ids, worked out when missing; long texts are not kept and a full cache starts anew."""
+    """Text -> ids, worked out when missing; long texts are not kept.
+
+    A full cache becomes the older half, which is asked before anything is worked out again, so frequent texts stay.
+    """
 
     def __init__(self, find):
-        self.find = find
+        self.find, self.older = find, {}
 
     def __missing__(self, text: str) -> tuple[int, ...]:
-        found = self.find(text)
+        found = self.older.get(text)
+        if found is None:
+            found = self.find(text)
         if len(text) <= _CACHED_CHARS:
             if len(self) >= _CACHED_PIECES:
+                self.older = dict(self)
                 self.clear()
             self[text] = found
         return found
@@ -144,8 +156,9 @@ class Encoder:
         self.vocabulary = vocabulary
         self.plain_cut = regex.compile(PRE_TOKENS).findall
         self.library_cut = Tokenizer.from_file(vocabulary.path).pre_tokenizer.pre_tokenize_str
-        self.words = _Cache(lambda word: tuple(vocabulary.merge([vocabulary.first[b] for b in word.encode()])))
-        self.pieces = _Cache(lambda piece: tuple(chain.from_iterable(map(self.words.__getitem__, self.cut(piece)))))
+        self.pieces = _Cache(self._ids)
+        # By the piece without the space that it begins with.
+        self.spaced = _Cache(lambda rest: self._ids(" " + rest))
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.added, key=len, reverse=True))) + ")") if vocabulary.added else None
 
     def cut(self, piece: str) -> list[str]:
@@ -154,6 +167,21 @@ class Encoder:
             return self.plain_cut(piece)
         return [piece[a:b] for _, (a, b) in self.library_cut(piece)]
 
+    def _ids(self, piece: str) -> tuple[int, ...]:
+        parts = self.cut(piece)
+        if len(parts) == 1:
+            return tuple(self.vocabulary.encode_word(piece.encode()))
+        return tuple(chain.from_iterable(self.spaced[p[1:]] if p[0] == " " and not p[1:2].isspace() else self.pieces[p] for p in parts))
+
+    def _chunk(self, chunk: str) -> np.ndarray:
+        if _WIDE_SPACE.search(chunk):
+            found = map(self.pieces.__getitem__, _CUT.split(chunk))
+        else:
+            # Every space begins a piece; the first piece may lack it.
+            rest = iter(chunk.split(" "))
+            found = chain([self.pieces[next(rest)]], map(self.spaced.__getitem__, rest))
+        return np.fromiter(chain.from_iterable(found), dtype=np.int32)
+
     def encode(self, text: str) -> np.ndarray:
         parts = self.marks.split(text) if self.marks else [text]
         found = []
@@ -161,7 +189,7 @@ class Encoder:
             if i % 2:
                 found.append(np.array([self.vocabulary.added[part]], dtype=np.int32))
             else:
-                found += [np.fromiter(chain.from_iterable(map(self.pieces.__getitem__, _CUT.split(chunk))), dtype=np.int32) for chunk in chunks(part)]
+                found += map(self._chunk, chunks(part))
         return np.concatenate(found) if found else np.empty(0, dtype=np.int32)
 
 
@@ -175,9 +203,18 @@ def chunks(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
         at = stop
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this worker process, which keeps its vocabulary and caches from task to task."""
+    # A module of its own in the worker: this one's globals come anew with every task.
+    kept = sys.modules.setdefault("lagline_bpe_worker", ModuleType("lagline_bpe_worker")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(Vocabulary(path))
+    return kept[path]
+
+
 def _encode(path: str):
     def run(batches):
-        encoder = Encoder(Vocabulary(path))
+        encoder = worker_encoder(path)
 
         def out() -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
@@ -207,7 +244,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
 def _decode(path: str):
     def run(batches):
-        vocabulary = Vocabulary(path)
+        vocabulary = worker_encoder(path).vocabulary
         for batch in batches:
             texts = [vocabulary.decode(ids.as_py() or []) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])

@@ -65,7 +65,8 @@ def by_lowest_rank(symbols, vocabulary):
     """Merging by search of the whole list, without a queue."""
     symbols = list(symbols)
     while True:
-        ranked = [(vocabulary.ranks[a * bpe._IDS + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a * bpe._IDS + b in vocabulary.ranks]
+        pairs = [a << bpe._ID | b for a, b in zip(symbols, symbols[1:])]
+        ranked = [(vocabulary.ranks[pair], i) for i, pair in enumerate(pairs) if pair in vocabulary.ranks]
         if not ranked:
             return symbols
         rank, i = min(ranked)
@@ -75,8 +76,8 @@ def by_lowest_rank(symbols, vocabulary):
 def test_queue_merges_as_a_plain_search_does():
     vocabulary, rng = bpe.Vocabulary(PATH), random.Random(11)
     for _ in range(300):
-        word = [vocabulary.first[b] for b in "".join(rng.choice("aeihnst ") for _ in range(rng.randint(0, 30))).encode()]
-        assert vocabulary.merge(word) == by_lowest_rank(word, vocabulary)
+        word = "".join(rng.choice("aeihnst ") for _ in range(rng.randint(0, 30))).encode()
+        assert vocabulary.encode_word(word) == by_lowest_rank([vocabulary.first[b] for b in word], vocabulary)
 
 
 def test_odd_rows(spark, library):
