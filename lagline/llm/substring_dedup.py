@@ -32,6 +32,8 @@ from lagline.llm.scratch import bound_batches, store
 from lagline.llm.words import Rolling, TextHashes, mix, odd_numbers, texts_of
 
 WINDOW, ANCHOR = 50, 25
+# Only periodic texts have runs of more windows than an anchor can cover; shorter runs keep rolling hashes free of cancelling terms.
+RUN = 64
 # The sketch has DEPTH rows of 2**WIDTH_BITS cells; one bit of each (6 MB) is broadcast.
 DEPTH, WIDTH_BITS, BLOCK_BITS = 3, 24, 18
 _MERGED_AT_ONCE = 64
@@ -63,11 +65,13 @@ class Windows:
         return np.minimum(low[: len(low) - (span - width)], low[span - width :])
 
     def run_starts(self) -> np.ndarray:
-        """Window numbers where the anchor or the text changes."""
+        """Window numbers where the anchor or the text changes, and within long runs every ``RUN`` windows after such a place."""
         if not len(self.text):
             return np.empty(0, dtype=np.int64)
         change = (self.anchor[1:] != self.anchor[:-1]) | (self.text[1:] != self.text[:-1])
-        return np.concatenate([[0], np.flatnonzero(change) + 1])
+        starts = np.concatenate([[0], np.flatnonzero(change) + 1])
+        parts = -(-np.diff(np.append(starts, len(self.text))) // RUN)
+        return np.repeat(starts, parts) + RUN * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
 
 
 def _cell(anchors: np.ndarray, row: int) -> np.ndarray:

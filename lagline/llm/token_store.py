@@ -46,7 +46,7 @@ class TokenIds:
 
     The tokenizer drops white space and never joins words across it, lower-cases everything, and keeps letters and punctuation
     apart. So texts are lower-cased and cut at white space and before the ASCII punctuation (but no apostrophe) that ends a
-    word after a letter; pieces are told apart by 64-bit hashes, unseen ones are encoded together, and a text's ids are gathered from those of
+    word after a letter; pieces are told apart by two 64-bit hashes, unseen ones are encoded together, and a text's ids are gathered from those of
     its pieces. Texts with a marker of special tokens, which are matched as written, or with combining marks, which the
     tokenizer composes before it lower-cases, are encoded as they are.
     """
@@ -66,7 +66,7 @@ class TokenIds:
         self._forget()
 
     def _forget(self) -> None:
-        self.codes, self.slots = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        self.codes, self.checks, self.slots = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
         self.flat, self.starts, self.sizes = np.empty(0, dtype=self.dtype), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -100,7 +100,8 @@ class TokenIds:
         tail = tail[space[other[np.searchsorted(other, tail)]]]
         return np.sort(np.concatenate([begin, tail])), np.sort(np.concatenate([end, tail]))
 
-    def _learn(self, codes: np.ndarray, words: list[bytes]) -> None:
+    def _learn(self, codes: np.ndarray, checks: np.ndarray, words: list[bytes]) -> None:
+        self.checks = np.append(self.checks, checks)
         for at in range(0, len(words), 4_000):
             part = words[at : at + 4_000]
             found = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True, add_special_tokens=False)
@@ -117,9 +118,9 @@ class TokenIds:
         whole = b" ".join([b"", *texts, b""])
         data = np.frombuffer(whole, dtype=np.uint8)
         begin, end = self._pieces(data)
-        with np.errstate(over="ignore"):
-            sums = self.hashes.roll.sums(self.hashes.numbers[data])
-            codes, first, back = np.unique(self.hashes.roll.span(sums, begin, end), return_index=True, return_inverse=True)
+        codes, first, back = np.unique(self.hashes.spans(whole, begin, end), return_index=True, return_inverse=True)
+        # A second hash, so that a piece takes another one's ids only where both of its hashes and its length agree.
+        check = self.hashes.spans(whole, begin, end, lane=1)
 
         def unseen() -> np.ndarray:
             if not len(self.codes):
@@ -130,8 +131,10 @@ class TokenIds:
         if len(self.sizes) + new.sum() > _CACHED_WORDS:
             self._forget()
             new = unseen()
-        self._learn(codes[new], [whole[begin[i] : end[i]] for i in first[new].tolist()])
+        self._learn(codes[new], check[first[new]], [whole[begin[i] : end[i]] for i in first[new].tolist()])
         slot = self.slots[np.searchsorted(self.codes, codes)][back] if len(codes) else np.empty(0, dtype=np.int64)
+        if (self.checks[slot] != check).any():
+            return [np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype=self.dtype) for t in texts]
         sizes = self.sizes[slot]
         after = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[slot] - (after - sizes), sizes) + np.arange(after[-1] if len(after) else 0)]

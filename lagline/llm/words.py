@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 _CACHED_WORDS = 200_000
 _CHUNK = 1 << 20
+_LONG = 512
 
 
 def word_array(text: Column) -> Column:
@@ -95,17 +96,35 @@ class Rolling:
 
 
 class TextHashes:
-    """Hashes of all words of whole texts, straight from their bytes.
+    """Hashes of all words of whole texts, straight from their bytes, so that no word becomes an object.
 
-    A word's hash is its bytes' fixed random numbers summed with powers of a base, by differences of one running sum, so no word
-    becomes an object.
+    A word is hashed eight bytes at a time, each step mixing the bytes into what came before, beginning with its length: no sum whose
+    terms could cancel. Words of over ``_LONG`` bytes are hashed by blake2b.
     """
 
     def __init__(self):
-        self.numbers = mix(odd_numbers(256, 16))
         self.space = np.zeros(256, dtype=bool)
         self.space[[0x20, *range(0x09, 0x0E)]] = True
-        self.roll = Rolling(1, 17)
+        self.masks = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+    def spans(self, data: bytes, starts: np.ndarray, stops: np.ndarray, lane: int = 0) -> np.ndarray:
+        """Hashes of parts of ``data``; each lane is a hash of its own."""
+        first, factor, step = odd_numbers(3, 18 + lane)
+        # Eight bytes from any place, read as one number.
+        eight = np.ndarray((len(data),), dtype="<u8", buffer=data + bytes(8), strides=(1,))
+        sizes = stops - starts
+        with np.errstate(over="ignore"):
+            out = mix(sizes.astype(np.uint64) * first)
+            take = lambda at, left: eight[at] & self.masks[np.minimum(left, 8)]
+            out = mix((out ^ take(starts, sizes)) * factor + step)
+            open_, done = np.flatnonzero((sizes > 8) & (sizes <= _LONG)), 8
+            while len(open_):
+                out[open_] = mix((out[open_] ^ take(starts[open_] + done, sizes[open_] - done)) * factor + step)
+                done += 8
+                open_ = open_[sizes[open_] > done]
+        for i in np.flatnonzero(sizes > _LONG).tolist():
+            out[i] = np.frombuffer(blake2b(data[starts[i] : stops[i]], digest_size=8, key=bytes([lane])).digest(), dtype="<u8")[0]
+        return out
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all words, words per text)."""
@@ -121,11 +140,10 @@ class TextHashes:
         return np.concatenate(codes), np.concatenate(sizes)
 
     def _chunk(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(b" ".join([b"", *texts, b""]), dtype=np.uint8)
-        space = self.space[data]
+        whole = b" ".join([b"", *texts, b""])
+        space = self.space[np.frombuffer(whole, dtype=np.uint8)]
         starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
         stops = np.flatnonzero(~space[:-1] & space[1:]) + 1
         ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
         sizes = np.diff(np.searchsorted(starts, ends, side="right"), prepend=0)
-        with np.errstate(over="ignore"):
-            return self.roll.span(self.roll.sums(self.numbers[data]), starts, stops), sizes
+        return self.spans(whole, starts, stops), sizes

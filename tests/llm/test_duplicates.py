@@ -248,3 +248,43 @@ def test_text_hashes_tell_words_apart_as_split_does(monkeypatch):
     names = [w for t in texts for w in t.split()]
     assert len(set(zip(names, codes.tolist()))) == len(set(names)) == len(set(codes.tolist()))
     assert words.TextHashes().read([])[0].tolist() == []
+
+
+def thue_morse_pairs():
+    """Words and their complements, of lengths at which sums of letters times powers of an odd base agree modulo 2^64."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return [(word[:n], word[:n].translate(str.maketrans("ab", "ba"))) for n in (256, 1024, 2048, 4096)]
+
+
+def test_words_whose_sums_agree_are_told_apart():
+    from lagline.llm import words
+
+    every = [w for pair in thue_morse_pairs() for w in pair]
+    assert len(set(words.TextHashes().read([" ".join(every).encode()])[0].tolist())) == len(every)
+
+
+def test_such_words_link_nothing_and_remove_nothing(spark):
+    rows, clean = [], []
+    for k, (one, other) in enumerate(thue_morse_pairs()):
+        before, after = ([f"{x}{k}w{i}" for i in range(30)] for x in "pq")
+        clean += [(4 * k, one), (4 * k + 1, other)]
+        rows += [(4 * k + 2, " ".join([*before, one, *after])), (4 * k + 3, " ".join([*before, other, *after]))]
+    # the same at the level of words: long runs of two words in both orders
+    for one, other in thue_morse_pairs()[1:3]:
+        rows += [(100 + len(one), " ".join(one)), (101 + len(one), " ".join(other))]
+    near = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(clean, "doc_id long, text string")).collect()}
+    assert all(i == c for i, c in near.items()) and len(near) == len(clean)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeated_passages(docs).collect()}
+    assert got == removed_by_brute_force(rows)
+
+
+def removed_by_brute_force(rows):
+    first = {}
+    windows = {i: [tuple(w[k : k + 50]) for k in range(len(w) - 49)] for i, w in ((i, t.split()) for i, t in rows)}
+    for i, ws in sorted(windows.items()):
+        for w in ws:
+            first.setdefault(w, i)
+    return {i: len({k + j for k, w in enumerate(ws) if first[w] < i for j in range(50)}) for i, ws in windows.items()}

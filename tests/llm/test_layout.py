@@ -191,3 +191,23 @@ def test_all_eleven_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_words_of_colliding_hashes_keep_their_ids(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lagline.llm.token_store import TokenIds
+    from lagline.llm.words import TextHashes
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, word = Tokenizer.from_file(path), "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [f"{w[:n]} and {w[:n]}." for n in (512, 1024, 2048, 4096) for w in (word, word.translate(str.maketrans("ab", "ba")))]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in TokenIds(path, 2).of([t.encode() for t in texts])] == want
+    # Even where the first hash of every piece is the same, the second one keeps them apart.
+    spans = TextHashes.spans
+    monkeypatch.setattr(TextHashes, "spans", lambda self, data, a, b, lane=0: spans(self, data, a, b, lane) * (lane != 0))
+    assert [ids.tolist() for ids in TokenIds(path, 2).of([t.encode() for t in texts])] == want
