@@ -21,6 +21,7 @@ from lagline.operators.joins import (
 from lagline.operators.groups import distinct_rows
 from lagline.operators.ranks import exact_quantiles
 from lagline.operators.stats import apply_utc_offsets, utc_offsets
+from lagline.operators.nearest import nearest_station
 from lagline.plans.common import load, query, scores
 
 # Every event stands for a flight and for a weather observation; five stations.
@@ -256,3 +257,31 @@ UNION ALL SELECT l_returnflag, 0.9::DOUBLE, round(quantile_cont(l_extendedprice,
 def exact_quantiles_query(spark, sf_dir):
     result = exact_quantiles(load(spark, sf_dir, "lineitem"), "l_extendedprice", (0.25, 0.5, 0.9), ["l_returnflag"])
     return result.withColumn("quantile", F.round("quantile", 6))
+
+
+# The tables have no coordinates: suppliers and customers are put on the globe by their keys, every fifth supplier near one town.
+_PLACES_SQL = """
+WITH s AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 48 + (s_suppkey * 37 % 1000) / 50000.0::DOUBLE ELSE s_suppkey * 7919 % 18001 / 100.0::DOUBLE - 90 END AS la,
+  CASE WHEN s_suppkey % 5 = 0 THEN 11 + (s_suppkey * 91 % 1000) / 50000.0::DOUBLE ELSE s_suppkey * 104729 % 36001 / 100.0::DOUBLE - 180 END AS lo FROM supplier),
+c AS (SELECT c_custkey, c_custkey * 6007 % 18001 / 100.0::DOUBLE - 90 AS lat, c_custkey * 15013 % 36001 / 100.0::DOUBLE - 180 AS lon FROM customer)
+"""
+
+
+@query(
+    "nearest_station",
+    _PLACES_SQL + """, d AS (SELECT c_custkey, s_suppkey, round(asin(least(1.0, sqrt(pow(sin(radians(la - lat) / 2), 2)
+  + cos(radians(lat)) * cos(radians(la)) * pow(sin(radians(lo - lon) / 2), 2)))) * 2 * 6371.0088, 6) AS km FROM c CROSS JOIN s)
+SELECT c_custkey, min(s_suppkey) AS nearest, round(min(km), 3) AS distance_km FROM d JOIN (SELECT c_custkey, min(km) AS best FROM d GROUP BY 1) USING (c_custkey)
+WHERE km = best GROUP BY 1""",
+)
+def nearest_station_query(spark, sf_dir):
+    """The supplier nearest to every customer, by coordinates."""
+    key, crowded = F.col("s_suppkey"), F.col("s_suppkey") % 5 == 0
+    near = lambda base, factor: base + (key * factor % 1000) / F.lit(50000.0)
+    stations = load(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.when(crowded, near(48, 37)).otherwise(key * 7919 % 18001 / F.lit(100.0) - 90).alias("la"),
+        F.when(crowded, near(11, 91)).otherwise(key * 104729 % 36001 / F.lit(100.0) - 180).alias("lo"))
+    at = lambda factor, size: F.col("c_custkey") * factor % size / F.lit(100.0)
+    points = load(spark, sf_dir, "customer").select("c_custkey", (at(6007, 18001) - 90).alias("lat"), (at(15013, 36001) - 180).alias("lon"))
+    found = nearest_station(points, stations, "lat", "lon", "s_suppkey", "la", "lo")
+    return found.select("c_custkey", "nearest", F.round("distance_km", 3).alias("distance_km"))
