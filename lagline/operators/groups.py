@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lagline.operators.ranks import value_ranks
+from lagline.session import materialize
+
 
 def group_means(df: DataFrame, keys: Sequence[str], value: str, mean: str = "mean_value", maximum: str | None = None) -> DataFrame:
     aggs = [F.avg(value).alias(mean)]
@@ -57,21 +61,41 @@ def latest_per_group(df: DataFrame, keys: Sequence[str], value: str | Column) ->
     return marked.join(best, same, "left_semi").drop("__value")
 
 
-def missing_categories(df: DataFrame, period: str, category: str, name: str = "absent", max_periods: int = 1000) -> DataFrame:
-    """(period, ``name``): categories seen in the table but not in that period, as (period, category) rows.
+def absence_runs(df: DataFrame, period: str, category: str, name: str = "absent", bucket: int = 1 << 15) -> DataFrame:
+    """(``name``, first, last, periods): every longest run of periods that have rows, but none of the category.
 
-    Works on the distinct (period, category) pairs: each category's seen periods are taken from the
-    set of all periods, which must be few (years, months): they are checked to be at most ``max_periods``. No product of
-    periods and categories is joined.
+    Periods are numbered in order, whatever their number, and the distinct (category, number) pairs are cut into buckets of numbers. Runs
+    inside a bucket lie between neighbours there; those over bucket borders come from one row per category and bucket. So neither a
+    category nor the set of periods is ever gathered, and absences are found without listing them. Null periods and categories are
+    left out.
+    """
+    pairs = materialize(df.select(F.col(period).alias("__p"), F.col(category).alias("__c")).dropna("any").distinct(), "pairs")
+    numbers = materialize(value_ranks(pairs.select("__p").distinct(), "__p").select("__p", F.col("n_before").cast("long").alias("__no")), "periods")
+    seen = materialize(pairs.join(numbers, "__p").select("__c", "__no", F.floor(F.col("__no") / bucket).alias("__b")), "seen")
+
+    inside = W.partitionBy("__c", "__b").orderBy("__no")
+    between = seen.select("__c", (F.lag("__no").over(inside) + 1).alias("__from"), (F.col("__no") - 1).alias("__to"))
+    edges = seen.groupBy("__c", "__b").agg(F.min("__no").alias("__low"), F.max("__no").alias("__high"))
+    by_bucket = W.partitionBy("__c").orderBy("__b")  # one row per category and bucket
+    across = edges.select("__c", (F.coalesce(F.lag("__high").over(by_bucket), F.lit(-1)) + 1).alias("__from"), (F.col("__low") - 1).alias("__to"))
+    last = numbers.agg(F.max("__no").alias("last")).scalar()
+    after = edges.groupBy("__c").agg((F.max("__high") + 1).alias("__from")).select("__c", "__from", last.alias("__to"))
+    runs = between.unionByName(across).unionByName(after).where(F.col("__from") <= F.col("__to"))
+    at = lambda no, as_: numbers.select(F.col("__no").alias(no), F.col("__p").alias(as_))
+    return runs.join(at("__from", "first"), "__from").join(at("__to", "last"), "__to").select(
+        F.col("__c").alias(name), "first", "last", (F.col("__to") - F.col("__from") + 1).alias("periods"))
+
+
+def missing_categories(df: DataFrame, period: str, category: str, name: str = "absent") -> DataFrame:
+    """(period, ``name``): categories seen in the table but not in that period, as rows: ``absence_runs`` listed period by period.
+
+    As many rows as there are absences; the runs are the compact form.
     """
-    pairs = df.select(period, category).filter(F.col(category).isNotNull() & F.col(period).isNotNull()).distinct()
-    found = pairs.select(period).distinct().limit(max_periods + 1).count()
-    if found > max_periods:
-        raise ValueError(f"more than {max_periods} periods; take coarser ones")
-    periods = pairs.agg(F.collect_set(period).alias("periods")).scalar()
-    seen = pairs.groupBy(category).agg(F.collect_set(period).alias("__seen"))
-    marked = seen.select(category, "__seen", periods.alias("__all"))
-    return marked.select(F.explode(F.array_except("__all", "__seen")).alias(period), F.col(category).alias(name))
+    known = df.select(period, category).dropna("any").select(period).distinct()
+    periods = value_ranks(known, period).select(period, F.col("n_before").cast("long").alias("__no"))
+    number = lambda edge: periods.select(F.col(period).alias(edge), F.col("__no").alias(f"__{edge}"))
+    runs = absence_runs(df, period, category, name).join(number("first"), "first").join(number("last"), "last")
+    return runs.select(name, F.explode(F.sequence("__first", "__last")).alias("__no")).join(periods, "__no").select(period, name)
 
 
 def inconsistent_columns(df: DataFrame, key: str, *others: str) -> DataFrame:

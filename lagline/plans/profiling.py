@@ -8,6 +8,7 @@ from lagline.models.features import level_index, scale_by_deviation
 from lagline.operators.fills import track_imputation, fill_zero
 from lagline.operators.filters import first_rows, top_groups
 from lagline.operators.groups import (
+    absence_runs,
     category_sets,
     delay_component_shares,
     distinct_counts,
@@ -88,13 +89,27 @@ def year_inventory(spark, sf_dir):
 
 @query(
     "missing_categories",
-    """WITH p AS (SELECT DISTINCT year(l_shipdate) AS yr, l_suppkey FROM lineitem WHERE l_quantity >= 50)
-SELECT yr, l_suppkey AS absent FROM (SELECT DISTINCT yr FROM p) CROSS JOIN (SELECT DISTINCT l_suppkey FROM p) ANTI JOIN p USING (yr, l_suppkey)""",
+    """WITH p AS (SELECT DISTINCT year(l_shipdate) AS yr, l_partkey FROM lineitem)
+SELECT yr, l_partkey AS absent FROM (SELECT DISTINCT yr FROM p) CROSS JOIN (SELECT DISTINCT l_partkey FROM p) ANTI JOIN p USING (yr, l_partkey)""",
 )
 def missing_categories_query(spark, sf_dir):
-    """Suppliers with a largest-size shipment that had none in a year."""
-    rows = load(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= 50).select(F.year("l_shipdate").cast("bigint").alias("yr"), "l_suppkey")
-    return missing_categories(rows, "yr", "l_suppkey")
+    """Parts that were shipped, but not in a year."""
+    rows = load(spark, sf_dir, "lineitem").select(F.year("l_shipdate").cast("bigint").alias("yr"), "l_partkey")
+    return missing_categories(rows, "yr", "l_partkey")
+
+
+@query(
+    "daily_absence_runs",
+    """WITH p AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d, l_suppkey FROM lineitem),
+n AS (SELECT d, row_number() OVER (ORDER BY d) AS no FROM (SELECT DISTINCT d FROM p)),
+m AS (SELECT l_suppkey, d, no FROM (SELECT DISTINCT l_suppkey FROM p) CROSS JOIN n ANTI JOIN p USING (l_suppkey, d)),
+g AS (SELECT *, no - row_number() OVER (PARTITION BY l_suppkey ORDER BY no) AS run FROM m)
+SELECT l_suppkey AS absent, strftime(min(d), '%Y-%m-%d') AS first, strftime(max(d), '%Y-%m-%d') AS last, count(*) AS periods FROM g GROUP BY l_suppkey, run""",
+)
+def daily_absence_runs_query(spark, sf_dir):
+    """Runs of shipping days on which a supplier shipped nothing."""
+    rows = load(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("d"), "l_suppkey")
+    return absence_runs(rows, "d", "l_suppkey").withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first", "last")})
 
 
 @query("mean_and_spread", "SELECT round(avg(l_quantity), 6) AS mean_value, round(stddev_samp(l_quantity), 6) AS std_value FROM lineitem")

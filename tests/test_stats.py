@@ -86,6 +86,24 @@ def test_inventories(spark):
     assert [tuple(r) for r in groups.category_sets(df, ["y"], "c").collect()] == [(2015, ["A", "B"], 2), (2016, ["A"], 1)]
 
 
+def test_absence_runs_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(0, 200, 3)]), rng.choice(["a", "b", "c", None])) for _ in range(70)] + [(5, "rare"), (5, "rare")]
+    df = spark.createDataFrame(rows, "t int, c string")
+    for bucket in (1, 4, 1 << 15):
+        runs = groups.absence_runs(df, "t", "c", bucket=bucket).collect()
+        seen = {(t, c) for t, c in rows if t is not None and c is not None}
+        periods = sorted({t for t, _ in seen})
+        missing = {(t, c) for t in periods for c in {c for _, c in seen}} - seen
+        listed = [(t, r.absent) for r in runs for t in periods if r.first <= t <= r.last]
+        assert len(listed) == len(set(listed)) == sum(r.periods for r in runs) and set(listed) == missing
+        # longest: no two runs of a category are next to each other
+        ends = {(r.absent, periods.index(r.last)) for r in runs}
+        assert not any((r.absent, periods.index(r.first) - 1) in ends for r in runs)
+    assert {tuple(r) for r in groups.missing_categories(df, "t", "c").collect()} == missing
+    assert groups.absence_runs(df.limit(0), "t", "c").count() == 0
+
+
 def test_delay_accounting(spark):
     df = spark.createDataFrame([(None, 1, 0), (None, 0, 1), (None, 1, 1), (None, 0, 0), (5, 1, 0)], "v int, c int, d int")
     row = groups.null_accounting(df, "v", cancelled=F.col("c") == 1, diverted=F.col("d") == 1).first()
