@@ -6,8 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lagline.operators.ranks import values_at
+from lagline.functions.dates import epoch_micros
+from lagline.operators.ranks import order_statistics, values_at
 
 
 @dataclass(frozen=True)
@@ -68,7 +70,13 @@ def _edges(df: DataFrame, time: str, bounds: list[Block]) -> DataFrame:
     for i, b in enumerate(bounds):
         places[f"{i} before"] = _last_below(b.low) if b.role == "train" else _last_at_most(b.low)
         places[f"{i} last"] = _last_at_most(b.high)
-    found = values_at(df, time, places)
+    kind = df.schema[time].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        # Microseconds of any year a calendar is kept for are whole numbers that a double holds.
+        listed = [(id_, int(at) if at is not None else None) for _, id_, _, _, at in order_statistics(df, {time: epoch_micros(time)}, places, nulls_first=True)]
+        found = df.sparkSession.createDataFrame(listed, "id string, micros long").select("id", F.timestamp_micros("micros").cast(kind).alias("value"))
+    else:
+        found = values_at(df, time, places)
     edge = lambda name: F.max(F.when(F.col("id") == name, F.struct(F.col("value").alias("at"))))
     return found.agg(F.struct(*(edge(name).alias(name.replace(" ", "_")) for name in places)).alias("edges"))
 

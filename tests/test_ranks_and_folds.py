@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lagline.operators import ranks
 from lagline.operators.folds import assign_blocks, block_bounds, block_frames
 from lagline.operators.ranks import boxplot_stats, exact_quantiles, percent_ranks, row_number_folds, value_ranks, values_at, with_percent_rank
 from lagline.operators.sampling import balance_by_keep, balance_by_ratio, hash_split, sample_at_most
@@ -143,3 +144,27 @@ def test_sampling(spark):
     assert sample_at_most(df, "id", 10**6).count() == 5000 and sample_at_most(df, "id", 500).count() == pytest.approx(500, abs=90)
     train, rest = hash_split(df, "id")
     assert train.count() + rest.count() == 5000 and train.intersect(rest).count() == 0
+
+
+@pytest.mark.parametrize("gathered", [0, 50_000])
+def test_order_statistics_are_exact(spark, monkeypatch, gathered):
+    """Ties, one value only, few values, nulls and infinities; with nothing gathered, brackets close by counting alone."""
+    monkeypatch.setattr(ranks, "_GATHERED", gathered)
+    monkeypatch.setattr(ranks, "_GRID", 8)
+    rng = random.Random(gathered)
+    columns = {
+        "a": [rng.gauss(0, 1) for _ in range(900)], "b": [float(rng.choice([1, 2, 2, 2, 7])) for _ in range(900)], "c": [5.0] * 900,
+        "d": [None if rng.random() < 0.3 else rng.expovariate(1) for _ in range(900)], "e": [None] * 899 + [3.0], "f": [None] * 900,
+        "g": [float("inf"), float("-inf"), 0.0] * 300,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    places = {str(p): (lambda size, p=p: F.floor((size - 1) * p)) for p in (0, 0.1, 0.25, 0.5, 0.9, 0.999, 1)} | {"outside": lambda size: size}
+    for nulls_first in (False, True):
+        got = {(c, i): (at, size, v) for c, i, at, size, v in ranks.order_statistics(df, {c: F.col(c) for c in columns}, places, nulls_first)}
+        for c, values in columns.items():
+            known = sorted(v for v in values if v is not None)
+            every = [None] * (900 - len(known)) + known if nulls_first else known
+            for p in (0, 0.1, 0.25, 0.5, 0.9, 0.999, 1):
+                at = int((len(every) - 1) * p)
+                assert got.get((c, str(p))) == ((at, len(every), every[at]) if every else None)
+            assert (c, "outside") not in got
