@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -16,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagline.functions.scalars import positive_probability
-from lagline.models.evaluate import cutoff_sweep, precision_at_recall
-from lagline.session import materialize
+from lagline.models.evaluate import cutoff_sweep, precision_at_recall, ranking_quality
+from lagline.session import materialize, shared_path
 
 # Settings of the published models.
 LASSO = {"maxIter": 5, "regParam": 0.005, "elasticNetParam": 1.0}
@@ -107,27 +109,42 @@ def grid_search(
     label: str,
     cutoffs: Sequence[float],
     recall: float = 80.0,
+    parallel: int = 4,
 ) -> DataFrame:
-    """(settings..., precision): every combination of ``grid`` rated on all blocked folds.
+    """(settings..., precision, auc): every combination of ``grid`` rated on all blocked folds.
 
-    The score of a combination is the precision at the given recall over the stacked validation
-    rows. Feature stages do not depend on the grid: they are fitted once per fold and their rows written, so every
-    setting only fits its classifier. Fits run one after another, each distributed; only fitted models come to the driver.
+    A combination is rated over the stacked validation rows of its fits, by the precision at the given recall and by the area under the
+    curve. Feature stages do not depend on the grid: they are fitted once per fold and their rows written. At most ``parallel`` fits run at once, each in a
+    scheduler pool of its own, so that one fit's last tasks do not idle the cluster; every fit is distributed, and holds at most its
+    model on the driver. The first error ends those not yet begun. Scores are written as (settings, label, score), and one pass over them
+    rates all combinations.
     """
     prepared = []
     for train, validation in folds:
         rows = materialize(train)
         fitted = fit_stages(rows, features)
         prepared.append(tuple(materialize(fitted.transform(part).select("features", label)) for part in (rows, validation)))
-    names = list(grid)
-    rated = None
-    for values in product(*grid.values()):
-        settings = dict(zip(names, values))
-        scores = None
-        for train, validation in prepared:
-            fold_scores = score(fit_stages(train, [make_classifier(settings)]), validation, keep=[label])
-            scores = fold_scores if scores is None else scores.unionByName(fold_scores)
-        line = precision_at_recall(cutoff_sweep(scores, "prob_pos", label, cutoffs), recall)
-        line = line.select(*(F.lit(v).alias(n) for n, v in settings.items()), "precision")
-        rated = line if rated is None else rated.unionByName(line)
-    return rated
+    spark, names = folds[0][0].sparkSession, list(grid)
+    path = shared_path(spark, "grid-scores")
+
+    def rate(task) -> None:
+        number, (values, (train, validation)) = task
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{number % parallel}")
+        try:
+            scored = score(fit_stages(train, [make_classifier(dict(zip(names, values)))]), validation, keep=[label])
+            scored.select(*(F.lit(v).alias(n) for n, v in zip(names, values)), label, "prob_pos").write.parquet(f"{path}/fit={number}")
+        finally:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+
+    tasks = list(enumerate(product(product(*grid.values()), prepared)))
+    with ThreadPoolExecutor(parallel) as pool:
+        fits = [pool.submit(inheritable_thread_target(spark)(rate), task) for task in tasks]
+        try:
+            for fit in as_completed(fits):
+                fit.result()
+        except BaseException:
+            pool.shutdown(wait=False, cancel_futures=True)
+            raise
+    scores = spark.read.parquet(path)
+    rated = precision_at_recall(cutoff_sweep(scores, "prob_pos", label, cutoffs, names), recall, names)
+    return rated.join(ranking_quality(scores, "prob_pos", label, names).select(*names, "auc"), names)

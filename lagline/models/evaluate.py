@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagline.functions.scalars import cutoff_label, hash_score, weighted_score
+from lagline.operators.ranks import running_sums
 
 # Cutoffs of the published sweeps, ensemble weights and decision cutoffs.
 PROBABILITY_CUTOFFS = (0.0, 0.30, 0.40, 0.45, 0.60, 0.80)
@@ -55,6 +56,34 @@ def cutoff_sweep(df: DataFrame, score: str, label: str, cutoffs: Sequence[float]
     )
 
 
+def ranking_quality(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, positives, negatives, auc, average_precision) of a score, exact whatever its ties.
+
+    ``auc`` is the share of pairs of a positive and a negative row that the score puts in order, equal scores counting half;
+    ``average_precision`` is the precision at every distinct score, weighted by the positives that have it. Rows are counted per key and score,
+    and running sums over the distinct scores are formed in buckets, so no key is sorted in one task. Rows without score or label are left
+    out; a measure is null where a class is missing.
+    """
+    keys = list(keys)
+    known = df.select(*keys, F.col(score).cast("double").alias("__s"), (F.col(label) > 0).alias("__y")).filter(F.col("__s").isNotNull() & F.col("__y").isNotNull())
+    counts = known.groupBy(*keys, "__s").agg(F.count(F.when(F.col("__y"), 1)).alias("__pos"), F.count(F.when(~F.col("__y"), 1)).alias("__neg"))
+    totals = counts.groupBy(*keys).agg(F.sum("__pos").alias("positives"), F.sum("__neg").alias("negatives"))
+    running = running_sums(counts, "__s", ["__pos", "__neg"], keys)
+    if keys:
+        renamed = totals.select(*(F.col(k).alias(f"__j_{k}") for k in keys), "positives", "negatives")
+        rows = running.join(renamed, [running[k].eqNullSafe(renamed[f"__j_{k}"]) for k in keys])
+    else:
+        rows = running.select("*", totals.agg(F.first(F.struct("positives", "negatives"))).scalar().alias("__all")).select("*", "__all.*")
+    whole = lambda c: c.cast("decimal(19,0)")
+    in_order = F.sum(whole(F.col("__pos")) * whole(2 * F.col("__neg_before") + F.col("__neg")))
+    found, said = F.col("positives") - F.col("__pos_before"), F.col("positives") + F.col("negatives") - F.col("__pos_before") - F.col("__neg_before")
+    none_to_null = lambda c: F.nullif(c.cast("double"), F.lit(0.0))
+    rated = rows.groupBy(*keys, "positives", "negatives").agg(in_order.cast("double").alias("__order"), F.sum(F.col("__pos") * found / said).alias("__precision"))
+    return rated.select(
+        *keys, "positives", "negatives", (F.col("__order") / 2 / none_to_null(F.col("positives")) / none_to_null(F.col("negatives"))).alias("auc"),
+        (F.col("__precision") / none_to_null(F.col("positives"))).alias("average_precision"))
+
+
 def clean_sweep(sweep: DataFrame) -> DataFrame:
     """Drop the points of a sweep that are noise: precision or recall below 1 %, precision above 90 %.
 

@@ -51,21 +51,26 @@ def _attach(df: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataF
     return df.join(renamed, [df[k].eqNullSafe(renamed[f"__j_{k}"]) for k in keys], how).drop(*(f"__j_{k}" for k in keys))
 
 
+def running_sums(counts: DataFrame, col: str, names: Sequence[str], keys: Sequence[str] = (), buckets: int = _BUCKETS, suffix: str = "_before") -> DataFrame:
+    """``counts`` (one row per key and value of ``col``) with the sum of each of ``names`` over the smaller values of the key; nulls are smallest."""
+    keys, names = list(keys), list(names)
+    marked = _with_buckets(counts.select(*keys, col, *names), col, keys, buckets)
+    totals = marked.groupBy(*keys, "__bucket").agg(*(F.sum(n).alias(f"__t_{n}") for n in names))
+    earlier = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "__bucket", *(F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(n) for n in names), F.lit(0).alias("__order"))
+    stacked = marked.withColumn("__order", F.lit(1)).unionByName(offsets, allowMissingColumns=True)
+    running = W.partitionBy(*keys, "__bucket").orderBy("__order", F.col(col).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    ranked = stacked.withColumns({n + suffix: F.sum(n).over(running) for n in names})
+    return ranked.filter(F.col("__order") == 1).select(*keys, col, *names, *(n + suffix for n in names))
+
+
 def value_ranks(df: DataFrame, col: str, keys: Sequence[str] = (), buckets: int = _BUCKETS) -> DataFrame:
     """(keys, ``col``, n, n_before): rows per distinct value and rows with a smaller value.
 
     Nulls sort first, as in Spark's default ordering.
     """
-    keys = list(keys)
     counts = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n"))
-    marked = _with_buckets(counts, col, keys, buckets)
-    totals = marked.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__total"))
-    earlier = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__bucket", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("n"), F.lit(0).alias("__order"))
-    stacked = marked.withColumn("__order", F.lit(1)).unionByName(offsets, allowMissingColumns=True)
-    running = W.partitionBy(*keys, "__bucket").orderBy("__order", F.col(col).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
-    ranked = stacked.withColumn("n_before", F.sum("n").over(running))
-    return ranked.filter(F.col("__order") == 1).select(*keys, col, "n", "n_before")
+    return running_sums(counts, col, ["n"], keys, buckets)
 
 
 def values_at(

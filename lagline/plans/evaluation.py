@@ -16,6 +16,7 @@ from lagline.models.evaluate import (
     final_label_metrics,
     precision_at_recall,
     random_scores,
+    ranking_quality,
     stack_sweeps,
     sweep_scores,
 )
@@ -388,3 +389,19 @@ def fold_union(spark, sf_dir):
     rows = scores(spark, sf_dir)
     a = rows.filter(F.col("value") >= 50).select(F.lit("a").alias("part"), "event_id")
     return a.unionByName(rows.filter(F.col("value") < 60).select(F.lit("b").alias("part"), "event_id"))
+
+
+@query(
+    "ranking_quality",
+    SCORES_SQL + """, t AS (SELECT event_type, round(p1, 1) AS s, label FROM p),
+c AS (SELECT event_type, s, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM t GROUP BY 1, 2),
+r AS (SELECT *, sum(pos) OVER (PARTITION BY event_type) AS positives, sum(neg) OVER (PARTITION BY event_type) AS negatives,
+  sum(pos) OVER (PARTITION BY event_type ORDER BY s) - pos AS pb, sum(neg) OVER (PARTITION BY event_type ORDER BY s) - neg AS nb FROM c)
+SELECT event_type, CAST(positives AS BIGINT) AS positives, CAST(negatives AS BIGINT) AS negatives, round(sum(pos * (nb + neg / 2.0::DOUBLE)) / positives / negatives, 9) AS auc,
+  round(sum(pos * (positives - pb) / (positives - pb + negatives - nb)::DOUBLE) / positives, 9) AS average_precision
+FROM r GROUP BY event_type, positives, negatives""",
+)
+def ranking_quality_query(spark, sf_dir):
+    """Area under the curve and average precision of a much tied score, per carrier."""
+    tied = scores(spark, sf_dir).select("event_type", F.round("p1", 1).alias("s"), "label")
+    return rounded(ranking_quality(tied, "s", "label", ["event_type"]), "auc", "average_precision", digits=9)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
@@ -96,3 +98,23 @@ def test_votes(spark):
     assert got == {"ORIGIN": (False, ["LAX", "ORD"]), "DEST_ORIGIN": (True, []), "DEST": (False, ["A = B"])}
     weights = spark.createDataFrame([(0, "a", 0.5), (1, "a", -0.5), (0, "b", 0.5), (1, "b", 0.001)], "fold int, feature string, weight double")
     assert [tuple(r) for r in stable_features(weights).collect()] == [("a", 2)]
+
+
+def test_ranking_quality_equals_the_evaluator_and_brute_force(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    rng = random.Random(3)
+    rows = [("free", rng.random(), float(rng.random() < 0.3)) for _ in range(400)] + [("tied", rng.randrange(6) / 5, float(rng.random() < 0.5)) for _ in range(300)]
+    rows += [("one", 0.5, 1.0), ("one", 0.7, 1.0), (None, 0.1, 0.0), (None, 0.9, 1.0), ("free", None, 1.0), ("free", 0.2, None)]
+    df = spark.createDataFrame(rows, "k string, s double, y double")
+    got = {r.k: r for r in ev.ranking_quality(df, "s", "y", ["k"]).collect()}
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol="s", labelCol="y", numBins=0)
+    assert got["free"].auc == pytest.approx(evaluator.evaluate(df.where("k = 'free'").dropna()), abs=1e-12)
+    for k in ("free", "tied", None):
+        pairs = [(s, y) for key, s, y in rows if key == k and s is not None and y is not None]
+        pos, neg = [s for s, y in pairs if y], [s for s, y in pairs if not y]
+        assert got[k].auc == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg), abs=1e-12)
+        precision = lambda at: sum(p >= at for p in pos) / (sum(p >= at for p in pos) + sum(n >= at for n in neg))
+        assert got[k].average_precision == pytest.approx(sum(precision(p) for p in pos) / len(pos), abs=1e-12)
+    assert got["one"].auc is None and got["one"].average_precision == 1.0
+    assert ev.ranking_quality(df.where("k = 'tied'"), "s", "y").first().auc == pytest.approx(got["tied"].auc, abs=1e-12)
