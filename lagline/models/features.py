@@ -98,14 +98,15 @@ def base_levels(model, spark) -> DataFrame:
     return spark.createDataFrame(rows, T.StructType().add("column", "string").add("base", "string"))
 
 
-def level_index(df: DataFrame, col: str, name: str = "idx") -> DataFrame:
-    """(``col``, idx): alphabetic index of every level, from 0.
+def level_index(df: DataFrame, col: str, name: str = "idx", by_frequency: bool = False) -> DataFrame:
+    """(``col``, idx): index of every level, from 0, in alphabetic order or by falling frequency (then alphabetic).
 
     Reduced to the distinct levels before numbering. Levels are a bounded domain, as each becomes a
     position of the feature vector.
     """
-    levels = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    return levels.select(col, (F.row_number().over(W.orderBy(col)) - 1).cast("double").alias(name))
+    levels = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("__n"))
+    order = W.orderBy(F.col("__n").desc(), col) if by_frequency else W.orderBy(col)
+    return levels.select(col, (F.row_number().over(order) - 1).cast("double").alias(name))
 
 
 def scale_by_deviation(df: DataFrame, cols: Sequence[str], suffix: str = "_scaled") -> DataFrame:

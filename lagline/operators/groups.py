@@ -33,6 +33,21 @@ def distinct_counts(df: DataFrame, keys: Sequence[str], values: Sequence[str], a
     return df.groupBy(*keys).agg(*(count(v).alias(f"n_{v}") for v in values))
 
 
+def distinct_sketches(df: DataFrame, keys: Sequence[str], period: str | Column, value: str, lg_size: int = 12) -> DataFrame:
+    """(keys, period, sketch): a mergeable distinct-count sketch per group and period, to be written once and asked for any range of periods.
+
+    A sketch takes some 2^``lg_size`` bytes at most; its relative error is about 1 / sqrt(2^``lg_size``). Null values count as none.
+    """
+    at = F.col(period) if isinstance(period, str) else period
+    return df.groupBy(*keys, at.alias("period")).agg(F.hll_sketch_agg(value, lg_size).alias("sketch"))
+
+
+def distinct_in_range(sketches: DataFrame, keys: Sequence[str], first, last) -> DataFrame:
+    """(keys, n): estimated distinct values per group between two periods, both included, from stored sketches alone."""
+    chosen = sketches.where(F.col("period").between(F.lit(first), F.lit(last)))
+    return chosen.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+
+
 def distinct_rows(df: DataFrame, *cols: str) -> DataFrame:
     """Distinct combinations, such as a lookup table."""
     return df.select(*cols).distinct()

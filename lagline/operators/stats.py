@@ -10,10 +10,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lagline.functions.dates import MICROS_PER_SECOND, epoch_micros
+from lagline.operators.gram import correlation_matrix
 from lagline.operators.range_windows import DAY, HOUR, bin_start
 from lagline.operators.schema import columns_like
 
 
+# With more columns, pairs are summed as matrices instead of by three aggregates each.
+FEW_COLUMNS = 8
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Pearson correlation aggregate over rows with both values; null where a side is constant.
 
@@ -53,7 +58,8 @@ def pairwise_correlation(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def family_correlation(df: DataFrame, part: str) -> DataFrame:
     """Lower triangle of the correlation matrix of all columns whose name contains ``part``."""
-    lower = pairwise_correlation(df, columns_like(df, part))
+    cols = columns_like(df, part)
+    lower = pairwise_correlation(df, cols) if len(cols) <= FEW_COLUMNS else correlation_matrix(df, cols)
     return lower.select(F.col("b").alias("row_name"), F.col("a").alias("column_name"), "r")
 
 

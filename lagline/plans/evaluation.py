@@ -23,7 +23,7 @@ from lagline.models.evaluate import (
 from lagline.models.selection import levels_from_votes, stable_features
 from lagline.operators.folds import assign_blocks, block_bounds, block_ranges, split_by_year
 from lagline.operators.ranks import row_number_folds, with_percent_rank
-from lagline.operators.sampling import balance_by_keep, balance_by_ratio, hash_split, random_split, sample_at_most, sample_fraction
+from lagline.operators.sampling import balance_by_keep, balance_by_ratio, hash_split, random_split, sample_at_most, sample_exactly, sample_fraction
 from lagline.operators.stats import class_balance, histogram
 from lagline.plans.common import SCORES_SQL, load, query, rounded, scores
 
@@ -138,6 +138,12 @@ def sample_fraction_query(spark, sf_dir):
     return _drawn(rows, sample_fraction(rows, "l_orderkey", 0.1), "l_orderkey", lambda _: F.lit(0.1))
 
 
+@query("sample_exactly", "SELECT event_id, event_type FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 777")
+def sample_exactly_query(spark, sf_dir):
+    """Exactly so many rows, chosen by their keys."""
+    return sample_exactly(load(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 777)
+
+
 @query("sample_at_most", _drawn_sql("events", "event_id", "500"))
 def sample_at_most_query(spark, sf_dir):
     """About 500 rows of any number."""

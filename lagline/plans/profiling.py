@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
-from lagline.models.features import level_index, scale_by_deviation
+from lagline.models.features import index_stage, level_index, scale_by_deviation
 from lagline.operators.fills import track_imputation, fill_zero
 from lagline.operators.filters import first_rows, top_groups
+from lagline.operators.gram import correlation_matrix
 from lagline.operators.groups import (
     absence_runs,
     category_sets,
     delay_component_shares,
     distinct_counts,
+    distinct_in_range,
     distinct_rows,
+    distinct_sketches,
     frequency,
     group_means,
     inconsistent_columns,
@@ -23,7 +29,7 @@ from lagline.operators.groups import (
 )
 from lagline.operators.profile import coverage_keep, describe_table, drop_by_null_percent, drop_empty_columns, null_counts, null_percent, null_profile
 from lagline.operators.ranks import boxplot_stats
-from lagline.operators.schema import dimensions
+from lagline.operators.schema import dimensions, schema_diff
 from lagline.operators.stats import (
     array_sums,
     autocorrelation_function,
@@ -38,6 +44,8 @@ from lagline.operators.stats import (
     z_scores,
 )
 from lagline.plans.common import GAPS_SQL, gaps, load, query, rounded, scores
+from lagline.session import materialize
+from lagline.sources.tables import rows_to_table
 
 _LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -377,6 +385,60 @@ def level_index_query(spark, sf_dir):
     return level_index(load(spark, sf_dir, "part"), "p_brand")
 
 
+@query("level_index_by_frequency", """SELECT o_orderpriority, CAST(row_number() OVER (ORDER BY n DESC, o_orderpriority) - 1 AS DOUBLE) AS idx
+FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)""")
+def level_index_by_frequency_query(spark, sf_dir):
+    """Index by falling frequency, which the fitted indexer gives as well."""
+    orders = load(spark, sf_dir, "orders").select("o_orderpriority")
+    fitted = index_stage(["o_orderpriority"], order="frequencyDesc", source="").fit(orders).transform(orders).distinct()
+    own = level_index(orders, "o_orderpriority", by_frequency=True)
+    return fitted.select(F.col("o_orderpriority"), F.col("o_orderpriority_idx").alias("idx")).join(own, ["o_orderpriority", "idx"])
+
+
+@query("schema_diff", """SELECT 'only_left' AS kind, c AS column, NULL AS was, NULL AS now FROM (VALUES ('ts'), ('user_id')) t(c)
+UNION ALL VALUES ('only_right', 'hour', NULL, NULL), ('shared', 'event_id', NULL, NULL), ('shared', 'event_type', NULL, NULL), ('shared', 'props', NULL, NULL),
+  ('shared', 'value', NULL, NULL), ('type_changed', 'event_id', 'bigint', 'string')""")
+def schema_diff_query(spark, sf_dir):
+    """What a build step did to the columns of events."""
+    events = load(spark, sf_dir, "events")
+    built = events.withColumns({"hour": F.hour("ts"), "event_id": F.col("event_id").cast("string")}).drop("ts", "user_id")
+    found = schema_diff(events, built)
+    rows = [(kind, *(c if isinstance(c, tuple) else (c, None, None))) for kind, listed in found.items() for c in listed]
+    return rows_to_table(spark, rows, "kind string, column string, was string, now string")
+
+
+@query(
+    "distinct_sketches",
+    """SELECT event_type, count(DISTINCT user_id) AS n_exact, true AS close FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1""",
+)
+def distinct_sketches_query(spark, sf_dir):
+    """Users per event type between two days, from daily sketches, within three standard errors of the exact count."""
+    events = load(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    first, last = dt.date(2024, 1, 5), dt.date(2024, 1, 20)
+    stored = materialize(distinct_sketches(events, ["event_type"], "day", "user_id"), "sketches")
+    exact = distinct_counts(events.where(F.col("day").between(first, last)), ["event_type"], ["user_id"])
+    both = exact.join(distinct_in_range(stored, ["event_type"], first, last), "event_type")
+    close = F.abs(F.col("n") - F.col("n_user_id")) <= F.greatest(F.lit(1.0), F.col("n_user_id") * (3 / 64))
+    return both.select("event_type", F.col("n_user_id").alias("n_exact"), close.alias("close"))
+
+
+# Sixteen columns made of the keys, each with gaps of its own.
+_WIDE = {f"w{k}": (k, f"(l_orderkey * {2 * k + 3} + l_partkey * {k + 1} + l_suppkey * {k % 3}) % {50 + k} + l_quantity * {k % 4}") for k in range(16)}
+_WIDE_SQL = ", ".join(f"CASE WHEN l_orderkey % {k + 3} = 0 THEN NULL ELSE CAST({body} AS DOUBLE) END AS {name}" for name, (k, body) in _WIDE.items())
+
+
+@query(
+    "wide_correlation",
+    f"WITH w AS (SELECT {_WIDE_SQL} FROM lineitem) " + " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, round(corr({a}, {b}), 6) AS r FROM w" for a, b in combinations(_WIDE, 2)),
+)
+def wide_correlation_query(spark, sf_dir):
+    """All pairs of many columns with gaps, in one scan."""
+    lines = load(spark, sf_dir, "lineitem")
+    wide = lines.select(*(F.when(F.col("l_orderkey") % (k + 3) != 0, F.expr(body).cast("double")).alias(name) for name, (k, body) in _WIDE.items()))
+    return rounded(correlation_matrix(wide, list(_WIDE)), "r")
+
+
 @query("scale_by_deviation", "SELECT event_id, round(value / s, 6) AS value_scaled FROM events, (SELECT stddev_samp(value) AS s FROM events)")
 def scale_by_deviation_query(spark, sf_dir):
     scaled = scale_by_deviation(load(spark, sf_dir, "events").select("event_id", "value"), ["value"])

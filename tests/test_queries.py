@@ -44,7 +44,7 @@ def test_entry_points(spark):
 
 
 # Windows over all rows are fine only where one row per cutoff, day, level or rank bucket is left.
-BOUNDED_WINDOWS = ("__bucket", "__coarse", "Cutoff", "day#", "p_brand")
+BOUNDED_WINDOWS = ("__bucket", "__coarse", "Cutoff", "day#", "p_brand", "o_orderpriority", "at#", "__h#")
 
 
 @pytest.mark.parametrize("name", sorted(set(REGISTRY) - set(ITERATIVE) - {"stream_ingest"}))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lagline.operators import ranks
 from lagline.operators.folds import assign_blocks, block_bounds, block_frames
 from lagline.operators.ranks import boxplot_stats, exact_quantiles, percent_ranks, row_number_folds, value_ranks, values_at, with_percent_rank
-from lagline.operators.sampling import balance_by_keep, balance_by_ratio, hash_split, sample_at_most
+from lagline.operators.sampling import balance_by_keep, balance_by_ratio, hash_split, sample_at_most, sample_exactly
 from lagline.functions.scalars import hash_score
 
 
@@ -168,3 +168,14 @@ def test_order_statistics_are_exact(spark, monkeypatch, gathered):
                 at = int((len(every) - 1) * p)
                 assert got.get((c, str(p))) == ((at, len(every), every[at]) if every else None)
             assert (c, "outside") not in got
+
+
+def test_exact_samples(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 5).alias("v"))
+    sample = {n: {r.id for r in sample_exactly(df, "id", n).collect()} for n in (0, 1, 10, 500, 2999, 3000, 9000)}
+    assert [len(s) for s in sample.values()] == [0, 1, 10, 500, 2999, 3000, 3000]
+    assert sample[10] < sample[500] < sample[2999]
+    assert {r.id for r in sample_exactly(df.repartition(7), "id", 500).collect()} == sample[500] != {r.id for r in sample_exactly(df, "id", 500, seed=1).collect()}
+    # rows that share their key, and so their whole hash
+    same = spark.range(100).select(F.lit("k").alias("key"), "id")
+    assert sample_exactly(same, "key", 30).count() == 30 and sample_exactly(same.limit(0), "key", 5).count() == 0

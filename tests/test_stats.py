@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lagline.operators.gram import correlation_matrix
 from lagline.operators import groups, stats
 
 BASE = dt.datetime(2020, 1, 1)
@@ -121,3 +122,34 @@ def test_utc_offsets(spark):
     moved = {r.st: r.us for r in stats.apply_utc_offsets(rows, offsets, "st", "loc", "us").collect()}
     want = int((at(10) - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
     assert moved == {"s2": want, "s3": None}
+
+
+def test_wide_correlations_equal_the_plain_ones(spark):
+    rng = random.Random(6)
+    names = [f"c{i}" for i in range(12)]
+    make = lambda i: [None if rng.random() < i / 20 else 1e9 * (i % 3) + rng.gauss(i, 1 + i) for _ in range(300)]
+    columns = [make(i) for i in range(9)] + [[7.0] * 300, [None] * 300, [0.1 if i % 2 else None for i in range(300)]]
+    df = spark.createDataFrame(list(zip(*columns)), ", ".join(f"{n} double" for n in names)).repartition(3)
+    plain = {(r.a, r.b): r.r for r in stats.pairwise_correlation(df, names).collect()}
+    wide = {(r.a, r.b): r for r in correlation_matrix(df, names).collect()}
+    assert wide.keys() == plain.keys()
+    for (a, b), r in wide.items():
+        both = [1 for x, y in zip(columns[names.index(a)], columns[names.index(b)]) if x is not None and y is not None]
+        assert r.n == len(both)
+        if {a, b} & {"c9", "c10", "c11"}:
+            assert r.r is None  # constant or unknown
+        else:
+            assert r.r == pytest.approx(plain[a, b], abs=1e-6)
+    assert {(r.column_name, r.row_name) for r in stats.family_correlation(df, "c").collect()} == plain.keys()
+    assert all(r.n == 0 and r.r is None for r in correlation_matrix(df.limit(0), names).collect())
+
+
+def test_sketches_estimate_any_range(spark):
+    df = spark.range(20_000).select((F.col("id") % 3).alias("k"), (F.col("id") % 10).cast("int").alias("day"), (F.col("id") % 7_000).alias("v"))
+    sketches = groups.distinct_sketches(df, ["k"], "day", "v")
+    for first, last in ((0, 9), (2, 4), (5, 5), (11, 12)):
+        exact = {r.k: r.n_v for r in groups.distinct_counts(df.where(F.col("day").between(first, last)), ["k"], ["v"]).collect()}
+        got = {r.k: r.n for r in groups.distinct_in_range(sketches, ["k"], first, last).collect()}
+        assert got.keys() == exact.keys() and all(got[k] == pytest.approx(exact[k], rel=0.05) for k in exact)
+    rough = groups.distinct_counts(df, ["k"], ["v"], approximate=True).first()
+    assert rough.n_v == pytest.approx(6667, rel=0.15)
