@@ -41,8 +41,11 @@ RULES = (
     Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow"),
 )
 
-DAMPING, ROUNDS, SETTLED = 0.85, 30, 1e-6
+DAMPING = 0.85
 THRESHOLD = 0.5
+# Ranks are settled when all that may still move is this share of the least distrust that blocks a host. The bound on rounds is only there
+# to end a run that cannot settle: ten times the rounds that a thousand million hosts need.
+SETTLED, MOST_ROUNDS = 1e-3, 2000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,10 +82,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.select("src", host_of(absolute).alias("dst")).where("dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, settled: float = SETTLED * THRESHOLD) -> DataFrame:
     """``host, trust, distrust`` for the hosts of ``seeds(host, trusted, blocked)`` and all hosts reached over ``edges``.
 
-    Each of the two seed sets starts with mass 1, dealt evenly; mass at a host without links in the needed direction ends there.
+    Each of the two seed sets starts with mass 1, dealt evenly; mass at a host without links in the needed direction ends there. Rounds go on until
+    what may still move, over all hosts together, is less than ``settled`` times the even share of the distrust of one host.
     """
     totals = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
     share = lambda c, n: (F.col(c) / F.lit(float(n))) if n else F.lit(0.0)
@@ -97,21 +101,24 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     if not flows.limit(1).count():
         return ranks.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
     old = None
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS):
         moved = flows.join(ranks, F.col("at") == F.col("host")).groupBy("to").agg(
             F.sum(F.col("tw") * F.col("trust")).alias("dt"), F.sum(F.col("bw") * F.col("distrust")).alias("db"))
         own = start.select("host", (F.col("t0") * (1 - damping)).alias("dt"), (F.col("b0") * (1 - damping)).alias("db"))
         both = own.unionByName(moved.select(F.col("to").alias("host"), F.col("dt") * damping, F.col("db") * damping).toDF("host", "dt", "db"))
         fresh = store(both.groupBy("host").agg(F.sum("dt").alias("trust"), F.sum("db").alias("distrust")), "ranks")
         was = ranks.select("host", F.col("trust").alias("t"), F.col("distrust").alias("b"))
-        change = fresh.join(was, "host", "left").agg(F.sum(
-            F.abs(F.col("trust") - F.coalesce("t", F.lit(0.0))) + F.abs(F.col("distrust") - F.coalesce("b", F.lit(0.0))))).first()[0]
+        moved_by = lambda new, old: F.sum(F.abs(F.col(new) - F.coalesce(old, F.lit(0.0))))
+        seen = fresh.join(was, "host", "left").agg(
+            (moved_by("trust", "t") + moved_by("distrust", "b")).alias("change"), (F.sum("distrust") / F.count("*")).alias("even"),
+            (F.sum("trust") / F.count("*")).alias("even_trust")).first()
         if old is not None:
             drop(old)
         ranks = old = fresh
-        if change < settled:
-            break
-    return ranks
+        # A change shrinks by the damping each round, so this much is left at most.
+        if seen.change * damping / (1 - damping) <= settled * (seen.even or seen.even_trust):
+            return ranks
+    raise RuntimeError(f"ranks did not settle in {MOST_ROUNDS} rounds")
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:

@@ -172,3 +172,20 @@ MANY = "\n".join([PROSE] * 40)
 ])
 def test_what_stands_around_a_long_body_counts(source, text):
     assert html_paths.main_text(source) == text
+
+
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    """Sixty hosts, each linking to the next, the last one blocked: distrust goes back all the way, halving into a loop at the start."""
+    n = 60
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(n - 1)] + [("h1", "h0", 1)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([(f"h{i}", 0, int(i == n - 1)) for i in range(n)], "host string, trusted int, blocked int")
+    got = {r.host: r.distrust for r in url_trust.propagate(edges, seeds).collect()}
+    want = [0.0] * n
+    for _ in range(3000):
+        fresh = [0.15 * (i == n - 1) for i in range(n)]
+        for src, dst in [(i, i + 1) for i in range(n - 1)] + [(1, 0)]:
+            fresh[src] += 0.85 * want[dst]
+        want = fresh
+    even = sum(want) / n
+    assert got.keys() == {f"h{i}" for i in range(n)} and all(got[f"h{i}"] == pytest.approx(w, abs=even / 1000) for i, w in enumerate(want))
+    assert got["h1"] > 0 and got["h0"] > 0
