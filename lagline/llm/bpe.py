@@ -16,13 +16,13 @@ they are, one row in, one row out; an empty table gives an empty result; other c
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import sys
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
-from operator import add
 from types import ModuleType
 
 import numpy as np
@@ -40,9 +40,6 @@ _CACHED_PIECES = 300_000
 _CACHED_CHARS = 64
 _CUT = re.compile(r"(?= \S)")
 _WIDE_SPACE = re.compile(r" (?:\s|\Z)")
-_ID = 24
-_PLACE = 40
-_PLACES = (1 << _PLACE) - 1
 # Fixed value: how byte-level tokenizers cut pre-tokens. Below U+0530 every version of Unicode has the same letters, numbers and
 # spaces; pieces with other characters are cut by the tokenizer library itself.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -72,14 +69,13 @@ class Vocabulary:
         self.added = {t["content"]: t["id"] for t in parts["added_tokens"]}
         letters = byte_letters()
         self.first = [ids[letter] for letter in letters]
-        # Ranks are kept shifted past the places, so rank and place of a pair are one number.
-        self.ranks: dict[int, int] = {}
-        self.made: dict[int, int] = {}
+        # Rank of each pair, by its left symbol, then its right one; the last entry, for -1, is of no symbol.
+        self.ranks: list[dict[int, int]] = [{} for _ in range(max(ids.values()) + 2)]
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault(ids[left] << _ID | ids[right], rank << _PLACE)
-            self.made[rank << _PLACE] = ids[left + right]
-        self.first_left = [i << _ID for i in self.first]
+            self.ranks[ids[left]].setdefault(ids[right], rank)
+            self.made.append(ids[left + right])
         as_byte = {letter: b for b, letter in enumerate(letters)}
         self.strings = [b""] * (max([*ids.values(), *self.added.values()]) + 1)
         for string, i in [*ids.items(), *self.added.items()]:
@@ -97,10 +93,11 @@ class Vocabulary:
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of a pre-token: always the pair of lowest rank, leftmost first, is merged."""
         n = len(word)
-        symbols = list(map(self.first.__getitem__, word))
-        rank_of, made = self.ranks.get, self.made
-        pairs = map(rank_of, map(add, map(self.first_left.__getitem__, word), symbols[1:]))
-        queue = [rank + i for i, rank in enumerate(pairs) if rank is not None]
+        symbols, ranks, made = list(map(self.first.__getitem__, word)), self.ranks, self.made
+        # A queue entry is one number: the rank, then the place of the left symbol.
+        shift = n.bit_length()
+        places = (1 << shift) - 1
+        queue = [rank << shift | i for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (rank := ranks[a].get(b)) is not None]
         if not queue:
             return symbols
         heapify(queue)
@@ -109,19 +106,18 @@ class Vocabulary:
         before, after = list(range(-1, n)), list(range(1, n + 2))
         while queue:
             entry = heappop(queue)
-            i = entry & _PLACES
-            entry -= i
+            i, rank = entry & places, entry >> shift
             right = after[i]
-            if rank_of((symbols[i] << _ID) + symbols[right]) != entry:
+            if ranks[symbols[i]].get(symbols[right]) != rank:
                 continue  # stale: one of its symbols was merged meanwhile
-            new, nxt, left = made[entry], after[right], before[i]
+            new, nxt, left = made[rank], after[right], before[i]
             symbols[i], symbols[right], after[i], before[nxt] = new, -1, nxt, i
-            rank = rank_of((new << _ID) + symbols[nxt])
+            rank = ranks[new].get(symbols[nxt])
             if rank is not None:
-                heappush(queue, rank + i)
-            rank = rank_of((symbols[left] << _ID) + new)
+                heappush(queue, rank << shift | i)
+            rank = ranks[symbols[left]].get(new)
             if rank is not None:
-                heappush(queue, rank + left)
+                heappush(queue, rank << shift | left)
         return [s for s in symbols if s >= 0]
 
 
@@ -158,7 +154,7 @@ class Encoder:
         self.library_cut = Tokenizer.from_file(vocabulary.path).pre_tokenizer.pre_tokenize_str
         self.pieces = _Cache(self._ids)
         # By the piece without the space that it begins with.
-        self.spaced = _Cache(lambda rest: self._ids(" " + rest))
+        self.spaced = _Cache(self._spaced_ids)
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.added, key=len, reverse=True))) + ")") if vocabulary.added else None
 
     def cut(self, piece: str) -> list[str]:
@@ -173,6 +169,11 @@ class Encoder:
             return tuple(self.vocabulary.encode_word(piece.encode()))
         return tuple(chain.from_iterable(self.spaced[p[1:]] if p[0] == " " and not p[1:2].isspace() else self.pieces[p] for p in parts))
 
+    def _spaced_ids(self, rest: str) -> tuple[int, ...]:
+        if rest.isalpha() and max(rest) < _SETTLED:
+            return tuple(self.vocabulary.encode_word(b" " + rest.encode()))  # a space and letters are one pre-token
+        return self._ids(" " + rest)
+
     def _chunk(self, chunk: str) -> np.ndarray:
         if _WIDE_SPACE.search(chunk):
             found = map(self.pieces.__getitem__, _CUT.split(chunk))
@@ -209,6 +210,7 @@ def worker_encoder(path: str) -> Encoder:
     kept = sys.modules.setdefault("lagline_bpe_worker", ModuleType("lagline_bpe_worker")).__dict__
     if path not in kept:
         kept[path] = Encoder(Vocabulary(path))
+        gc.freeze()  # the vocabulary stays, so collections need not walk it
     return kept[path]
 
 
@@ -246,7 +248,9 @@ def _decode(path: str):
     def run(batches):
         vocabulary = worker_encoder(path).vocabulary
         for batch in batches:
-            texts = [vocabulary.decode(ids.as_py() or []) for ids in batch.column(1)]
+            ids, edges = batch.column(1), batch.column(1).offsets.to_numpy()
+            flat = ids.values.fill_null(len(vocabulary.strings)).to_numpy()  # a null id is none of the vocabulary's
+            texts = [vocabulary.decode(flat[a:b].tolist()) if known else "" for a, b, known in zip(edges, edges[1:], ids.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return run

@@ -65,8 +65,7 @@ def by_lowest_rank(symbols, vocabulary):
     """Merging by search of the whole list, without a queue."""
     symbols = list(symbols)
     while True:
-        pairs = [a << bpe._ID | b for a, b in zip(symbols, symbols[1:])]
-        ranked = [(vocabulary.ranks[pair], i) for i, pair in enumerate(pairs) if pair in vocabulary.ranks]
+        ranked = [(vocabulary.ranks[a][b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if b in vocabulary.ranks[a]]
         if not ranked:
             return symbols
         rank, i = min(ranked)
@@ -87,7 +86,7 @@ def test_odd_rows(spark, library):
     want = sorted(((i, tuple(library.encode(t or "", add_special_tokens=False).ids), t or "") for i, t, _ in rows), key=repr)
     assert got == want
     assert bpe.round_trip(docs.limit(0), PATH).count() == 0
-    nulls = spark.createDataFrame([(1, None), (2, []), (3, [99_999, 64])], "doc_id long, ids array<int>")
+    nulls = spark.createDataFrame([(1, None), (2, []), (3, [99_999, 64, None])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in bpe.decode_ids(nulls, PATH).collect()} == {1: "", 2: "", 3: "a"}
 
 
