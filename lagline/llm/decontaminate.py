@@ -6,8 +6,9 @@ least one piece untouched, so documents are searched for exact pieces only (a ha
 operation per document). Every hit names the place where the item would begin, and Myers' bit-parallel
 distance decides there on the words themselves; hash collisions cannot add a match.
 
-Items come from the benchmark in blocks of bounded size, each broadcast and held against all documents, so
-the benchmark may have any size. No document is shuffled, so copies and hot words matter to no one.
+Items come from the benchmark in blocks of bounded size. One block at a time is broadcast, held against all documents and given up once its
+matches are written, so memory is bounded whatever the benchmark's size; every further block costs one more scan of the documents. No document is
+shuffled, so copies and hot words matter to no one.
 
 Null or empty documents match nothing, and items without words match nothing. Null ids are reported as they are, repeated
 rows of documents each match, repeated items are reported by each of their ids. Empty tables give an empty result; other columns
@@ -147,10 +148,12 @@ def contaminations(
     bound_batches(spark)
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     items = benchmark.select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{item_text_col}`").cast("string"))
-    out = spark.createDataFrame([], "doc_id long, item_id long, edits long, item_words long")
-    for block in _blocks(items):
+    shape = "doc_id long, item_id long, edits long, item_words long"
+    out = spark.createDataFrame([], shape)
+    for number, block in enumerate(_blocks(items)):
         shared = spark.sparkContext.broadcast(block)
-        out = out.unionByName(plain.mapInArrow(_search(shared), "doc_id long, item_id long, edits long, item_words long"))
+        out = out.unionByName(store(plain.mapInArrow(_search(shared), shape), f"matches-{number}"))
+        shared.destroy()
     return out
 
 
