@@ -1,10 +1,10 @@
 """Exact global ranks, row-number folds and quantiles without a single-task window.
 
-Approximate quantiles only choose cut points that divide the values into buckets of similar size;
-counts per bucket are exact whatever the cuts. A wanted position is then looked up in the one bucket
-that holds it, and a full ranking starts each bucket at the total of all earlier ones. Only bucket
-totals, a fixed number of rows per key, pass through one window. Rows of equal value are counted
-into one before they are ordered.
+Single positions: approximate quantiles only choose cut points that divide the values into buckets of
+similar size; counts per bucket are exact whatever the cuts, and a wanted position is looked up in the
+one bucket that holds it. Full rankings are sample sorts over as many ranges as the rows need, and each
+range starts at the total of all earlier ones. Only totals pass through one window. Rows of equal value
+are counted into one before they are ordered.
 """
 
 from __future__ import annotations
@@ -16,7 +16,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lagline.session import materialize
+
 _BUCKETS = 256
+# Distinct values a range of a full ranking aims at; beyond the largest number of ranges they grow instead, and their sorts may spill.
+_RANGE_ROWS = 500_000
+_MOST_RANGES = 100_000
 
 
 def _with_buckets(df: DataFrame, col: str, keys: list[str], buckets: int) -> DataFrame:
@@ -51,20 +56,31 @@ def _attach(df: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataF
     return df.join(renamed, [df[k].eqNullSafe(renamed[f"__j_{k}"]) for k in keys], how).drop(*(f"__j_{k}" for k in keys))
 
 
-def running_sums(counts: DataFrame, col: str, names: Sequence[str], keys: Sequence[str] = (), buckets: int = _BUCKETS, suffix: str = "_before") -> DataFrame:
-    """``counts`` (one row per key and value of ``col``) with the sum of each of ``names`` over the smaller values of the key; nulls are smallest."""
+def running_sums(counts: DataFrame, col: str, names: Sequence[str], keys: Sequence[str] = (), buckets: int = 1, suffix: str = "_before") -> DataFrame:
+    """``counts`` (one row per key and value of ``col``) with the sum of each of ``names`` over the smaller values of the key; nulls are smallest.
+
+    A sample sort: Spark samples splitters for as many ranges as the rows need (``buckets`` at least) and deals the rows by them; a key with
+    many values is cut into several ranges, small keys share one. The dealt rows are stored with their range, since a range sampled anew after
+    a lost executor could differ. Totals per key and range, one row for half a million, give each range its start; inside it the sums are local.
+    """
     keys, names = list(keys), list(names)
-    marked = _with_buckets(counts.select(*keys, col, *names), col, keys, buckets)
-    totals = marked.groupBy(*keys, "__bucket").agg(*(F.sum(n).alias(f"__t_{n}") for n in names))
-    earlier = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__bucket", *(F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(n) for n in names), F.lit(0).alias("__order"))
-    stacked = marked.withColumn("__order", F.lit(1)).unionByName(offsets, allowMissingColumns=True)
-    running = W.partitionBy(*keys, "__bucket").orderBy("__order", F.col(col).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
+    order = [F.col(c).asc_nulls_first() for c in [*keys, col]]
+    ranged = materialize(counts.select(*keys, col, *names), "counts")
+    ranges = max(buckets, min(_MOST_RANGES, -(-ranged.count() // _RANGE_ROWS)))
+    if ranges > 1:
+        ranged = materialize(ranged.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    else:
+        ranged = ranged.withColumn("__range", F.lit(0))
+    totals = ranged.groupBy(*keys, "__range").agg(*(F.sum(n).alias(f"__t_{n}") for n in names))
+    earlier = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "__range", *(F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(n) for n in names), F.lit(0).alias("__order"))
+    stacked = ranged.withColumn("__order", F.lit(1)).unionByName(offsets, allowMissingColumns=True)
+    running = W.partitionBy(*keys, "__range").orderBy("__order", F.col(col).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
     ranked = stacked.withColumns({n + suffix: F.sum(n).over(running) for n in names})
     return ranked.filter(F.col("__order") == 1).select(*keys, col, *names, *(n + suffix for n in names))
 
 
-def value_ranks(df: DataFrame, col: str, keys: Sequence[str] = (), buckets: int = _BUCKETS) -> DataFrame:
+def value_ranks(df: DataFrame, col: str, keys: Sequence[str] = (), buckets: int = 1) -> DataFrame:
     """(keys, ``col``, n, n_before): rows per distinct value and rows with a smaller value.
 
     Nulls sort first, as in Spark's default ordering.
@@ -102,13 +118,13 @@ def values_at(
     else:
         chosen = hits.agg(F.collect_set("__coarse").alias("chosen")).scalar()
         inside = marked.filter(F.array_contains(chosen, F.col("__coarse")))
-    ranks = value_ranks(inside, "__value", [*keys, "__coarse"], buckets)
+    ranks = value_ranks(inside, "__value", [*keys, "__coarse"])
     found = _attach(ranks, hits, [*keys, "__coarse"], "inner")
     holds = (F.col("n_before") <= F.col("__place")) & (F.col("__place") < F.col("n_before") + F.col("n"))
     return found.filter(holds).select(*keys, "id", "position", "size", F.col("__value").alias("value"))
 
 
-def percent_ranks(df: DataFrame, col: str, buckets: int = _BUCKETS) -> DataFrame:
+def percent_ranks(df: DataFrame, col: str, buckets: int = 1) -> DataFrame:
     """(``col``, n, percent_rank) per distinct value, equal to ``percent_rank`` over the whole table."""
     ranks = value_ranks(df, col, buckets=buckets)
     total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
@@ -116,7 +132,7 @@ def percent_ranks(df: DataFrame, col: str, buckets: int = _BUCKETS) -> DataFrame
     return ranks.select(col, "n", share.alias("percent_rank"))
 
 
-def with_percent_rank(df: DataFrame, col: str, name: str = "percent_rank", buckets: int = _BUCKETS) -> DataFrame:
+def with_percent_rank(df: DataFrame, col: str, name: str = "percent_rank", buckets: int = 1) -> DataFrame:
     """``df`` with each row's chronological percentile.
 
     Joins the per-value ranks back; a value shared by very many rows is one row on the rank side,

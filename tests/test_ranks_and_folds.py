@@ -13,6 +13,7 @@ from lagline.operators.folds import assign_blocks, block_bounds, block_frames
 from lagline.operators.ranks import boxplot_stats, exact_quantiles, percent_ranks, row_number_folds, value_ranks, values_at, with_percent_rank
 from lagline.operators.sampling import balance_by_keep, balance_by_ratio, hash_split, sample_at_most, sample_exactly
 from lagline.functions.scalars import hash_score
+from lagline.session import materialize
 
 
 @pytest.mark.parametrize("distinct", [1, 2, 40, 5000])
@@ -42,6 +43,22 @@ def test_ranks_per_key(spark):
     assert sorted(((r.k, r.v, r.n_before) for r in value_ranks(df, "v", ["k"], buckets=8).collect()), key=str) == want
 
 
+def test_ranges_grow_with_the_rows_and_split_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "_RANGE_ROWS", 100)
+    rng = random.Random(11)
+    # Key "a" holds most values, null keys and null values occur, and value 1.5 has a third of the rows.
+    data = [("a", 1.5 if i % 3 == 0 else rng.random() * 9) for i in range(1500)] + [(rng.choice([None, "b", "c"]), rng.choice([None, -0.0, float("inf"), 2.0])) for _ in range(90)]
+    df = spark.createDataFrame(data, "k string, v double")
+    want = sorted(((r.k, r.v, r.b) for r in df.select("k", "v", (F.rank().over(W.partitionBy("k").orderBy("v")) - 1).alias("b")).distinct().collect()), key=str)
+    made = []
+    monkeypatch.setattr(ranks, "materialize", lambda rows, name: made.append(materialize(rows, name)) or made[-1])
+    ranked = value_ranks(df, "v", ["k"])
+    assert sorted(((r.k, abs(r.v) if r.v == 0 else r.v, r.n_before) for r in ranked.collect()), key=str) == sorted(((k, abs(v) if v == 0 else v, b) for k, v, b in want), key=str)
+    sizes = {r["__range"]: r["count"] for r in made[-1].groupBy("__range").count().collect()}
+    assert len(sizes) >= 10 and max(sizes.values()) <= 200
+    assert made[-1].where("k = 'a'").select("__range").distinct().count() >= 9
+
+
 def test_quantiles_equal_numpy(spark):
     rng = random.Random(6)
     data = {k: [rng.choice([1.0, 2.0, rng.random() * 50]) for _ in range(n)] for k, n in (("a", 1), ("b", 2), ("c", 501))}
