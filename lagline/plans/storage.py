@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lagline.operators.groups import frequency
 from lagline.plans.common import load, query
 from lagline.session import shared_path
-from lagline.sources.sinks import write_metric_csv, write_parquet, write_text_fields, write_votes
-from lagline.sources.tables import prune, read_csv, read_name_list, read_parquet, read_parquet_before, read_votes, rows_to_table, split_text_lines
-from lagline.streaming.ingest import hourly_counts, ingest_by_hour, stream_parquet
+from lagline.sources.sinks import write_bucketed, write_metric_csv, write_parquet, write_text_fields, write_votes
+from lagline.sources.tables import prune, read_bucketed, read_csv, read_name_list, read_parquet, read_parquet_before, read_votes, rows_to_table, split_text_lines
+from lagline.streaming.ingest import hourly_counts, ingest_by_hour, ingest_compacted, read_ingested, stream_parquet
 
 
 @query("parquet_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45")
@@ -61,6 +61,23 @@ def partitioned_round_trip(spark, sf_dir):
     return read_parquet(spark, path).filter(F.col("yr") == 1998).select("o_orderkey", "o_totalprice")
 
 
+@query(
+    "bucketed_order_totals",
+    """SELECT o_orderkey, o_custkey, count(*) AS n_lines, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS quantity
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2""",
+)
+def bucketed_order_totals(spark, sf_dir):
+    """Both tables bucketed by order; the join and the sums per order then need no shuffle."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_path(spark, "bucketed")
+    write_bucketed(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), f"{path}/orders", ["o_orderkey"], buckets)
+    write_bucketed(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity"), f"{path}/lines", ["l_orderkey"], buckets)
+    orders, lines = read_bucketed(spark, f"{path}/orders"), read_bucketed(spark, f"{path}/lines")
+    quantity = F.sum(F.col("l_quantity").cast("decimal(12,2)")).cast("double")
+    totals = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_lines"), quantity.alias("quantity"))
+    return orders.join(totals, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_custkey", "n_lines", "quantity")
+
+
 @query("metric_csv_round_trip", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def metric_csv_round_trip(spark, sf_dir):
     path = shared_path(spark, "metrics")
@@ -103,6 +120,16 @@ def stream_ingest(spark, sf_dir):
     return hourly_counts(spark.read.schema("event_id bigint, hour string").parquet(out))
 
 
+@query("compacted_ingest", "SELECT event_id, event_type, strftime(ts, '%Y-%m-%d') AS period FROM events")
+def compacted_ingest(spark, sf_dir):
+    """All events through three batches, the last of which merges every day's files; each row once."""
+    source, out, checkpoint = (shared_path(spark, n) for n in ("arrivals", "compacted", "compacted-state"))
+    load(spark, sf_dir, "events").repartition(3, "event_id").write.parquet(source)
+    schema = spark.read.parquet(source).schema
+    ingest_compacted(stream_parquet(spark, source, schema, max_files=1), "ts", out, checkpoint, files_per_period=1, most_files=2, pattern="yyyy-MM-dd").awaitTermination()
+    return read_ingested(spark, out, schema).select("event_id", "event_type", "period")
+
+
 @query("result_rows", "SELECT 'lineitem' AS tbl, count(*) AS n FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders")
 def result_rows(spark, sf_dir):
     """Small results brought back as a table."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,17 @@ def read_parquet_before(
     return read_parquet(spark, glob, schema=schema).filter(F.col(date_col) < F.lit(before))
 
 
+def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
+    """A table of ``sinks.write_bucketed`` with its layout, which Spark then uses instead of a shuffle."""
+    layout = spark.read.schema("keys array<string>, buckets int, sort_by array<string>, columns string").json(f"{path}.layout").first()
+    quoted = lambda names: ", ".join("`" + n.replace("`", "``") + "`" for n in names)
+    name = f"lagline_{uuid.uuid4().hex}"
+    spark.sql(
+        f"CREATE TABLE {name} ({layout.columns}) USING parquet OPTIONS (path '{path}') "
+        f"CLUSTERED BY ({quoted(layout['keys'])}) SORTED BY ({quoted(layout.sort_by)}) INTO {layout.buckets} BUCKETS")
+    return spark.table(name)
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None, infer: bool = False
 ) -> DataFrame:
