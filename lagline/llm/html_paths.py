@@ -2,14 +2,15 @@
 
 A page is cut into blocks of text, each with its root-to-leaf tag path. Menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments are told by their elements, roles and class names, and do not count. A name is a whole class
-(``sidebar``, ``cookie-notice``), not a part of one (``has-sidebar``, ``share-price``). Headings are never told by their names, nor sections
+(``sidebar``, ``cookie-notice``, ``topnav``), not any part of one (``has-sidebar``, ``share-price``). Headings are never told by their names, nor sections
 of an article by their id. Such an element counts after all if it holds the page's ``<main>`` or the ``<article>`` with over half of the page's
-sentences, and a form, widget or search area also if it holds over half of all sentences itself. Over the other blocks, text length and punctuation are aggregated per path and divided by the path's number of blocks; the
-two ratios are fused (geometric mean), smoothed over neighbouring blocks, and blocks whose score
-reaches a share of its standard deviation are content nodes. Paths of short, unpunctuated labels fall out, paths of prose stay. The article is the ``<article>``
-with over half of the content text. Elsewhere it grows from the smallest container that holds nearly all content text to all that stands around it, up to
+sentences, and a form, widget or search area also if it holds over half of all sentences itself. Over the other blocks, length of the text outside links and punctuation are aggregated per path of tags
+and classes and divided by the path's number of blocks; the two ratios are fused (geometric mean), then fused again with their mean over neighbouring blocks, and
+blocks whose score is above zero and reaches a share of its standard deviation are content nodes. Paths of short, unpunctuated labels and of links fall out, paths of prose stay.
+The article is the ``<article>`` with over half of the content text. Elsewhere it grows from the smallest container that holds nearly all content text to all that stands around it, up to
 the ``<main>`` part if that holds as much: to the smallest container around it with all headings, paragraphs, sentences and content. Everything there
-that is not boilerplate is kept, short lines too; beside the first container, parts that are mostly links are boilerplate.
+that is not boilerplate is kept, short lines too, but for blocks that are no content nodes and whose path is mostly links (menus, tag lists, teasers under any
+name; headings and plain paragraphs are none). Beside the first container, parts that are mostly links are boilerplate as well. A page whose blocks are all links keeps them.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed. ``<br>`` is white space.
 Unclosed and misnested tags, cut-off pages and raw text elements are handled like browsers do, in short. Null or empty html
@@ -62,14 +63,19 @@ _SENTENCE = re.compile("[.,;!?。，、！？；…]")
 # Class, id and role words of parts that are not the article.
 _BOILERPLATE = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
-    "dialog discussion disqus footer header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup "
+    "dialog discussion disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup "
     "promo promotion related replies reply search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
 
 
 # Words that may stand beside those in the name of such a part.
 _BESIDE = set(
-    "area article articles bar block bottom box button buttons col column container content form global group icons inner item items left level link links list lists main "
-    "mobile nested outer panel post posts primary right secondary section site story stories text thread title top trail wrap wrapper".split())
+    "area article articles bar block bottom box button buttons by col column container content entry foot form global google group head icons info inner item items law left level "
+    "link links list lists main mobile nested outer page panel policy post posts primary respond right secondary section site slot stories story sub text thread title tools top trail "
+    "unit wrap wrapper".split())
+# Words before the name of a part that make it a trait of what holds the part.
+_TRAITS = set("has hide is no not show with without".split())
+# A name in one piece, such as ``topnav``.
+_COMPOUND = re.compile(f"(?:{'|'.join(sorted(_BOILERPLATE | _BESIDE, key=len, reverse=True))})+")
 # Ids of sections outside the article. Within it, and for other words, an id is an anchor of prose.
 _SECTION_IDS = set("comments disqus sidebar footer header nav navigation navbar menu cookies".split())
 # Parts that are reader comments or consent, where an <article> is one of theirs.
@@ -79,11 +85,24 @@ _WRAPPING = set("form fieldset login notice notices search signup toolbar widget
 _UNSEEN = set("button select option canvas object audio video map".split())
 
 
+def _pieces(word: str) -> list[str]:
+    """The known words that make up ``word``, else the word itself."""
+    if word in _BOILERPLATE or word in _BESIDE or not _COMPOUND.fullmatch(word):
+        return [word]
+    cuts: dict[int, list[str]] = {0: []}
+    for stop in range(1, len(word) + 1):
+        for start in [c for c in cuts if word[c:stop] in _BOILERPLATE or word[c:stop] in _BESIDE]:
+            cuts.setdefault(stop, [*cuts[start], word[start:stop]])
+    return cuts[len(word)]
+
+
 def _named(name: str) -> set[str]:
-    """The boilerplate words of one class name or id, if it names such a part as a whole."""
-    words = {w.lower() for w in _WORDS.findall(name)}
-    own = words & _BOILERPLATE
-    return own if all(w in _BESIDE or w.isdigit() for w in words - own) else set()
+    """The boilerplate words of one class name or id, if it names such a part: as its last word, or beside words of layout only."""
+    words = [piece for w in _WORDS.findall(name) for piece in _pieces(w.lower())]
+    own = set(words) & _BOILERPLATE
+    if not own or _TRAITS.intersection(words):
+        return set()
+    return own if words[-1] in own or all(w in _BESIDE or w.isdigit() for w in words if w not in own) else set()
 
 
 def _barred(tag: str, attributes: str, inside: bool) -> set[str]:
@@ -102,13 +121,20 @@ def _barred(tag: str, attributes: str, inside: bool) -> set[str]:
     return why
 
 
+def _classes(attributes: str) -> str:
+    """Class names for the tag path; those of numbered elements are one."""
+    found = next((m for m in _MARKS.finditer(attributes) if m[1].lower() == "class"), None) if "=" in attributes else None
+    names = sorted((found[2] or found[3] or found[4] or "").split()) if found else []
+    return "".join("." + re.sub(r"[\d/.]+", "0", name) for name in names)
+
+
 class _Page:
     """Blocks of one page: text, path, chain of container numbers; beside them, the numbers of the barred elements around each."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, str, tuple[int, ...]]] = []
         self.within: list[tuple[int, ...]] = []
-        self.stack: list[tuple[str, bool]] = []  # tag, barred
+        self.stack: list[tuple[str, bool, str]] = []  # tag, barred, tag and classes
         self.chain: list[int] = []
         self.containers: list[str] = []
         self.around: list[tuple[int, ...]] = []  # barred elements around each container
@@ -133,16 +159,16 @@ class _Page:
 
     def text(self, raw: str) -> None:
         self.parts.setdefault(self.barred, []).append(raw)
-        if any(tag == "a" for tag, _ in self.stack[-4:]):
+        if any(tag == "a" for tag, *_ in self.stack[-4:]):
             self.links += len(raw.strip())
 
     def flush(self) -> None:
         for bars, parts in self.parts.items():
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                self.blocks.append((text, "/".join(t for t, _ in self.stack if t not in _INLINE), tuple(self.chain)))
+                self.blocks.append((text, "/".join(label for t, _, label in self.stack if t not in _INLINE), tuple(self.chain)))
                 self.within.append(bars)
-                self.linked.append(self.links)
+                self.linked.append(min(self.links, len(text)))
         self.parts, self.links = {}, 0
 
     def open(self) -> None:
@@ -177,7 +203,7 @@ class _Page:
         return out | {b for b, n in held.items() if 2 * n > total}
 
     def pop(self) -> None:
-        tag, barred = self.stack.pop()
+        tag, barred, _ = self.stack.pop()
         if barred:
             self.barred = self.barred[:-1]
         if tag in _CONTAINERS:
@@ -206,7 +232,7 @@ class _Page:
         if tag in _VOID or attributes.endswith("/") and tag not in _CONTAINERS:
             return
         why = _barred(tag, attributes, any(self.containers[c] in ("article", "main") for c in self.chain))
-        self.stack.append((tag, bool(why)))
+        self.stack.append((tag, bool(why), tag + _classes(attributes) if tag not in _INLINE else tag))
         if why:
             self.barred += (len(self.bars),)
             self.bars.append(why)
@@ -218,23 +244,34 @@ class _Page:
     def end(self, tag: str, _: str) -> None:
         if tag not in _INLINE:
             self.flush()
-        if any(t == tag for t, _ in self.stack):
+        if any(t == tag for t, *_ in self.stack):
             while self.stack[-1][0] != tag:
                 self.pop()
             self.pop()
 
 
-def block_scores(blocks: list[tuple[str, str, tuple[int, ...]]]) -> np.ndarray:
-    """Fused and smoothed path ratio of every block."""
+def block_scores(blocks: list[tuple[str, str, tuple[int, ...]]], linked: list[int]) -> np.ndarray:
+    """Fused and smoothed path ratio of every block; ``linked``: characters of each block in links."""
     totals: dict[str, list[int]] = {}
-    for text, path, _ in blocks:
+    for (text, path, _), links in zip(blocks, linked):
         t = totals.setdefault(path, [0, 0, 0])
-        t[0], t[1], t[2] = t[0] + 1, t[1] + len(text), t[2] + len(_PUNCTUATION.findall(text))
+        t[0], t[1], t[2] = t[0] + 1, t[1] + len(text) - links, t[2] + len(_PUNCTUATION.findall(text))
     ratio = {path: ((length / n) * (1 + marks / n)) ** 0.5 for path, (n, length, marks) in totals.items()}
     raw = np.array([ratio[path] for _, path, _ in blocks])
     kernel = np.array([1.0, 2.0, 4.0, 2.0, 1.0])
     weights = np.convolve(np.ones(len(raw)), kernel)[2:-2]
-    return np.convolve(raw, kernel)[2:-2] / weights
+    return np.sqrt(raw * np.convolve(raw, kernel)[2:-2] / weights)
+
+
+def _links(page: _Page, content: np.ndarray) -> np.ndarray:
+    """Blocks that are no content nodes and whose path is mostly links."""
+    totals: dict[str, list[int]] = {}
+    for (text, path, _), links in zip(page.blocks, page.linked):
+        t = totals.setdefault(path, [0, 0])
+        t[0], t[1] = t[0] + len(text), t[1] + links
+    mostly = {path for path, (length, links) in totals.items() if 2 * links > length}
+    plain = lambda leaf: leaf in _PROSE or leaf.partition(".")[0] in _HEADINGS
+    return np.array([path in mostly and not plain(path.rpartition("/")[2]) for _, path, _ in page.blocks]) & ~content
 
 
 def main_text(source: str | None) -> str:
@@ -242,8 +279,11 @@ def main_text(source: str | None) -> str:
     page = _Page(source or "")
     if not page.blocks:
         return ""
-    scores = block_scores(page.blocks)
-    content = scores >= THRESHOLD * scores.std()
+    scores = block_scores(page.blocks, page.linked)
+    content = (scores > 0) & (scores >= THRESHOLD * scores.std())
+    links = _links(page, content)
+    if not content.any():
+        content[:], links[:] = True, False
     mass = np.zeros(len(page.containers) + 1)
     total = 0
     for (text, _, chain), good in zip(page.blocks, content):
@@ -258,7 +298,7 @@ def main_text(source: str | None) -> str:
     kept = [held[0] in chain for _, _, chain in page.blocks]
     if not articles:
         _grow(page, content, held[0], [c for c, tag in enumerate(page.containers) if tag == "main" and mass[c] >= HELD * total], kept)
-    return "\n".join(text for (text, _, _), keep in zip(page.blocks, kept) if keep)
+    return "\n".join(text for (text, _, _), keep, link in zip(page.blocks, kept, links) if keep and not link)
 
 
 def _grow(page: _Page, content: np.ndarray, held: int, mains: list[int], kept: list[bool]) -> None:
@@ -284,7 +324,7 @@ def _grow(page: _Page, content: np.ndarray, held: int, mains: list[int], kept: l
 def _reads(block: tuple[str, str, tuple[int, ...]], content: bool) -> bool:
     """A heading, a paragraph, a sentence or long content, unlike a label."""
     text, path, _ = block
-    return path.rpartition("/")[2] in _PROSE or bool(_SENTENCE.search(text)) or content and len(text) >= LABEL
+    return path.rpartition("/")[2].partition(".")[0] in _PROSE or bool(_SENTENCE.search(text)) or content and len(text) >= LABEL
 
 
 def _extract(batches):

@@ -174,6 +174,49 @@ def test_what_stands_around_a_long_body_counts(source, text):
     assert html_paths.main_text(source) == text
 
 
+NAMES = (
+    "ad-slot google-ad adsbygoogle commentlist comment-respond topnav mainnav footnav pagefooter gdpr-notice cookie-law-info share-tools entry-footer sidebarLeft ad_300 leftsidebar "
+    "promo-box related-posts site-search navbar-top sponsored-links").split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_of_boilerplate_in_and_beside_the_article(name):
+    part = f"<div class='{name}'><p>{PROSE}</p><ul><li>x</ul></div>"
+    assert html_paths.main_text(f"<article><p>{PROSE}</p>{part}<p>End.</p></article>") == f"{PROSE}\nEnd."
+    assert html_paths.main_text(f"<body>{part}<div class='story'><h1>Title</h1>{LONG}</div>{part}") == f"Title\n{MANY}"
+
+
+@pytest.mark.parametrize("name", "has-sidebar no-sidebar with-nav share-price commentary threads uploads add-on research loads adapter".split())
+def test_names_that_only_look_like_boilerplate(name):
+    assert html_paths.main_text(f"<article><p>{PROSE}</p><div class='{name}'>{PROSE}</div></article>") == f"{PROSE}\n{PROSE}"
+
+
+# Parts under names that no list knows: only the ratios of their paths tell them.
+LABELS = "".join(f"<li><a href=/{w}>{w}</a>" for w in ("Alpha", "Beta", "Gamma news"))
+UNKNOWN = [
+    (f"<article><h1>Title</h1><ul class=q7>{LABELS}</ul>{LONG}<div class=zz><a href=/x>Read on</a></div></article>", f"Title\n{MANY}"),
+    (f"<article><h1><a href=/>Title</a></h1>{LONG}<p><a href=/x>A linked paragraph</a></p><ul class=plain><li>Salt<li>Rice</ul><div class=k>{LABELS}</div></article>",
+     f"Title\n{MANY}\nA linked paragraph\nSalt\nRice"),
+    (f"<body><div class=b1>{LABELS}</div><div class=b2><h1>Title</h1><div class=b3>{LABELS}</div>{LONG}<div class=b4><a href=/t>One tale, at length, of all that was</a></div></div>",
+     f"Title\n{MANY}"),
+    (f"<article><table class=d><tr><td>1<td>2<tr><td><a href=/x>n</a><td>Some plain words here</table>{LONG}</article>", f"1\n2\nn\nSome plain words here\n{MANY}"),
+]
+
+
+@pytest.mark.parametrize("source, text", UNKNOWN)
+def test_path_ratios_tell_parts_of_unknown_names(source, text):
+    assert html_paths.main_text(source) == text
+
+
+def test_the_result_depends_on_the_ratios(monkeypatch):
+    monkeypatch.setattr(html_paths, "block_scores", lambda blocks, linked: html_paths.np.ones(len(blocks)))
+    assert sum(html_paths.main_text(source) != text for source, text in UNKNOWN) >= 3
+
+
+def test_pages_of_links_only():
+    assert html_paths.main_text(f"<body><ul>{LABELS}</ul>") == "Alpha\nBeta\nGamma news"
+
+
 def test_distrust_reaches_the_end_of_a_long_chain(spark):
     """Sixty hosts, each linking to the next, the last one blocked: distrust goes back all the way, halving into a loop at the start."""
     n = 60
