@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lagline.operators.build import build_features, evaluate
-from lagline.plans.common import FLIGHTS_SQL, REGISTRY, flights, load, query
-from lagline.plans.evaluation import _blocks_sql
+from lagline.plans.common import FLIGHTS_SQL, REGISTRY, flights, load, query, rounded
+from lagline.plans.evaluation import _at_recall_sql, _blocks_sql
 from lagline.plans.joins import _SIDES_SQL, _latest_sql
 from lagline.plans.windows import _MEAN
 
@@ -43,8 +43,18 @@ def built_table(spark, sf_dir):
         "av_airport_delay", "hourly_flights_origin")
 
 
-@query("built_baseline")
+_MINUTES = range(0, 200, 5)
+_BASELINE_SQL = f"""
+WITH p AS (SELECT role, av_carrier_delay AS s, CASE WHEN CAST(value AS DECIMAL(12,2)) >= 50 THEN 1 ELSE 0 END AS label FROM ({_BUILT_SQL}) b JOIN events USING (event_id)),
+counted AS (SELECT role AS model, c, count(*) FILTER (s >= c AND label = 1) AS tp, count(*) FILTER (s >= c AND label = 0) AS fp, count(*) FILTER (label = 1) AS pos
+  FROM p, (VALUES {", ".join(f"({c}.0::DOUBLE)" for c in _MINUTES)}) v(c) GROUP BY role, c),
+swept AS (SELECT model, c AS "Cutoff", tp * 100.0::DOUBLE / nullif(tp + fp, 0) AS "Precision", tp * 100.0::DOUBLE / nullif(pos, 0) AS "Recall" FROM counted)
+SELECT model AS role, "precision" FROM ({_at_recall_sql("""SELECT * FROM swept WHERE NOT coalesce("Precision" < 1 OR "Recall" < 1 OR "Precision" > 90, false)""")})
+"""
+
+
+@query("built_baseline", _BASELINE_SQL)
 def built_baseline(spark, sf_dir):
     """The carrier's lagged mean delay as a score, rated per role of the built table."""
     rows = _built(spark, sf_dir).withColumn("label", (F.col("delay") >= 50).cast("int"))
-    return evaluate(rows, "av_carrier_delay", "label", range(0, 200, 5), 80.0, ["role"])
+    return rounded(evaluate(rows, "av_carrier_delay", "label", _MINUTES, 80.0, ["role"]), "precision")

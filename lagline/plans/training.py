@@ -1,4 +1,4 @@
-"""Classifiers fitted on the given tables. Fits are iterative, so there is no SQL equivalent."""
+"""Classifiers fitted on the given tables. Fits are iterative: SQL states what must hold of their scores, not the scores."""
 
 from __future__ import annotations
 
@@ -41,6 +41,7 @@ from lagline.operators.range_windows import delay_features
 from lagline.operators.sampling import balance_by_keep
 from lagline.plans import windows  # noqa: F401 - its queries are part of the SQL here
 from lagline.plans.common import REGISTRY, flights, query
+from lagline.plans.evaluation import _blocks_sql
 from lagline.session import materialize, shared_path
 
 CATEGORICAL = ["carrier", "hour", "weekday"]
@@ -95,6 +96,52 @@ def lasso_overfit_check(spark, sf_dir):
     return precision_at_recall(clean_sweep(cutoff_sweep(both, "prob_pos", "label", CUTOFFS, ["part"])), 80.0, ["part"])
 
 
+_LABELLED_SQL = "SELECT fold, role, CASE WHEN CAST(value AS DECIMAL(12,2)) >= 50 THEN 1 ELSE 0 END AS label FROM ({}) JOIN events USING (event_id)"
+
+
+@query(
+    "fold_fit_totals",
+    f"""SELECT role AS part, CAST(fold AS INTEGER) AS fold, count(*) AS n, CAST(sum(label) AS BIGINT) AS "TP", CAST(sum(1 - label) AS BIGINT) AS "FP", true AS probability
+FROM ({_LABELLED_SQL.format(_blocks_sql('events', 'event_id', 'ts', 3, 0.8))}) GROUP BY 1, 2""",
+)
+def fold_fit_totals(spark, sf_dir):
+    """Lasso per fold, every training and validation row of a fold scored once: at cutoff 0 the sweep counts its classes."""
+    _, folds = _folds(spark, sf_dir)
+    _, scored, trained = fit_folds(folds, lambda _: [*feature_stages(CATEGORICAL, NUMERIC), lasso_regression()], keep=KEEP)
+    both = scored.withColumn("part", F.lit("validation")).unionByName(trained.withColumn("part", F.lit("train")))
+    keys = ["part", "fold"]
+    swept = cutoff_sweep(both, "prob_pos", "label", (0.0,), keys).select(*keys, "TP", "FP")
+    counts = both.groupBy(*keys).agg(F.countDistinct("event_id").alias("n"), F.bool_and(F.col("prob_pos").between(0, 1)).alias("probability"))
+    return counts.join(swept, keys).select(*keys, "n", "TP", "FP", "probability")
+
+
+@query(
+    "fit_confusion_totals",
+    f"""SELECT model, count(*) AS n, CAST(sum(label) AS BIGINT) AS positives, CAST(sum(1 - label) AS BIGINT) AS negatives, true AS agrees
+FROM ({_LABELLED_SQL.format(_blocks_sql('events', 'event_id', 'ts', 1, 0.8))}), (VALUES ('lasso'), ('tree'), ('forest'), ('perceptron')) m(model)
+WHERE role = 'validation' GROUP BY 1""",
+)
+def fit_confusion_totals(spark, sf_dir):
+    """Every kind of classifier on one fold: hits and misses add up to the classes, and the prediction is the likelier class."""
+    _, folds = _folds(spark, sf_dir, 1)
+    (train, validation), = folds
+    kinds = {
+        "lasso": [*feature_stages(CATEGORICAL, NUMERIC), lasso_regression()],
+        "tree": [*feature_stages(CATEGORICAL, NUMERIC, scaled=False, one_hot=False), decision_tree()],
+        "forest": [*forest_features(), random_forest(**FORESTS[2])],
+        "perceptron": [*feature_stages([], NUMERIC), perceptron(len(NUMERIC), HIDDEN_LAYERS[1], maxIter=10)],
+    }
+    scored = None
+    for name, stages in kinds.items():
+        rows = score(fit_stages(train, stages), validation, keep=["event_id", "label"]).withColumn("model", F.lit(name))
+        scored = rows if scored is None else scored.unionByName(rows)
+    n = lambda said, is_: F.count(F.when((F.col("prediction") == said) & (F.col("label") == is_), 1))
+    totals = scored.groupBy("model").agg(
+        F.countDistinct("event_id").alias("n"), n(1, 1).alias("tp"), n(1, 0).alias("fp"), n(0, 1).alias("fn"), n(0, 0).alias("tn"),
+        F.bool_and(F.when(F.col("prediction") == 1, F.col("prob_pos") >= 0.5).otherwise(F.col("prob_pos") <= 0.5)).alias("agrees"))
+    return totals.select("model", "n", (F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"), "agrees")
+
+
 @query("lasso_stable_features")
 def lasso_stable_features(spark, sf_dir):
     """Features that the published lasso keeps in at least four of five blocks (none, if the data carry no signal)."""
@@ -218,6 +265,26 @@ def principal_components_query(spark, sf_dir):
     return parts
 
 
+_CORRELATIONS_SQL = " + ".join(f"power(coalesce(corr({a}, {b}), 0), 2)" for a in NUMERIC for b in NUMERIC)
+
+
+@query(
+    "component_variances",
+    f"""SELECT round(CAST({" + ".join(f"(stddev_samp({c}) > 0)::INTEGER" for c in NUMERIC)} AS DOUBLE), 6) AS total, round({_CORRELATIONS_SQL}, 6) AS total_squared, true AS descending
+FROM (SELECT {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMERIC)} FROM ({REGISTRY['delay_features'].sql}))""",
+)
+def component_variances(spark, sf_dir):
+    """All principal components: their variances add up to those of the columns, their squares to the squared correlations."""
+    rows = materialize(training_rows(spark, sf_dir), "training")
+    _, projected = principal_components(rows, NUMERIC, len(NUMERIC))
+    part = vector_to_array("components")
+    spread = projected.agg(F.array(*(F.var_samp(part[i]) for i in range(len(NUMERIC)))).alias("v"))
+    add = lambda of: F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + of(x)), 6)
+    return spread.select(
+        add(lambda x: x).alias("total"), add(lambda x: x * x).alias("total_squared"),
+        F.forall(F.sequence(F.lit(1), F.lit(len(NUMERIC) - 1)), lambda i: F.get("v", i) <= F.get("v", i - 1) + 1e-9).alias("descending"))
+
+
 @query("model_round_trip", "SELECT event_id, CASE WHEN value >= 50 THEN 1.0::DOUBLE ELSE 0.0 END AS label, 0.0::DOUBLE AS difference, true AS probability FROM events")
 def model_round_trip(spark, sf_dir):
     """A fitted model saved and loaded: every row is scored the same by both, with a probability."""
