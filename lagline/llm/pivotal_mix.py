@@ -6,8 +6,8 @@ them is decided. Mass is counted in words, so each pass keeps the source's expec
 two directions it takes is random with the probabilities that leave every document's expectation unchanged. One
 document at most stays undecided, so a source ends within one document's size of its target.
 
-The passing runs in a reduction tree: groups of some thousand documents of a source (dealt by hash, so a
-source of any size is split) each leave one undecided document, those meet in groups again, until
+The passing runs in a reduction tree: groups of some thousand documents of a source (dealt by hash of id and text, so a
+source of any size is split; rows of one id and text that would fill a group alone are dealt by their row numbers as well) each leave one undecided document, those meet in groups again, until
 each source has one, which is rounded at random. Random numbers are hashes of the id and the level, so reruns agree.
 
 Targets: sources by code point, null last, weigh 3, 1, 2, repeating, and share ``share`` of all sizes; a target stops
@@ -104,6 +104,13 @@ def _level(level: int):
     return run
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` with a ``cell`` below ``groups``: by ``order``, and by ``row`` as well where an order has more rows than a group."""
+    repeated = store(rows.groupBy("order").count().where(F.col("count") > GROUP).select(F.col("order").alias("of"), F.ceil(F.col("count") / GROUP).alias("spread")), "repeated")
+    share = F.pmod(F.xxhash64("row"), F.col("spread"))  # null, and so without effect on the hash, for other rows
+    return rows.join(repeated, F.col("order") == F.col("of"), "left").withColumn("cell", F.pmod(F.xxhash64("order", share), "groups")).drop("of", "spread")
+
+
 def copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None,
 ) -> DataFrame:
@@ -129,7 +136,7 @@ def copies(
     planned = sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     # A random order that reruns share: hash of id and text, not of where a row was read.
     order = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_key").cast("string")), 256)
-    rows = planned.withColumns({"order": order, "p": F.col("part")}).withColumn("cell", F.pmod(F.xxhash64("order"), "groups"))
+    rows = dealt(planned.withColumns({"order": order, "p": F.col("part")}))
 
     named = ("doc_id", "source", "text_key", "row", "size", "order", "p", "cell")
     shape = T.StructType([*(rows.schema[c] for c in named), T.StructField("open", T.BooleanType())])

@@ -83,6 +83,20 @@ def test_mix_of_odd_rows(spark):
     assert pivotal_mix.mix(docs_of(spark, [])).count() == 0 == pivotal_mix.copies(docs_of(spark, [])).count()
 
 
+def test_repeated_rows_are_split_among_groups(spark, monkeypatch):
+    monkeypatch.setattr(pivotal_mix, "GROUP", 32)
+    rows = [(7, "same words again", "a")] * 900 + [(None, "no id here", "a")] * 900 + [(i, f"word {i}", "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    numbered = docs.select(F.concat_ws("|", "source", "text").alias("order"), F.monotonically_increasing_id().alias("row"), F.lit(60).cast("long").alias("groups"))
+    sizes = [r["count"] for r in pivotal_mix.dealt(numbered).groupBy("cell").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 200
+    got = pivotal_mix.copies(docs).collect()
+    assert len(got) == len(rows) and len({r.row for r in got}) == len(rows)
+    for source in "ab":
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= max(r.size for r in mine)
+
+
 def test_flow_moves_the_fewest_bytes():
     rng = random.Random(2)
     for _ in range(200):
