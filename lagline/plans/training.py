@@ -265,7 +265,8 @@ def principal_components_query(spark, sf_dir):
     return parts
 
 
-_CORRELATIONS_SQL = " + ".join(f"power(coalesce(corr({a}, {b}), 0), 2)" for a in NUMERIC for b in NUMERIC)
+# A column of one value has no correlation and adds none.
+_CORRELATIONS_SQL = " + ".join(f"power(coalesce(nullif(corr({a}, {b}), 'nan'::DOUBLE), 0), 2)" for a in NUMERIC for b in NUMERIC)
 
 
 @query(
