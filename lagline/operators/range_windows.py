@@ -33,6 +33,8 @@ DAY = 24 * HOUR
 # Width of the bins of short frames, and about how many bins a long one has.
 _DEFAULT_BIN = HOUR
 _BINS_PER_FRAME = 1000
+# Copies of rows that one task sorts, when cells are spread evenly.
+_ROWS_PER_TASK = 400_000
 _WHOLE_BINS = -(2**62)
 _TIMELESS = -(2**61)
 
@@ -198,6 +200,12 @@ def _add_for_key(
         inner = bins.select(*key_names, "__grid", "__p", F.col("__p").alias("__s"), F.lit(_WHOLE_BINS).alias("__bound"), *inner_cols)
         sent = sent.unionByName(inner.filter(F.col("__grid") == 0).drop("__grid"), allowMissingColumns=True)
 
+    # Tasks grow in number with the rows and not in size: Spark would join shuffled parts by their compressed bytes, far below what sorts hold.
+    # Fewer rows than one task takes are left to it.
+    parts = base.count() * len(bounds) // _ROWS_PER_TASK + 1
+    if parts > 1:
+        sent = sent.repartition(parts, "__p", *key_names)
+
     # The bin leads: it tells cells apart faster than the key, of which many rows may share one.
     cell = W.partitionBy("__p", *key_names)
     upward, downward = cell.orderBy(F.col("__s").asc()), cell.orderBy(F.col("__s").desc())

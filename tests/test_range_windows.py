@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lagline.operators import range_windows
 from lagline.operators.range_windows import DAY, HOUR, RangeAgg, choose_bin, delay_features, lagged_last, range_features, rolling_stats, trailing_rate
 
 BASE = dt.datetime(2024, 3, 1, 12, 0, 0)
@@ -164,3 +165,13 @@ def test_hot_key_is_spread_over_cells(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(__k0" in plan and "__p" in plan and "SinglePartition" not in plan
     assert df.agg(F.sum("n")).first()[0] == sum(brute(rows, "count", -6 * HOUR, -2 * HOUR).values())
+
+
+def test_tasks_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(range_windows, "_ROWS_PER_TASK", 100, raising=False)
+    rows = [("abc"[i % 3], i * 600, float(i % 11)) for i in range(600)]
+    got = rolling_stats(frame(spark, rows), "k", "ts", ["v"], (3, 6, 12))
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 600 and len(sizes) > 10 and max(sizes) < 100
+    want = {h: brute(rows, "avg", -h * HOUR, 0) for h in (3, 6, 12)}
+    assert all(r[f"{h}h_avg_v"] == pytest.approx(want[h][r.id]) for r in got.collect() for h in want)
