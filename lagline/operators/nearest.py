@@ -4,9 +4,11 @@ Places are points on the unit sphere, so neither the poles nor the date line is
 of them grows with the distance along the ground. The stations form a tree of cubes: a cube with more than ``LEAF`` stations is divided into
 4 x 4 x 4, so a crowded one is split however many stations it has. Every node keeps the box that its stations fill.
 
-Points are reduced to distinct coordinates and go down the tree together, one equi-join per level: a node is dropped
-for a point when even its nearest corner is farther than the farthest corner of another node. Only the stations of the few leaves
-left are measured. No pair of tables is crossed, and no distance is assumed: a lonely point just keeps the nodes it needs.
+Points are reduced to distinct coordinates and go down the tree twice, one equi-join per level. The first time each takes only the
+nearest box, so it stays one row, and the stations of the leaf it ends in give a length that the answer cannot exceed. The second time it
+takes every box within that length, which are few, as the length is that of a real station; nothing is gathered per point on the way.
+Only the stations of these leaves are measured. No pair of tables is crossed, and no distance is assumed: a lonely point just keeps the
+nodes it needs.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ LEAF = 32
 # Each level divides a cube by four in each direction; at the last one a cube is about 12 m wide.
 LEVELS = 10
 _BITS = 2 * LEVELS
-# Boxes are compared with this much room, far above rounding and far below a millimetre on the ground.
-_ROOM = 1e-10
+# The cubes of so many levels that meet the sphere are some 20,000 at most, whatever the stations: they are broadcast.
+_TOP = 3
 _AXES = "xyz"
+# Points that one task takes down the tree.
+_POINTS = 20_000
 
 
 def _on_sphere(lat: Column, lon: Column) -> dict[str, Column]:
@@ -47,7 +51,7 @@ def _cell(level: int | Column) -> Column:
 
 
 def station_tree(stations: DataFrame, station: str, lat: str, lon: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, leaves): ``level, cell, parent, leaf, box`` of every node, and ``level, cell, station, lat, lon`` of the stations in the leaves.
+    """(nodes, leaves): ``level, cell, parent, leaf, box`` of every node, and ``level, cell, station, lat, lon, x, y, z`` of the stations in the leaves.
 
     Stations at one place are one, under the smallest id; those without usable coordinates are left out.
     """
@@ -62,7 +66,7 @@ def station_tree(stations: DataFrame, station: str, lat: str, lon: str) -> tuple
     used = nodes.join(full, (F.col("level") == F.col("l")) & (F.col("parent") == F.col("p")), "left").where((F.col("level") == 1) | F.col("p").isNotNull())
     nodes = materialize(used.select("level", "cell", "parent", ((F.col("n") <= LEAF) | (F.col("level") == LEVELS)).alias("leaf"), "box"), "nodes")
     ends = nodes.where("leaf").select(F.col("level").alias("l"), F.col("cell").alias("c"))
-    listed = placed.select("station", "lat", "lon", levels, "x", "y", "z").select("station", "lat", "lon", "level", _cell(F.col("level")).alias("cell"))
+    listed = placed.select("station", "lat", "lon", levels, "x", "y", "z").select("station", "lat", "lon", "level", _cell(F.col("level")).alias("cell"), *_AXES)
     leaves = listed.join(ends, (F.col("level") == F.col("l")) & (F.col("cell") == F.col("c")), "left_semi")
     return nodes, leaves
 
@@ -78,6 +82,41 @@ def _reach(box: Column) -> tuple[Column, Column]:
     return near, far
 
 
+def _below(nodes: DataFrame, level: int) -> DataFrame:
+    """The nodes of the level after ``level`` as ``child``, with the level and the cell of their parents as ``up`` and ``in``."""
+    below = nodes.where(F.col("level") == level + 1).select((F.col("level") - 1).alias("up"), F.col("parent").alias("in"), F.struct("level", "cell", "box").alias("child"))
+    return F.broadcast(below) if level < _TOP else below
+
+
+def _inside(up: str = "level", cell: str = "cell") -> Column:
+    return (F.col(up) == F.col("up")) & (F.col(cell) == F.col("in"))
+
+
+def _apart(one: str, other: str) -> Column:
+    """Squared straight-line distance of two places whose axes have these prefixes."""
+    gap = lambda a: F.col(one + a) - F.col(other + a)
+    return sum((gap(a) * gap(a) for a in _AXES[1:]), gap("x") * gap("x"))
+
+
+def _bounded(asked: DataFrame, key: list[str], nodes: DataFrame, spots: DataFrame, tops: Column, depth: int) -> DataFrame:
+    """``key`` with ``reach``, a squared straight-line distance within which the nearest station lies."""
+    # The nearest part is the least of one number, its squared distance above the six bits of its place in the cube.
+    places = [(2 * _BITS - _BITS * i, 4 - 2 * i) for i in range(len(_AXES))]
+    part = sum((F.shiftleft(F.shiftright(F.col("child.cell"), bits).bitwiseAND(3), six) for bits, six in places), F.lit(0).cast("long"))
+    near, _ = _reach(F.col("child.box"))
+    rank = F.shiftleft(F.floor(near * 2.0**50).cast("long"), 6) + part
+    cell = sum((F.shiftleft(F.shiftright(F.col("rank"), six).bitwiseAND(3), bits) for bits, six in places), F.col("cell") * 4)
+    at = asked.select(*key, F.lit(0).cast("long").alias("cell"), F.explode(tops).alias("child"))
+    at = at.groupBy(*key, "cell").agg(F.min(rank).alias("rank")).select(*key, F.lit(1).alias("level"), cell.alias("cell"))
+    for level in range(1, depth):
+        met = at.join(_below(nodes, level), _inside(), "left").groupBy(*key, "level", "cell").agg(F.min(rank).alias("rank"))
+        # A leaf has nothing below it and stays as it is.
+        at = met.select(*key, F.when(F.col("rank").isNull(), F.col("level")).otherwise(F.col("level") + 1).alias("level"), F.when(F.col("rank").isNull(), F.col("cell")).otherwise(cell).alias("cell"))
+    met = at.join(spots, ["level", "cell"]).groupBy(*key).agg(F.min(_apart("", "s_")).alias("bound"))
+    # Room for stations that are a millimetre farther, which are rounded to the same distance, and for rounding itself.
+    return met.select(*key, (F.col("bound") + F.sqrt("bound") * 1e-9 + 1e-14).alias("reach"))
+
+
 def nearest_station(
     points: DataFrame, stations: DataFrame, lat: str, lon: str, station: str, station_lat: str, station_lon: str,
     name: str = "nearest", distance: str = "distance_km",
@@ -88,31 +127,24 @@ def nearest_station(
     """
     nodes, leaves = station_tree(stations, station, station_lat, station_lon)
     depth = nodes.agg(F.max("level")).first()[0] or 0
-    asked = points.where(_usable(lat, lon)).select(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")).distinct()
-    node = F.struct("level", "cell", "leaf", "box")
-    # The first level has 64 cubes at most; they come as one array.
-    tops = nodes.where("level = 1").agg(F.collect_list(node).alias("tops")).scalar()
-    open_ = asked.withColumns(_on_sphere(F.col("lat"), F.col("lon"))).select("*", F.explode(tops).alias("node"))
-    key = ["lat", "lon", *_AXES]
-    for level in range(1, depth + 1):
-        near, far = _reach(F.col("node.box"))
-        measured = open_.select(*key, F.struct("node.level", "node.cell", "node.leaf", near.alias("near")).alias("node"), far.alias("far"))
-        gathered = measured.groupBy(*key).agg(F.collect_list("node").alias("nodes"), F.min("far").alias("best"))
-        kept = gathered.select(*key, F.explode(F.filter("nodes", lambda n: n["near"] <= F.col("best") + _ROOM)).alias("node"))
-        if level == depth:
-            open_ = kept.select(*key, "node.level", "node.cell")
-            break
-        below = nodes.where(F.col("level") == level + 1).select(F.col("parent").alias("p"), node.alias("child"))
-        down = F.when(~F.col("node.leaf"), F.col("node.cell"))
-        # Leaves of this level stay as they are, with their box again.
-        again = nodes.where("leaf").select(F.col("level").alias("l"), F.col("cell").alias("c"), node.alias("same"))
-        open_ = kept.join(below, down == F.col("p"), "left").join(
-            again, (F.col("node.level") == F.col("l")) & (F.col("node.cell") == F.col("c")) & F.col("node.leaf"), "left").select(
-            *key, F.coalesce("child", "same").alias("node"))
     if not depth:
         empty = stations.schema[station].dataType
         return points.select("*", F.lit(None).cast(empty).alias(name), F.lit(None).cast("double").alias(distance))
-    measured = open_.select("lat", "lon", "level", "cell").join(leaves.withColumnsRenamed({"lat": "s_lat", "lon": "s_lon"}), ["level", "cell"])
+    asked = points.where(_usable(lat, lon)).select(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
+    # Tasks grow in number and not in size; the steps per point keep this layout as long as nodes are broadcast.
+    asked = asked.repartition(asked.count() // _POINTS + 1, "lat", "lon").distinct()
+    asked = asked.withColumns(_on_sphere(F.col("lat"), F.col("lon")))
+    key = ["lat", "lon", *_AXES]
+    # The first level has 64 cubes at most; they come as one array.
+    tops = nodes.where("level = 1").agg(F.collect_list(F.struct("level", "cell", "box")).alias("tops")).scalar()
+    spots = leaves.withColumnsRenamed({c: f"s_{c}" for c in ("lat", "lon", *_AXES)})
+    near, _ = _reach(F.col("child.box"))
+    started = _bounded(asked, key, nodes, spots, tops, depth).select(*key, "reach", F.explode(tops).alias("child"))
+    open_ = started.where(near <= F.col("reach")).select(*key, "reach", "child.level", "child.cell")
+    for level in range(1, depth):
+        met = open_.join(_below(nodes, level), _inside(), "left").where(F.col("child").isNull() | (near <= F.col("reach")))
+        open_ = met.select(*key, "reach", *(F.coalesce(F.col(f"child.{c}"), F.col(c)).alias(c) for c in ("level", "cell")))
+    measured = open_.join(spots, ["level", "cell"]).where(_apart("", "s_") <= F.col("reach"))
     length = F.round(haversine_km("lat", "lon", "s_lat", "s_lon"), 6)
     best = measured.groupBy(F.col("lat").alias("__lat"), F.col("lon").alias("__lon")).agg(F.min(F.struct(length.alias("km"), F.col("station"))).alias("__best"))
     joined = points.join(best, (F.col(lat).cast("double") == F.col("__lat")) & (F.col(lon).cast("double") == F.col("__lon")), "left")

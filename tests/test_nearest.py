@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 
 import pytest
 
@@ -55,3 +56,12 @@ def test_plan_crosses_nothing(spark):
     points = spark.createDataFrame([(i, rng.uniform(-9, 9), rng.uniform(-9, 9)) for i in range(30)], "n int, lat double, lon double")
     plan = nearest.nearest_station(points, stations, "lat", "lon", "id", "la", "lo")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_nothing_is_gathered_per_point(spark):
+    rng = random.Random(3)
+    at = lambda n: [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(n)]
+    stations = spark.createDataFrame(at(300), "id int, la double, lo double")
+    found = nearest.nearest_station(spark.createDataFrame(at(50), "n int, lat double, lon double"), stations, "lat", "lon", "id", "la", "lo")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"ObjectHashAggregate\(keys=\[[^\]]*lat#", plan)
