@@ -42,7 +42,7 @@ from lagline.operators.sampling import balance_by_keep
 from lagline.plans import windows  # noqa: F401 - its queries are part of the SQL here
 from lagline.plans.common import REGISTRY, flights, query
 from lagline.plans.evaluation import _blocks_sql
-from lagline.session import materialize, shared_path
+from lagline.session import materialize, materialize_even, shared_path
 
 CATEGORICAL = ["carrier", "hour", "weekday"]
 NUMERIC = [
@@ -75,6 +75,12 @@ def _folds(spark, sf_dir, blocks: int = 3):
     return rows, block_frames(rows, "ts", blocks, 0.8)
 
 
+def _single_fold(spark, sf_dir):
+    _, folds = _folds(spark, sf_dir, 1)
+    (train, validation), = folds
+    return materialize_even(train, "train"), validation
+
+
 def _balance(df):
     return balance_by_keep(df, "label", hash_score("event_id"), 0.5)
 
@@ -123,8 +129,7 @@ WHERE role = 'validation' GROUP BY 1""",
 )
 def fit_confusion_totals(spark, sf_dir):
     """Every kind of classifier on one fold: hits and misses add up to the classes, and the prediction is the likelier class."""
-    _, folds = _folds(spark, sf_dir, 1)
-    (train, validation), = folds
+    train, validation = _single_fold(spark, sf_dir)
     kinds = {
         "lasso": [*feature_stages(CATEGORICAL, NUMERIC), lasso_regression()],
         "tree": [*feature_stages(CATEGORICAL, NUMERIC, scaled=False, one_hot=False), decision_tree()],
@@ -196,8 +201,7 @@ def feature_vectors(spark, sf_dir):
 
 @query("decision_tree_metrics")
 def decision_tree_metrics(spark, sf_dir):
-    _, folds = _folds(spark, sf_dir, 1)
-    (train, validation), = folds
+    train, validation = _single_fold(spark, sf_dir)
     model = fit_stages(train, [*feature_stages(CATEGORICAL, NUMERIC, scaled=False, one_hot=False), decision_tree()])
     return classification_metrics(score(model, validation, keep=KEEP), "prediction", "label")
 
@@ -205,8 +209,7 @@ def decision_tree_metrics(spark, sf_dir):
 @query("forest_metrics")
 def forest_metrics(spark, sf_dir):
     """The three published forest settings, one line of metrics each."""
-    _, folds = _folds(spark, sf_dir, 1)
-    (train, validation), = folds
+    train, validation = _single_fold(spark, sf_dir)
     result = None
     for i, settings in enumerate(FORESTS):
         model = fit_stages(train, [*forest_features(), random_forest(**settings)])
@@ -218,8 +221,7 @@ def forest_metrics(spark, sf_dir):
 @query("forest_importances")
 def forest_importances(spark, sf_dir):
     """The most important features of a forest."""
-    _, folds = _folds(spark, sf_dir, 1)
-    (train, _), = folds
+    train, _ = _single_fold(spark, sf_dir)
     model = fit_stages(train, [*forest_features(), random_forest(**FORESTS[0])])
     return top_features(importance_table(spark, model, model.transform(train)), 20)
 
@@ -235,8 +237,7 @@ def forest_grid(spark, sf_dir):
 @query("final_forest_metrics")
 def final_forest_metrics(spark, sf_dir):
     """The forest of the final model."""
-    _, folds = _folds(spark, sf_dir, 1)
-    (train, validation), = folds
+    train, validation = _single_fold(spark, sf_dir)
     model = fit_stages(train, [*feature_stages(CATEGORICAL, NUMERIC, scaled=False, one_hot=False), random_forest(**FINAL_FOREST)])
     return classification_metrics(score(model, validation, keep=KEEP), "prediction", "label")
 
@@ -244,8 +245,7 @@ def final_forest_metrics(spark, sf_dir):
 @query("perceptron_layouts")
 def perceptron_layouts(spark, sf_dir):
     """The four published layouts and the wide one, on the numeric features."""
-    _, folds = _folds(spark, sf_dir, 1)
-    (train, validation), = folds
+    train, validation = _single_fold(spark, sf_dir)
     swept = None
     for i, hidden in enumerate((*HIDDEN_LAYERS, wide_layers(len(NUMERIC)))):
         model = fit_stages(train, [*feature_stages([], NUMERIC), perceptron(len(NUMERIC), hidden, maxIter=20 if i == len(HIDDEN_LAYERS) else 50)])

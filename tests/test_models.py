@@ -11,6 +11,7 @@ from lagline.models.evaluate import cutoff_sweep
 from lagline.models.features import base_levels, feature_map, feature_stages, level_index, principal_components
 from lagline.models.selection import coefficient_table, importance_table, stable_features, top_features
 from lagline.operators.folds import block_frames
+from lagline.session import materialize_even
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +72,20 @@ def test_components_and_levels(spark, rows):
     model, projected = principal_components(rows, ["x", "noise"], 2)
     assert sum(model.stages[-1].explainedVariance) == pytest.approx(1.0) and projected.count() == rows.count()
     assert [tuple(r) for r in level_index(rows, "carrier").orderBy("idx").collect()] == [("AA", 0.0), ("DL", 1.0), ("WN", 2.0)]
+
+
+def test_forest_keeps_nodes_of_rows_and_grows_the_same_trees(rows):
+    plain = feature_stages(["carrier"], ["x", "noise"], scaled=False, one_hot=False)
+    kept = random_forest(numTrees=5, maxDepth=8)
+    assert kept.getCacheNodeIds()
+    trees = [fit_stages(rows, [*plain, c]).stages[-1].toDebugString.split("\n", 1)[1] for c in (kept, random_forest(numTrees=5, maxDepth=8, cacheNodeIds=False))]
+    assert trees[0] == trees[1]
+
+
+def test_training_rows_are_dealt_evenly(spark, rows):
+    lopsided = spark.range(120_000, numPartitions=1).unionByName(spark.range(120_000, 121_000, numPartitions=8))
+    even = materialize_even(lopsided)
+    sizes = [r["count"] for r in even.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) < 10
+    assert even.distinct().count() == 121_000
+    assert materialize_even(rows.coalesce(1)).rdd.getNumPartitions() == 1
