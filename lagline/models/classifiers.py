@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lagline.functions.scalars import positive_probability
 from lagline.models.evaluate import cutoff_sweep, precision_at_recall, ranking_quality
-from lagline.session import materialize, shared_path
+from lagline.session import materialize, materialize_even, shared_path
 
 # Settings of the published models.
 LASSO = {"maxIter": 5, "regParam": 0.005, "elasticNetParam": 1.0}
@@ -92,7 +92,7 @@ def fit_folds(
     """
     models, scored, trained = [], None, None
     for i, (train, validation) in enumerate(folds):
-        rows = materialize(balance(train) if balance else train)
+        rows = materialize_even(balance(train) if balance else train)
         model = fit_stages(rows, make_stages(rows))
         models.append(model)
         new = score(model, validation, keep=keep).withColumn("fold", F.lit(i))
@@ -124,7 +124,7 @@ def grid_search(
     for train, validation in folds:
         rows = materialize(train)
         fitted = fit_stages(rows, features)
-        prepared.append(tuple(materialize(fitted.transform(part).select("features", label)) for part in (rows, validation)))
+        prepared.append(tuple(write(fitted.transform(part).select("features", label)) for write, part in ((materialize_even, rows), (materialize, validation))))
     spark, names = folds[0][0].sparkSession, list(grid)
     path = shared_path(spark, "grid-scores")
 

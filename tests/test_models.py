@@ -89,3 +89,17 @@ def test_training_rows_are_dealt_evenly(spark, rows):
     assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) < 10
     assert even.distinct().count() == 121_000
     assert materialize_even(rows.coalesce(1)).rdd.getNumPartitions() == 1
+
+
+def test_folds_and_grid_fit_on_even_rows(spark, monkeypatch):
+    from lagline.models import classifiers
+
+    seen = []
+    monkeypatch.setattr(classifiers, "fit_stages", lambda train, stages, plain=classifiers.fit_stages: seen.append(train.rdd.getNumPartitions()) or plain(train, stages))
+    many = spark.range(130_000, numPartitions=1).select(
+        "id", F.timestamp_seconds("id").alias("ts"), (F.col("id") % 97).cast("double").alias("x"), (F.col("id") % 97 > 40).cast("double").alias("label"))
+    fold = [(many, many.limit(500))]
+    fit_folds(fold, lambda _: [*feature_stages([], ["x"]), lasso_regression()], keep=["id", "label"])
+    assert seen == [4]
+    grid_search(fold, feature_stages([], ["x"], scaled=False), lambda s: random_forest(**s), {"numTrees": (2,), "maxDepth": (2,)}, "label", [0.5])
+    assert seen[-1] == 4
