@@ -304,7 +304,7 @@ def trained_ensemble(spark, sf_dir):
     """Perceptron, lasso and forest trained on one fold, joined on their key and weighted."""
     _, folds = _folds(spark, sf_dir, 1)
     (train, validation), = folds
-    train = materialize(_balance(train), "balanced")
+    train = materialize_even(_balance(train), "balanced")
     stages = {
         "mlp_prob_pos": [*feature_stages([], NUMERIC), perceptron(len(NUMERIC), (4, 4))],
         "eng_lr_prob_pos": [*feature_stages(CATEGORICAL, NUMERIC), lasso_regression()],
