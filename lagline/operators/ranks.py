@@ -73,7 +73,9 @@ def running_sums(counts: DataFrame, col: str, names: Sequence[str], keys: Sequen
         ranged = ranged.withColumn("__range", F.lit(0))
     totals = ranged.groupBy(*keys, "__range").agg(*(F.sum(n).alias(f"__t_{n}") for n in names))
     earlier = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__range", *(F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(n) for n in names), F.lit(0).alias("__order"))
+    # The first range starts at nothing, and without others no totals need be added up.
+    start = lambda n: F.coalesce(F.sum(n).over(earlier), F.lit(0)) if ranges > 1 else F.lit(0).cast(totals.schema[n].dataType)
+    offsets = totals.select(*keys, "__range", *(start(f"__t_{n}").alias(n) for n in names), F.lit(0).alias("__order"))
     stacked = ranged.withColumn("__order", F.lit(1)).unionByName(offsets, allowMissingColumns=True)
     running = W.partitionBy(*keys, "__range").orderBy("__order", F.col(col).asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
     ranked = stacked.withColumns({n + suffix: F.sum(n).over(running) for n in names})
