@@ -14,11 +14,13 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagline.functions.scalars import positive_probability
 from lagline.models.evaluate import cutoff_sweep, precision_at_recall, ranking_quality
+from lagline.models.trees import can_cut, cut_forest
 from lagline.session import materialize, materialize_even, shared_path
 
 # Settings of the published models.
@@ -102,6 +104,17 @@ def fit_folds(
     return models, scored, trained
 
 
+def _same_but_depth(classifiers: Sequence) -> list[list[int]]:
+    """Positions of classifiers in groups: forests that differ in depth only, the deepest first; any other classifier alone."""
+    groups = {}
+    for i, classifier in enumerate(classifiers):
+        others = i
+        if isinstance(classifier, RandomForestClassifier):
+            others = frozenset((param.name, repr(value)) for param, value in classifier.extractParamMap().items() if param.name != "maxDepth")
+        groups.setdefault(others, []).append(i)
+    return [sorted(group, key=lambda i: -classifiers[i].getMaxDepth()) if len(group) > 1 else group for group in groups.values()]
+
+
 def grid_search(
     folds: Sequence[tuple[DataFrame, DataFrame]],
     features: Sequence,
@@ -115,37 +128,54 @@ def grid_search(
     """(settings..., precision, auc): every combination of ``grid`` rated on all blocked folds.
 
     A combination is rated over the stacked validation rows of its fits, by the precision at the given recall and by the area under the
-    curve. Feature stages do not depend on the grid: they are fitted once per fold and their rows written. At most ``parallel`` fits run at once, each in a
+    curve. Feature stages do not depend on the grid: they are fitted once per fold and their rows written. Forests that differ in depth only
+    are one fit: the shallower ones are the deepest, cut where their own fits would have ended. At most ``parallel`` fits run at once, each in a
     scheduler pool of its own, so that one fit's last tasks do not idle the cluster; every fit is distributed, and holds at most its
-    model on the driver. The first error ends those not yet begun. Scores are written as (settings, label, score), and one pass over them
-    rates all combinations.
+    model on the driver. Fits run fold by fold, the grid's last settings first, so large fits keep their rows in memory beside small ones.
+    The first error ends those not yet begun. Scores are written as (settings, label, score), and one pass over them rates all combinations.
     """
-    prepared = []
-    for train, validation in folds:
+    spark, names, combinations = folds[0][0].sparkSession, list(grid), list(product(*grid.values()))
+    path = shared_path(spark, "grid-scores")
+    make = lambda i: make_classifier(dict(zip(names, combinations[i])))
+
+    def prepare(fold) -> tuple[DataFrame, DataFrame]:
+        train, validation = fold
         rows = materialize(train)
         fitted = fit_stages(rows, features)
-        prepared.append(tuple(write(fitted.transform(part).select("features", label)) for write, part in ((materialize_even, rows), (materialize, validation))))
-    spark, names = folds[0][0].sparkSession, list(grid)
-    path = shared_path(spark, "grid-scores")
+        vectors = lambda part: fitted.transform(part).select("features", label)
+        return materialize_even(vectors(rows), near=[vector_to_array("features"), label]), materialize(vectors(validation))
 
     def rate(task) -> None:
-        number, (values, (train, validation)) = task
+        number, ((at, (train, validation)), group) = task
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{number % parallel}")
         try:
-            scored = score(fit_stages(train, [make_classifier(dict(zip(names, values)))]), validation, keep=[label])
-            scored.select(*(F.lit(v).alias(n) for n, v in zip(names, values)), label, "prob_pos").write.parquet(f"{path}/fit={number}")
+            deepest = fit_stages(train, [make(group[0])])
+            models = {group[0]: deepest}
+            forest = deepest.stages[-1]
+            cut = [i for i in group[1:] if can_cut(make(i), forest, make(i).getMaxDepth())]
+            if cut:
+                models |= zip(cut, cut_forest(spark, forest, [make(i).getMaxDepth() for i in cut]))
+            for i in group:
+                scored = score(models.get(i) or fit_stages(train, [make(i)]), validation, keep=[label])
+                settings = (F.lit(v).alias(n) for n, v in zip(names, combinations[i]))
+                scored.select(*settings, label, "prob_pos").write.parquet(f"{path}/fit={i * len(folds) + at}")
         finally:
             spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
 
-    tasks = list(enumerate(product(product(*grid.values()), prepared)))
-    with ThreadPoolExecutor(parallel) as pool:
-        fits = [pool.submit(inheritable_thread_target(spark)(rate), task) for task in tasks]
-        try:
-            for fit in as_completed(fits):
-                fit.result()
-        except BaseException:
-            pool.shutdown(wait=False, cancel_futures=True)
-            raise
+    def run_all(work: Callable, items: Sequence) -> list:
+        with ThreadPoolExecutor(parallel) as pool:
+            runs = [pool.submit(inheritable_thread_target(spark)(work), item) for item in items]
+            try:
+                for run in as_completed(runs):
+                    run.result()
+            except BaseException:
+                pool.shutdown(wait=False, cancel_futures=True)
+                raise
+        return [run.result() for run in runs]
+
+    prepared = run_all(prepare, folds)
+    groups = _same_but_depth([make(i) for i in range(len(combinations))])[::-1]
+    run_all(rate, list(enumerate(product(enumerate(prepared), groups))))
     scores = spark.read.parquet(path)
     rated = precision_at_recall(cutoff_sweep(scores, "prob_pos", label, cutoffs, names), recall, names)
     return rated.join(ranking_quality(scores, "prob_pos", label, names).select(*names, "auc"), names)

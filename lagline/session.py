@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 # Rows up to which a fit's scan is over before an even layout would pay.
 _FEW_ROWS = 100_000
@@ -72,11 +73,14 @@ def materialize(df: DataFrame, name: str = "rows") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def materialize_even(df: DataFrame, name: str = "rows") -> DataFrame:
+def materialize_even(df: DataFrame, name: str = "rows", near: Sequence[str | Column] = ()) -> DataFrame:
     """``materialize`` with the rows dealt evenly over the cores, for fits: every scan of theirs lasts as long as its largest part.
 
-    Parts that come out of a filter or of coalesced shuffles differ in size and need not be as many as the cores. Few rows stay as they lie.
+    Parts that come out of a filter or of coalesced shuffles differ in size and need not be as many as the cores. Rows of a part are sorted
+    by ``near``: a fit of trees is faster when rows that go the same way down the trees follow each other. Few rows stay as they lie.
     """
     if df.count() > _FEW_ROWS:
         df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+        if near:
+            df = df.sortWithinPartitions(*near)
     return materialize(df, name)

@@ -10,6 +10,7 @@ from lagline.models.classifiers import decision_tree, fit_folds, fit_stages, gri
 from lagline.models.evaluate import cutoff_sweep
 from lagline.models.features import base_levels, feature_map, feature_stages, level_index, principal_components
 from lagline.models.selection import coefficient_table, importance_table, stable_features, top_features
+from lagline.models.trees import can_cut, cut_forest
 from lagline.operators.folds import block_frames
 from lagline.session import materialize_even
 
@@ -103,3 +104,42 @@ def test_folds_and_grid_fit_on_even_rows(spark, monkeypatch):
     assert seen == [4]
     grid_search(fold, feature_stages([], ["x"], scaled=False), lambda s: random_forest(**s), {"numTrees": (2,), "maxDepth": (2,)}, "label", [0.5])
     assert seen[-1] == 4
+
+
+def test_a_cut_forest_is_the_forest_of_that_depth(spark, rows):
+    plain = feature_stages(["carrier"], ["x", "noise"], scaled=False, one_hot=False)
+    vectors = fit_stages(rows, plain).transform(rows).select("id", "features", "label").cache()
+    deep, depths = random_forest(numTrees=6, maxDepth=12), [0, 1, 3, 6, 12, 14]
+    model = deep.fit(vectors)
+    for depth, cut in zip(depths, cut_forest(spark, model, depths)):
+        alone = random_forest(numTrees=6, maxDepth=min(depth, 12)).fit(vectors)
+        assert can_cut(deep, model, depth)
+        assert cut.toDebugString.split("\n", 1)[1] == alone.toDebugString.split("\n", 1)[1] and cut.getMaxDepth() == depth
+        assert [tuple(r) for r in score(cut, vectors, keep=["id"]).orderBy("id").collect()] == [tuple(r) for r in score(alone, vectors, keep=["id"]).orderBy("id").collect()]
+    # Where a level does not fit into the memory of a pass, nodes are split in another order and a fit of its own is needed.
+    assert not can_cut(random_forest(numTrees=6, maxMemoryInMB=0), model, 3)
+
+
+def test_grid_fits_forests_of_all_depths_once(rows, monkeypatch):
+    from lagline.models import classifiers
+
+    folds = block_frames(rows, "ts", 2, 0.8)
+    features = feature_stages(["carrier"], ["x", "noise"], scaled=False, one_hot=False)
+    search = lambda trees, depths, **more: grid_search(
+        folds, features, lambda s: random_forest(**s, **more), {"numTrees": trees, "maxDepth": depths}, "label", [i / 10 for i in range(10)]).collect()
+    alone = [r for n in (3, 5) for d in (2, 4, 7) for r in search((n,), (d,))]
+    fits = []
+    monkeypatch.setattr(classifiers, "fit_stages", lambda train, stages, plain=classifiers.fit_stages: fits.extend(s for s in stages if hasattr(s, "getNumTrees")) or plain(train, stages))
+    assert sorted(map(tuple, search((3, 5), (2, 4, 7)))) == sorted(map(tuple, alone))
+    assert sorted((f.getNumTrees(), f.getMaxDepth()) for f in fits) == [(3, 7), (3, 7), (5, 7), (5, 7)]
+    fits.clear()
+    search((3,), (2, 4), maxMemoryInMB=0)
+    assert sorted(f.getMaxDepth() for f in fits) == [2, 2, 4, 4]
+
+
+def test_even_rows_lie_next_to_rows_alike(spark, rows):
+    mixed = spark.range(120_000, numPartitions=3).select((F.col("id") * 7919 % 1000).alias("x"))
+    parts = materialize_even(mixed, near=["x"]).rdd.glom().collect()
+    assert sum(map(len, parts)) == 120_000 and all(p == sorted(p) for p in parts)
+    few = [r.noise for r in materialize_even(rows.coalesce(1), near=["noise"]).collect()]
+    assert few == [r.noise for r in rows.coalesce(1).collect()]
